@@ -52,6 +52,9 @@ HEADER_SPELLINGS = {
     "municipio": "Município", "periodo": "Período", "mes": "Mês",
     "regiao": "Região", "unidade": "Unidade", "estado": "Estado",
 }
+SMALL_WORDS = [
+    "de", "da", "do", "dos", "das", "e", "com", "em", "para", "no", "na", "nos", "nas", "a", "o", "por", "ao",
+]
 NO_VALUE = "∅"
 
 # ---------------------------------------------------------------- fixed values: thresholds
@@ -61,6 +64,7 @@ PERCENT_SHARE = 0.8
 ID_SHARE = 0.95
 LEADING_ZERO_SHARE = 0.5
 MISSING_ALERT_SHARE = 0.3
+HEADER_SHARE = 0.6
 CATEGORY_SHARE = 0.05
 CATEGORY_FLOOR = 20
 CATEGORY_CEILING = 60
