@@ -35,7 +35,7 @@ def date_between(df: DataFrame, column: str, start: str | None = None, end: str
     return df.where(cond)
 
 
-def _fold_words(text: str) -> list[str]:
+def fold_words(text: str) -> list[str]:
     bare = "".join(c for c in unicodedata.normalize("NFD", text) if not 0x300 <= ord(c) <= 0x36F)
     return [w for w in re.split(r"\s+", bare.lower()) if w]
 
@@ -54,7 +54,7 @@ def row_text(df: DataFrame, columns: list[str] | None = None) -> Column:
 
 def text_search(df: DataFrame, term: str, columns: list[str] | None = None) -> DataFrame:
     """Rows in which every word of ``term`` occurs, whatever the case and accents."""
-    words = _fold_words(term)
+    words = fold_words(term)
     if not words:
         return df
     line = row_text(df, columns)
