@@ -108,22 +108,22 @@ def _folder(depth: int) -> str:
     return f"struct<name: string, Placemark: array<{_PLACEMARK}>{inner}>"
 
 
-def _levels(frame: DataFrame, depth: int) -> DataFrame:
-    """Placemarks of a container and of its folders, each with its folder path."""
-    out = None
-    for level in range(depth + 1):
-        here = frame.select("file", "place", "path", F.posexplode("node.Placemark").alias("at", "pm")).select(
-            "file", F.concat("place", F.array(F.lit(0), "at")).alias("place"), "path", "pm"
+def _placemarks(node: Column, path: Column, place: Column, depth: int) -> Column:
+    """Placemarks of a container and of its folders with their folder path, as one array."""
+    here = F.transform(
+        node["Placemark"], lambda pm, i: F.struct(F.concat(place, F.array(F.lit(0), i)).alias("place"), path.alias("path"), pm.alias("pm"))
+    )
+    here = F.coalesce(here, empty_list(f"array<struct<place:array<int>,path:array<string>,pm:{_PLACEMARK}>>"))
+    if not depth:
+        return here
+    name = lambda sub: F.coalesce(F.nullif(F.trim(sub["name"]), F.lit("")), F.lit("(sem nome)"))
+    below = F.flatten(
+        F.transform(
+            node["Folder"],
+            lambda sub, i: _placemarks(sub, F.concat(path, F.array(name(sub))), F.concat(place, F.array(F.lit(1), i)), depth - 1),
         )
-        out = here if out is None else out.unionByName(here)
-        if level < depth:
-            frame = frame.select("file", "place", "path", F.posexplode("node.Folder").alias("at", "sub")).select(
-                "file",
-                F.concat("place", F.array(F.lit(1), "at")).alias("place"),
-                F.concat("path", F.array(F.coalesce(F.nullif(F.trim("sub.name"), F.lit("")), F.lit("(sem nome)")))).alias("path"),
-                F.col("sub").alias("node"),
-            )
-    return out
+    )
+    return F.when(node["Folder"].isNull(), here).otherwise(F.concat(here, below))
 
 
 def _member_geometries(node: Column, positions) -> tuple[Column, Column, Column]:
@@ -218,14 +218,11 @@ def read_kml(spark: SparkSession, path: str, depth: int = 6, lenient: bool = Fal
     body = f"Placemark array<{_PLACEMARK}>, Folder array<{_folder(depth - 1)}>"
     container = f"struct<Placemark: array<{_PLACEMARK}>, Folder: array<{_folder(depth - 1)}>>"
     doc = spark.read.format("xml").option("rowTag", "kml").schema(f"Document array<{container}>, {body}").load(path)
-    doc = doc.withColumn("file", F.col("_metadata.file_path"))
-    root = doc.select(
-        "file", F.array(F.lit(0)).alias("place"), F.from_json(F.lit("[]"), "array<string>").alias("path"), F.struct("Placemark", "Folder").alias("node")
-    )
-    inside = doc.select("file", F.posexplode("Document").alias("at", "node")).select(
-        "file", F.array(F.lit(1), F.col("at")).alias("place"), F.from_json(F.lit("[]"), "array<string>").alias("path"), "node"
-    )
-    marks = _levels(root.unionByName(inside), depth)
+    none = empty_list("array<string>")
+    root = _placemarks(F.struct("Placemark", "Folder"), none, F.array(F.lit(0)), depth)
+    inside = F.flatten(F.transform("Document", lambda d, i: _placemarks(d, none, F.array(F.lit(1), i), depth)))
+    found = F.when(F.col("Document").isNull(), root).otherwise(F.concat(root, inside))
+    marks = doc.select(F.col("_metadata.file_path").alias("file"), F.inline(found))
     positions = kml_positions_lenient if lenient else kml_positions
     pm = F.col("pm")
     return marks.select(
