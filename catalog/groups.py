@@ -189,9 +189,10 @@ def _(spark, d):
     return A.pearson(table(spark, d, "lineitem").select(F.lit(1.0).alias("a"), "l_extendedprice"), "a", "l_extendedprice")
 
 
-@query("agg_best_corr", "AGG-19", "select 'l_quantity' as a, 'l_extendedprice' as b, count(*) as n, round(corr(l_quantity, l_extendedprice), 6) as r from lineitem")
+@query("agg_best_corr", "AGG-19", "select 'l_quantity' as a, 'dobro' as b, count(*) as n, round(corr(l_quantity, l_quantity * 2 + l_linenumber), 6) as r from lineitem")
 def _(spark, d):
-    return rounded(A.best_correlation(table(spark, d, "lineitem"), ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]), 6, "r")
+    li = table(spark, d, "lineitem").withColumn("dobro", F.col("l_quantity") * 2 + F.col("l_linenumber"))
+    return rounded(A.best_correlation(li, ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "dobro"]), 6, "r")
 
 
 @query("agg_scatter", "AGG-20", "select l_quantity as x, l_tax as y from lineitem where l_orderkey % 10 <> 3")
@@ -219,7 +220,7 @@ def gap_rows(spark, d):
 
 
 def _series(how):
-    digits = 4 if how == "mean" else 2
+    digits = 4 if how in ("mean", "median") else 2
     return lambda spark, d: rounded(Z.monthly(gap_rows(spark, d), "o_orderdate", "o_totalprice", how), digits, "value")
 
 
@@ -227,7 +228,7 @@ for _how, (_a, _o) in {
     "sum": (MONEY.format("v"), "round(coalesce(g.v, 0), 2)"),
     "count": ("count(*)::double", "coalesce(g.v, 0)"),
     "mean": ("avg(v)", "round(g.v, 4)"),
-    "median": ("median(v)", "round(g.v, 2)"),
+    "median": ("median(v)", "round(g.v, 4)"),
     "max": ("max(v)", "round(g.v, 2)"),
 }.items():
     query(f"ser_month_{_how}", "AGG-23", _GAPS.format(agg=_a, out=_o))(_series(_how))
@@ -445,7 +446,7 @@ def _(spark, d):
 
 @query(
     "met_row", "MET-01 MET-02 MET-08",
-    """select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + l_tax, 6) as liquido, round(-(l_extendedprice * (1 - l_discount) + l_tax) / l_quantity, 6) as unitario,
+    """select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + l_tax, 6) as liquido, round(-(l_extendedprice * (1 - l_discount) + l_tax) / l_quantity, 10) as unitario,
       case when l_discount = 0 then null else round(abs(l_tax / l_discount), 6) end as razao, floor(l_tax * 10 + 0.5) / 10 as imposto from lineitem""",
 )
 def _(spark, d):
@@ -461,7 +462,7 @@ def _(spark, d):
         ],
     )
     assert skipped == ["quebrada"]
-    return rounded(out, 6, "liquido", "unitario", "razao").select("l_orderkey", "l_linenumber", "liquido", "unitario", "razao", "imposto")
+    return rounded(rounded(out, 6, "liquido", "razao"), 10, "unitario").select("l_orderkey", "l_linenumber", "liquido", "unitario", "razao", "imposto")
 
 
 @query("met_div_zero", "MET-01", "select count(*) filter (where l_discount = 0) as without_data, count(*) as n from lineitem")

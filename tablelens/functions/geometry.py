@@ -23,6 +23,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def empty_list(kind: str) -> Column:
     return F.from_json(F.lit("[]"), kind)
 
@@ -75,23 +80,58 @@ def _polygons(text: Column) -> Column:
 
 def _simple(kind: Column, coords: Column) -> Column:
     """Parts of one geometry without members; null when its coordinates are malformed."""
-    single = F.from_json(coords, POSITION)
-    one = F.when(_good_position(single), F.array(_flat(single)))
-    points = F.when(kind == "Point", one).when(kind == "MultiPoint", _positions(coords))
-    lines = F.when(kind == "LineString", F.array(_positions(coords))).when(kind == "MultiLineString", _rings(coords))
-    ring_list = _rings(coords)
-    polys = F.when((kind == "Polygon") & (F.size(ring_list) > 0), F.array(ring_list)).when(
-        kind == "MultiPolygon", _polygons(coords)
+    no = lambda t: F.lit(None).cast(t)
+    one = let(F.from_json(coords, POSITION), lambda p: F.when(_good_position(p), F.array(_flat(p))))
+    line = let(_positions(coords), lambda q: F.when(q.isNotNull(), F.array(q)))
+    ring = let(_rings(coords), lambda q: F.when(F.size(q) > 0, F.array(q)))
+    read = F.struct(
+        F.when(kind == "Point", one).when(kind == "MultiPoint", _positions(coords)).otherwise(no(NO_POINTS)).alias("points"),
+        F.when(kind == "LineString", line).when(kind == "MultiLineString", _rings(coords)).otherwise(no(NO_LINES)).alias("lines"),
+        F.when(kind == "Polygon", ring).when(kind == "MultiPolygon", _polygons(coords)).otherwise(no(NO_POLYS)).alias("polys"),
     )
-    lines = F.when(F.exists(lines, lambda x: x.isNull()), F.lit(None)).otherwise(lines)
-    filled = F.coalesce(points.isNotNull() | lines.isNotNull() | polys.isNotNull(), F.lit(False))
-    return F.when(
-        filled,
-        make_parts(
-            kind,
-            F.coalesce(points, empty_list(NO_POINTS)),
-            F.coalesce(lines, empty_list(NO_LINES)),
-            F.coalesce(polys, empty_list(NO_POLYS)),
+    return let(
+        read,
+        lambda g: F.when(
+            g["points"].isNotNull() | g["lines"].isNotNull() | g["polys"].isNotNull(),
+            make_parts(
+                kind,
+                F.coalesce(g["points"], empty_list(NO_POINTS)),
+                F.coalesce(g["lines"], empty_list(NO_LINES)),
+                F.coalesce(g["polys"], empty_list(NO_POLYS)),
+            ),
+        ),
+    )
+
+
+def _members(text: Column) -> Column:
+    """All geometries of a collection, nested ones included; null when nested too deeply."""
+    is_group = lambda x: F.coalesce(F.get_json_object(x, "$.type") == "GeometryCollection", F.lit(False))
+    inner = lambda x: F.coalesce(F.from_json(F.get_json_object(x, "$.geometries"), "array<string>"), F.array(F.lit("{}")))
+
+    def open_up(nodes: Column, depth: int) -> Column:
+        leaves = F.filter(nodes, lambda x: ~is_group(x))
+        if not depth:
+            return F.when(F.size(leaves) == F.size(nodes), leaves)
+        return let(
+            F.flatten(F.transform(F.filter(nodes, is_group), inner)),
+            lambda below: F.when(F.size(below) == 0, leaves).otherwise(F.concat(leaves, open_up(below, depth - 1))),
+        )
+
+    return open_up(inner(text), COLLECTION_DEPTH)
+
+
+def _collection(text: Column) -> Column:
+    read = lambda leaves: F.transform(leaves, lambda x: _simple(F.get_json_object(x, "$.type"), F.get_json_object(x, "$.coordinates")))
+    return let(
+        read(_members(text)),
+        lambda ms: F.when(
+            ~F.exists(ms, lambda m: m.isNull()),
+            make_parts(
+                F.lit("GeometryCollection"),
+                F.flatten(F.transform(ms, lambda m: m["points"])),
+                F.flatten(F.transform(ms, lambda m: m["lines"])),
+                F.flatten(F.transform(ms, lambda m: m["polys"])),
+            ),
         ),
     )
 
@@ -100,26 +140,8 @@ def from_geojson(text: Column | str) -> Column:
     """Parts of a GeoJSON geometry; null when the structure is not valid."""
     g = _c(text)
     kind = F.get_json_object(g, "$.type")
-    leaves, open_nodes = empty_list("array<string>"), F.array(g)
-    for _ in range(COLLECTION_DEPTH):
-        is_group = lambda x: F.coalesce(F.get_json_object(x, "$.type") == "GeometryCollection", F.lit(False))
-        leaves = F.concat(leaves, F.filter(open_nodes, lambda x: ~is_group(x)))
-        open_nodes = F.flatten(
-            F.transform(
-                F.filter(open_nodes, is_group),
-                lambda x: F.coalesce(F.from_json(F.get_json_object(x, "$.geometries"), "array<string>"), F.array(F.lit("{}"))),
-            )
-        )
-    members = F.transform(leaves, lambda x: _simple(F.get_json_object(x, "$.type"), F.get_json_object(x, "$.coordinates")))
-    whole = (F.size(open_nodes) == 0) & ~F.exists(members, lambda m: m.isNull())
-    return F.when(
-        g.isNotNull() & whole,
-        make_parts(
-            kind,
-            F.flatten(F.transform(members, lambda m: m["points"])),
-            F.flatten(F.transform(members, lambda m: m["lines"])),
-            F.flatten(F.transform(members, lambda m: m["polys"])),
-        ),
+    return F.when(kind == "GeometryCollection", _collection(g)).when(
+        kind.isin(SIMPLE_TYPES), _simple(kind, F.get_json_object(g, "$.coordinates"))
     )
 
 
@@ -175,24 +197,23 @@ def all_positions(parts: Column | str) -> Column:
 
 def bbox(parts: Column | str) -> Column:
     """``struct<min_lon, min_lat, max_lon, max_lat>``; null without positions."""
-    pos = all_positions(parts)
-    xs, ys = F.transform(pos, lambda q: q[0]), F.transform(pos, lambda q: q[1])
-    box = F.struct(
-        F.array_min(xs).alias("min_lon"),
-        F.array_min(ys).alias("min_lat"),
-        F.array_max(xs).alias("max_lon"),
-        F.array_max(ys).alias("max_lat"),
-    )
-    return F.when(F.size(pos) > 0, box)
+
+    def box(axes: Column) -> Column:
+        return F.struct(
+            F.array_min(axes["x"]).alias("min_lon"),
+            F.array_min(axes["y"]).alias("min_lat"),
+            F.array_max(axes["x"]).alias("max_lon"),
+            F.array_max(axes["y"]).alias("max_lat"),
+        )
+
+    axes = lambda pos: F.struct(F.transform(pos, lambda q: q[0]).alias("x"), F.transform(pos, lambda q: q[1]).alias("y"))
+    return let(all_positions(parts), lambda pos: F.when(F.size(pos) > 0, let(axes(pos), box)))
 
 
 def _segments(ring: Column) -> Column:
     """Consecutive position pairs as ``struct<a, b>``."""
-    n = F.size(ring)
-    pairs = F.arrays_zip(F.slice(ring, 1, n - 1).alias("a"), F.slice(ring, 2, n - 1).alias("b"))
-    return F.when(n > 1, F.transform(pairs, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))).otherwise(
-        F.from_json(F.lit("[]"), f"array<struct<a:{POSITION},b:{POSITION}>>")
-    )
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def _total(items: Column, f) -> Column:
@@ -205,19 +226,28 @@ def _mean(positions: Column, axis: int) -> Column:
 
 def ring_moments(ring: Column) -> Column:
     """``struct<area, x, y>``: area and centroid of a ring; a flat ring has area 0."""
-    cross = lambda s: s["a"][0] * s["b"][1] - s["b"][0] * s["a"][1]
-    seg = _segments(ring)
-    a = _total(seg, cross)
-    sx = _total(seg, lambda s: (s["a"][0] + s["b"][0]) * cross(s))
-    sy = _total(seg, lambda s: (s["a"][1] + s["b"][1]) * cross(s))
-    whole = F.struct(F.abs(a / 2).alias("area"), F.try_divide(sx, 3 * a).alias("x"), F.try_divide(sy, 3 * a).alias("y"))
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def step(acc: Column, s: Column) -> Column:
+        return let(
+            s["a"][0] * s["b"][1] - s["b"][0] * s["a"][1],
+            lambda k: F.struct(
+                (acc["a"] + k).alias("a"),
+                (acc["x"] + (s["a"][0] + s["b"][0]) * k).alias("x"),
+                (acc["y"] + (s["a"][1] + s["b"][1]) * k).alias("y"),
+            ),
+        )
+
     flat = F.struct(F.lit(0.0).alias("area"), _mean(ring, 0).alias("x"), _mean(ring, 1).alias("y"))
-    return F.when(a == 0, flat).otherwise(whole)
+    whole = lambda t: F.struct(
+        F.abs(t["a"] / 2).alias("area"), F.try_divide(t["x"], 3 * t["a"]).alias("x"), F.try_divide(t["y"], 3 * t["a"]).alias("y")
+    )
+    return let(F.aggregate(_segments(ring), zero, step), lambda t: F.when(t["a"] == 0, flat).otherwise(whole(t)))
 
 
-def _signed_rings(polys: Column) -> Column:
-    """Moments of every ring with +1 for outer rings and -1 for holes."""
-    return F.flatten(
+def _polygon_moments(polys: Column) -> Column:
+    """``struct<area, x, y>`` summed over rings, holes taken off; x and y are weighted by area."""
+    signed = F.flatten(
         F.transform(
             polys,
             lambda rings: F.transform(
@@ -225,47 +255,60 @@ def _signed_rings(polys: Column) -> Column:
             ),
         )
     )
+    zero = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    return F.aggregate(
+        signed,
+        zero,
+        lambda acc, r: let(
+            r["sign"] * r["m"]["area"],
+            lambda w: F.struct((acc["area"] + w).alias("area"), (acc["x"] + w * r["m"]["x"]).alias("x"), (acc["y"] + w * r["m"]["y"]).alias("y")),
+        ),
+    )
 
 
 def area(parts: Column | str) -> Column:
-    return _total(_signed_rings(_c(parts)["polys"]), lambda r: r["sign"] * r["m"]["area"])
+    return _polygon_moments(_c(parts)["polys"])["area"]
 
 
 def centroid(parts: Column | str) -> Column:
     """Reference point ``[lon, lat]``: by area, else by length, else the mean of the points."""
     p = _c(parts)
-    rings = _signed_rings(p["polys"])
-    total = _total(rings, lambda r: r["sign"] * r["m"]["area"])
-    axis = lambda k: _total(rings, lambda r: r["sign"] * r["m"]["area"] * r["m"][k])
-    corners = F.flatten(F.flatten(p["polys"]))
-    by_area = F.when(total > 0, F.array(F.try_divide(axis("x"), total), F.try_divide(axis("y"), total))).when(
-        F.size(corners) > 0, F.array(_mean(corners, 0), _mean(corners, 1))
+    mean_of = lambda pos: F.when(F.size(pos) > 0, F.array(_mean(pos, 0), _mean(pos, 1)))
+    by_area = let(
+        _polygon_moments(p["polys"]),
+        lambda t: F.when(t["area"] > 0, F.array(F.try_divide(t["x"], t["area"]), F.try_divide(t["y"], t["area"]))).otherwise(
+            let(F.flatten(F.flatten(p["polys"])), mean_of)
+        ),
     )
-    seg = F.flatten(F.transform(p["lines"], _segments))
-    span = lambda s: F.hypot(s["b"][0] - s["a"][0], s["b"][1] - s["a"][1])
-    length = _total(seg, span)
-    along = lambda i: _total(seg, lambda s: span(s) * (s["a"][i] + s["b"][i]) / 2)
-    vertices = F.flatten(p["lines"])
-    by_length = F.when(length > 0, F.array(F.try_divide(along(0), length), F.try_divide(along(1), length))).when(
-        F.size(vertices) > 0, F.array(F.get(vertices, F.lit(0))[0], F.get(vertices, F.lit(0))[1])
+    zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    along = F.aggregate(
+        F.flatten(F.transform(p["lines"], _segments)),
+        zero,
+        lambda acc, s: let(
+            F.hypot(s["b"][0] - s["a"][0], s["b"][1] - s["a"][1]),
+            lambda d: F.struct(
+                (acc["d"] + d).alias("d"),
+                (acc["x"] + d * (s["a"][0] + s["b"][0]) / 2).alias("x"),
+                (acc["y"] + d * (s["a"][1] + s["b"][1]) / 2).alias("y"),
+            ),
+        ),
     )
-    by_points = F.when(F.size(p["points"]) > 0, F.array(_mean(p["points"], 0), _mean(p["points"], 1)))
-    return F.when(F.size(p["polys"]) > 0, by_area).when(F.size(p["lines"]) > 0, by_length).otherwise(by_points)
+    first = let(F.get(F.flatten(p["lines"]), F.lit(0)), lambda q: F.when(q.isNotNull(), F.array(q[0], q[1])))
+    by_length = let(along, lambda t: F.when(t["d"] > 0, F.array(F.try_divide(t["x"], t["d"]), F.try_divide(t["y"], t["d"]))).otherwise(first))
+    return F.when(F.size(p["polys"]) > 0, by_area).when(F.size(p["lines"]) > 0, by_length).otherwise(mean_of(p["points"]))
 
 
 def ring_contains(ring: Column, lon: Column, lat: Column) -> Column:
     """Even-odd test: an odd number of ring edges lies to the right of the point."""
-    n = F.size(ring)
-    closed = F.concat(ring, F.slice(ring, 1, 1))
-    crossed = lambda s: ((s["a"][1] > lat) != (s["b"][1] > lat)) & (
-        lon < F.try_divide((s["b"][0] - s["a"][0]) * (lat - s["a"][1]), s["b"][1] - s["a"][1]) + s["a"][0]
-    )
-    hits = F.size(F.filter(_segments(closed), lambda s: F.coalesce(crossed(s), F.lit(False))))
-    return (n > 0) & (hits % 2 == 1)
+    shifted = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    crossed = lambda a, b: ((a[1] > lat) != (b[1] > lat)) & (lon < F.try_divide((b[0] - a[0]) * (lat - a[1]), b[1] - a[1]) + a[0])
+    hits = F.size(F.filter(F.zip_with(ring, shifted, crossed), lambda x: F.coalesce(x, F.lit(False))))
+    return (F.size(ring) > 0) & (hits % 2 == 1)
 
 
 def contains(parts: Column | str, lon: Column, lat: Column) -> Column:
     """The point is inside some outer ring and in none of that polygon's holes."""
+
     def inside(rings: Column) -> Column:
         holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
         return ring_contains(F.get(rings, F.lit(0)), lon, lat) & ~F.exists(holes, lambda h: ring_contains(h, lon, lat))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.geometry import bbox, contains
+from tablelens.session import cut_lineage
 
 SALT = 8
 
@@ -20,9 +21,9 @@ def valid_position(lon: Column, lat: Column) -> Column:
 
 
 def _polygon_cells(polygons: DataFrame, polygon_id: str, geometry: str) -> DataFrame:
-    boxed = polygons.select(F.col(polygon_id).alias("polygon"), F.col(geometry).alias("shape"), bbox(geometry).alias("box")).where(
-        F.size(F.col("shape.polys")) > 0
-    )
+    shaped = polygons.select(F.col(polygon_id).alias("polygon"), F.col(geometry).alias("shape"), bbox(geometry).alias("box"))
+    # shapes are parsed once, not once per condition and per use below
+    boxed = cut_lineage(shaped).where(F.size(F.col("shape.polys")) > 0)
     extent = F.greatest(F.col("box.max_lon") - F.col("box.min_lon"), F.col("box.max_lat") - F.col("box.min_lat"), F.lit(1e-6))
     level = F.ceil(F.log2(extent)).cast("int")
     cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level")))

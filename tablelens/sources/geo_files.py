@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.functions.geometry import (
-    NO_LINES,
-    NO_POINTS,
-    NO_POLYS,
     empty_list,
     from_geojson,
     kml_positions,
     kml_positions_lenient,
+    let,
     make_parts,
 )
 from tablelens.functions.values import field_key
@@ -156,30 +154,28 @@ def _member_geometries(node: Column, positions) -> tuple[Column, Column, Column]
 
 
 def _placemark_parts(pm: Column, positions) -> Column:
-    own = _member_geometries(pm, positions)
     multi = F.coalesce(pm["MultiGeometry"], empty_list(f"array<struct<{_GEOMETRY}, MultiGeometry: array<struct<{_GEOMETRY}>>>>"))
     deeper = F.flatten(F.transform(multi, lambda m: F.coalesce(m["MultiGeometry"], empty_list(f"array<struct<{_GEOMETRY}>>"))))
-    gather = lambda i: F.concat(
-        own[i],
-        F.flatten(F.transform(multi, lambda m: _member_geometries(m, positions)[i])),
-        F.flatten(F.transform(deeper, lambda m: _member_geometries(m, positions)[i])),
-    )
-    points, lines, polys = gather(0), gather(1), gather(2)
-    n, np_, nl, ng = F.size(points) + F.size(lines) + F.size(polys), F.size(points), F.size(lines), F.size(polys)
-    kind = (
-        F.when(n == 0, F.lit(None))
-        .when((n == 1) & (np_ == 1), "Point")
-        .when((n == 1) & (nl == 1), "LineString")
-        .when(n == 1, "Polygon")
-        .when(np_ == n, "MultiPoint")
-        .when(nl == n, "MultiLineString")
-        .when(ng == n, "MultiPolygon")
-        .otherwise("GeometryCollection")
-    )
-    return F.when(n > 0, make_parts(kind, points, lines, polys))
 
+    def gather(i: int) -> Column:
+        member = lambda m: _member_geometries(m, positions)[i]
+        return F.concat(_member_geometries(pm, positions)[i], F.flatten(F.transform(multi, member)), F.flatten(F.transform(deeper, member)))
+
+    def typed(g: Column) -> Column:
+        np_, nl, ng = F.size(g["points"]), F.size(g["lines"]), F.size(g["polys"])
+        n = np_ + nl + ng
+        kind = (
+            F.when((n == 1) & (np_ == 1), "Point")
+            .when((n == 1) & (nl == 1), "LineString")
+            .when(n == 1, "Polygon")
+            .when(np_ == n, "MultiPoint")
+            .when(nl == n, "MultiLineString")
+            .when(ng == n, "MultiPolygon")
+            .otherwise("GeometryCollection")
+        )
+        return F.when(n > 0, make_parts(kind, g["points"], g["lines"], g["polys"]))
 
-_FIELD = "array<struct<key:string,value:string>>"
+    return let(F.struct(gather(0).alias("points"), gather(1).alias("lines"), gather(2).alias("polys")), typed)
 
 
 def _fields(pm: Column) -> Column:
@@ -296,8 +292,3 @@ def merged_fields(structured: Column | str, described: Column) -> Column:
     s = F.col(structured) if isinstance(structured, str) else structured
     taken = F.transform(s, lambda p: field_key(p["key"]))
     return F.concat(s, F.filter(described, lambda p: ~F.array_contains(taken, field_key(p["key"]))))
-
-
-__all__ = [
-    "description_fields", "geojson_features", "kml_table", "merged_fields", "read_geojson", "read_kml", "NO_LINES", "NO_POINTS", "NO_POLYS",
-]
