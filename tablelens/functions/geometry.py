@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablelens.functions import vocabulary as V
-from tablelens.functions.values import round_half_up
+from tablelens.functions.values import let, round_half_up
 
 POSITION = "array<double>"
 PARTS = (
@@ -23,11 +23,6 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once per row, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def empty_list(kind: str) -> Column:
     return F.from_json(F.lit("[]"), kind)
 

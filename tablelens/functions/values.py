@@ -38,28 +38,30 @@ def is_missing_marker(c: Column | str, markers: list[str] = V.MISSING_MARKERS) -
 # ------------------------------------------------------------------ numbers
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_number(c: Column | str, numbers: str = "br") -> Column:
     """Regional number text to double; what is not a number is null."""
-    s = trimmed(c)
-    for prefix in V.CURRENCY_PREFIXES:
-        s = F.regexp_replace(s, prefix, "")
-    s = F.regexp_replace(s, "%$", "")
-    no_dots, no_commas = F.translate(s, ".", ""), F.translate(s, ",", "")
-    plain = F.when(s.rlike(V.NUMBER_PLAIN), s)
-    if numbers == "br":
-        # "1.234" also looks plain, so the thousands reading has to come first
-        regional = F.when(s.rlike(V.NUMBER_DOT_THOUSANDS), no_dots).when(
-            s.rlike(V.NUMBER_COMMA_DECIMAL), F.translate(s, ",", ".")
+    bare = F.regexp_extract(trimmed(c), V.NUMBER_WRAPPING, 1)
+
+    def read(s: Column) -> Column:
+        no_dots, no_commas = F.translate(s, ".", ""), F.translate(s, ",", "")
+        text = (
+            F.when(~s.rlike(V.NUMBER_CHARACTERS), F.lit(None).cast("string"))
+            .when(s.rlike(V.NUMBER_DOT_THOUSANDS_COMMA), F.translate(no_dots, ",", "."))
+            .when(s.rlike(V.NUMBER_COMMA_THOUSANDS_DOT), no_commas)
         )
-    else:
-        regional = F.when(s.rlike(V.NUMBER_COMMA_THOUSANDS), no_commas)
-    text = F.coalesce(
-        F.when(s.rlike(V.NUMBER_DOT_THOUSANDS_COMMA), F.translate(no_dots, ",", ".")),
-        F.when(s.rlike(V.NUMBER_COMMA_THOUSANDS_DOT), no_commas),
-        regional,
-        plain,
-    )
-    return text.try_cast("double")
+        if numbers == "br":
+            # "1.234" also looks plain, so the thousands reading has to come first
+            text = text.when(s.rlike(V.NUMBER_DOT_THOUSANDS), no_dots).when(s.rlike(V.NUMBER_COMMA_DECIMAL), F.translate(s, ",", "."))
+        else:
+            text = text.when(s.rlike(V.NUMBER_COMMA_THOUSANDS), no_commas)
+        return text.when(s.rlike(V.NUMBER_PLAIN), s).try_cast("double")
+
+    return let(bare, read)
 
 
 def finite(c: Column | str) -> Column:

@@ -15,7 +15,8 @@ MONTH_WORDS = [
     "setembro", "outubro", "novembro", "dezembro",
     "jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez",
 ]
-CURRENCY_PREFIXES = [r"^R\$\s*", r"^US\$\s*"]
+NUMBER_WRAPPING = r"(?s)^(?:R\$\s*)?(?:US\$\s*)?(.*?)%?$"
+NUMBER_CHARACTERS = r"^-?\d[\d.,]*$"
 NUMBER_DOT_THOUSANDS_COMMA = r"^-?\d{1,3}(\.\d{3})+,\d+$"
 NUMBER_COMMA_THOUSANDS_DOT = r"^-?\d{1,3}(,\d{3})+\.\d+$"
 NUMBER_DOT_THOUSANDS = r"^-?\d{1,3}(\.\d{3})+$"

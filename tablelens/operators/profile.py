@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tablelens.functions import vocabulary as V
 from tablelens.functions.ranks import lower_quantiles, medians
 from tablelens.functions.values import (
+    finite,
     is_missing_marker,
     is_numeric,
     is_temporal,
@@ -29,44 +30,77 @@ NUMERIC_TYPES = ("number", "integer")
 TYPES = ("number", "integer", "date", "category", "boolean", "text", "id", "lat", "lon")
 
 
-def _kind(dtype: T.DataType) -> str:
+NUMBER, BOOLEAN, TIME, TEXT = range(4)
+
+
+def _kind(dtype: T.DataType) -> int:
     if is_numeric(dtype):
-        return "n"
+        return NUMBER
     if isinstance(dtype, T.BooleanType):
-        return "b"
-    return "t" if is_temporal(dtype) else "s"
+        return BOOLEAN
+    return TIME if is_temporal(dtype) else TEXT
+
+
+def _cell(df: DataFrame, name: str) -> tuple[Column, Column, Column]:
+    """A cell as text, whole number or real number; the two others are null.
+
+    Typed columns are counted as they are stored, so only text is ever parsed.
+    """
+    dtype, c = df.schema[name].dataType, quoted(name)
+    text, whole, real = (F.lit(None).cast(t) for t in ("string", "bigint", "double"))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        real = finite(c)
+    elif isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        whole = c.cast("bigint")
+    elif is_temporal(dtype):
+        whole = F.unix_millis(c.cast("timestamp"))
+    elif is_numeric(dtype):
+        text = c.cast("string")
+    else:
+        text = text_of(df, name)
+    return text, whole, real
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(position, kind, value, n)`` per column and distinct value, missing cells included.
+    """``(position, text, whole, real, kind, n)`` per column and distinct value, missing cells included.
 
     ``position`` is the column's place in the table; ``kind`` tells numbers, booleans, times and
     text apart. A value that fills a third of the rows is one row here: the count is combined
     before the shuffle.
+
+    ``kind`` follows from the position, so it is carried as an aggregate instead of a key: a later
+    filter on parsed values then stays above the shuffle, and all readers share one shuffle.
     """
-    names = columns or df.columns
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.lit(_kind(df.schema[c].dataType)).alias("kind"), text_of(df, c).alias("value"))
-            for i, c in enumerate(names)
-        ]
-    )
-    return df.select(F.inline(cells)).groupBy("position", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = []
+    for i, c in enumerate(columns or df.columns):
+        text, whole, real = _cell(df, c)
+        kind = F.lit(_kind(df.schema[c].dataType))
+        cells.append(F.struct(F.lit(i).alias("position"), kind.alias("kind"), text.alias("text"), whole.alias("whole"), real.alias("real")))
+    keys = ["position", "text", "whole", "real"]
+    return df.select(F.inline(F.array(*cells))).groupBy(*keys).agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
 
 
 def parsed_frequencies(freq: DataFrame, numbers: str = "br", date_order: str = "dmy") -> DataFrame:
     """Frequencies with ``filled``, ``marker``, ``num`` and ``ts`` per distinct value."""
-    kind, v = F.col("kind"), F.col("value")
-    marker = v.isNotNull() & (kind == "s") & is_missing_marker("value")
-    num = F.when(kind == "n", v.try_cast("double")).when(kind == "s", parse_number("value", numbers))
-    ts = F.when(kind == "t", v.try_cast("timestamp")).when(kind == "s", parse_date("value", date_order))
-    filled = v.isNotNull() & ~marker
-    return freq.select(
-        "*",
-        marker.alias("marker"),
-        filled.alias("filled"),
-        F.when(filled, num).alias("num"),
-        F.when(filled, ts).alias("ts"),
+    kind, text, whole, real = (F.col(c) for c in ("kind", "text", "whole", "real"))
+    is_text = kind == TEXT
+    marker = is_text & is_missing_marker("text")
+    num = F.when(kind == NUMBER, F.coalesce(real, whole.cast("double"), text.try_cast("double"))).when(
+        is_text & ~marker, parse_number("text", numbers)
+    )
+    ts = F.when(kind == TIME, F.timestamp_millis(whole)).when(is_text & ~marker, parse_date("text", date_order))
+    present = text.isNotNull() | whole.isNotNull() | real.isNotNull()
+    return freq.select("*", marker.alias("marker"), (present & ~marker).alias("filled"), num.alias("num"), ts.alias("ts"))
+
+
+def printed_value() -> Column:
+    """The text of a counted value, as the cell reads in a table."""
+    real, whole = F.col("real"), F.col("whole")
+    number = F.when((F.floor(real) == real) & (F.abs(real) < 1e15), real.cast("bigint").cast("string")).otherwise(real.cast("string"))
+    moment = F.date_format(F.timestamp_millis(whole), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    flag = F.when(whole == 1, "true").otherwise("false")
+    return F.coalesce(
+        "text", number, F.when(F.col("kind") == TIME, moment).when(F.col("kind") == BOOLEAN, flag).otherwise(whole.cast("string"))
     )
 
 
@@ -84,26 +118,29 @@ def _any(cond: Column) -> Column:
 
 
 def _column_facts(parsed: DataFrame) -> DataFrame:
-    filled, v, num = F.col("filled"), F.col("value"), F.col("num")
-    text = F.col("kind") == "s"
-    word, cell = F.lower(F.col("value")), trimmed("value")
+    filled, num, text = F.col("filled"), F.col("num"), F.col("text")
+    is_text = F.col("kind") == TEXT
+    # rules about spelling look at text only; everything else skips them
+    said = lambda cond: is_text & F.coalesce(cond, F.lit(False))
+    word, cell = F.lower("text"), trimmed("text")
+    year = F.when(is_text, cell.rlike(V.YEAR_VALUE)).otherwise((num == F.floor(num)) & num.between(1900, 2099))
     return parsed.groupBy("position").agg(
         F.sum("n").cast("bigint").alias("rows"),
         _weighted(filled).alias("filled"),
         _weighted(F.col("marker")).alias("markers"),
         F.count_if(filled).alias("distinct"),
-        (_every(F.col("kind") == "b")).alias("all_boolean"),
-        _every(word.isin(V.BOOLEAN_WORDS)).alias("all_boolean_words"),
+        _every(F.col("kind") == BOOLEAN).alias("all_boolean"),
+        _every(said(word.isin(V.BOOLEAN_WORDS))).alias("all_boolean_words"),
         _weighted(num.isNotNull()).alias("numeric"),
-        _any((F.col("kind") == "n") | v.rlike(V.NUMBER_LOOK)).alias("looks_numeric"),
+        _any((F.col("kind") == NUMBER) | said(text.rlike(V.NUMBER_LOOK))).alias("looks_numeric"),
         F.coalesce(F.bool_and(num == F.floor(num)), F.lit(True)).alias("all_whole"),
         _weighted(F.col("ts").isNotNull()).alias("dated"),
-        _weighted(filled & text & cell.endswith("%")).alias("with_percent"),
-        _every(cell.rlike(V.YEAR_VALUE)).alias("all_years"),
-        _every(F.regexp_replace(F.lower(cell), r"\.$", "").isin(V.MONTH_WORDS)).alias("all_months"),
-        _weighted(text & (F.length(cell) > 0)).alias("texts"),
-        _weighted(text & cell.rlike(V.LEADING_ZERO_VALUE)).alias("zero_led"),
-        _any(cell.rlike(V.CURRENCY_VALUE)).alias("currency_values"),
+        _weighted(filled & said(cell.endswith("%"))).alias("with_percent"),
+        _every(year).alias("all_years"),
+        _every(said(F.regexp_replace(F.lower(cell), r"\.$", "").isin(V.MONTH_WORDS))).alias("all_months"),
+        _weighted(said(F.length(cell) > 0)).alias("texts"),
+        _weighted(said(cell.rlike(V.LEADING_ZERO_VALUE))).alias("zero_led"),
+        _any(said(cell.rlike(V.CURRENCY_VALUE))).alias("currency_values"),
         F.min("num").alias("min"),
         F.max("num").alias("max"),
         F.sum(num * F.col("n")).alias("sum"),
@@ -214,7 +251,7 @@ def top_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     names = columns or df.columns
     freq = parsed_frequencies(value_frequencies(df, names)).where("filled")
     return freq.select(
-        F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1).alias("column"), "value", "n"
+        F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1).alias("column"), printed_value().alias("value"), "n"
     )
 
 

@@ -12,10 +12,9 @@ from tablelens.functions.geometry import (
     from_geojson,
     kml_positions,
     kml_positions_lenient,
-    let,
     make_parts,
 )
-from tablelens.functions.values import field_key
+from tablelens.functions.values import field_key, let
 
 WGS84 = "(?i)CRS84|4326"
 
