@@ -2,6 +2,6 @@
 
 from catalog.base import REGISTRY, Entry
 
-from catalog import scalars, profiles, groups, relations, maps  # noqa: E402,F401
+from catalog import scalars, profiles, groups, relations, maps, records, sheets, files  # noqa: E402,F401
 
 __all__ = ["REGISTRY", "Entry"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tablelens.functions import vocabulary as V
 from tablelens.functions.ranks import chunked_running_sum
 from tablelens.functions.values import clean_cell, parse_number, quoted, trimmed
+from tablelens.session import cut_lineage
 
 KEY = ["sheet_id"]
 
@@ -168,7 +169,8 @@ def repeated_blocks(cells: DataFrame, numbers: str = "br") -> DataFrame:
     """
     full = filled_cells(cells).withColumn("num", parse_number("text", numbers))
     ordered = F.array_sort(F.collect_list(F.struct("col", "text", F.col("num").isNotNull().alias("is_num"))))
-    lines = full.groupBy("sheet_id", "row").agg(ordered.alias("cells"))  # one line per row, sheet width at most
+    # one line per row, sheet width at most; read by every step below
+    lines = cut_lineage(full.groupBy("sheet_id", "row").agg(ordered.alias("cells")))
     rest = F.slice("cells", 2, F.size("cells") - 1)
     heads = (
         lines.where(F.size("cells") >= 4)
@@ -240,6 +242,7 @@ def repeated_blocks(cells: DataFrame, numbers: str = "br") -> DataFrame:
     ).select(
         "sheet_id", "row", "col", "entity_name", "period", "entity", "indicator", parse_number(text_at(F.col("col")), numbers).alias("Total")
     )
+    long = cut_lineage(long)
     alive = long.groupBy("sheet_id", "entity").agg(F.count("Total").alias("n")).where("n > 0")
     long = long.join(alive.drop("n"), ["sheet_id", "entity"], "left_semi").join(names, "sheet_id")
     parts = split_labels(long.select("sheet_id", F.col("indicator").alias("label")))

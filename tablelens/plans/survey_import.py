@@ -132,9 +132,11 @@ def normalise(marks: DataFrame, mapping: Mapping = Mapping()) -> Imported:
     described = merged_fields("fields", description_fields("description"))
     kind, one = _first_geometry(F.col("geometry"))
     parts = F.size("geometry.points") + F.size("geometry.lines") + F.size("geometry.polys")
-    rows = numbered(marks).withColumns(
+    read = marks.withColumns(
         {"_fields": S.canonical_fields(described, mapping.fields), "_first": kind, "_several": F.coalesce(parts, F.lit(0)) > 1, "_one": one}
     )
+    # the files are read and their fields named once
+    rows = cut_lineage(numbered(read.drop("description", "fields", "geometry")))
     rows = _mark_reference_points(classify(rows, mapping), mapping)
     value = lambda canon: S.canonical_value("_fields", canon)
     rows = rows.withColumns(

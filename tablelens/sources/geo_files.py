@@ -200,7 +200,7 @@ def first_per_key(pairs: Column) -> Column:
     return F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
 
 
-def read_kml(spark: SparkSession, path: str, depth: int = 6, lenient: bool = False) -> DataFrame:
+def read_kml(spark: SparkSession, path: str | list[str], depth: int = 5, lenient: bool = False) -> DataFrame:
     """One row per placemark of KML files, in document order.
 
     ``(file, position, name, folder_path, description, fields, timestamp, source_id, geometry)``.
