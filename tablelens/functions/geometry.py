@@ -293,22 +293,44 @@ def centroid(parts: Column | str) -> Column:
     return F.when(F.size(p["polys"]) > 0, by_area).when(F.size(p["lines"]) > 0, by_length).otherwise(mean_of(p["points"]))
 
 
-def ring_contains(ring: Column, lon: Column, lat: Column) -> Column:
-    """Even-odd test: an odd number of ring edges lies to the right of the point."""
+def _edges(ring: Column) -> Column:
+    """Edges of a closed ring as ``struct<x0, y0, x1, y1>``."""
     shifted = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-    crossed = lambda a, b: ((a[1] > lat) != (b[1] > lat)) & (lon < F.try_divide((b[0] - a[0]) * (lat - a[1]), b[1] - a[1]) + a[0])
-    hits = F.size(F.filter(F.zip_with(ring, shifted, crossed), lambda x: F.coalesce(x, F.lit(False))))
-    return (F.size(ring) > 0) & (hits % 2 == 1)
+    edge = lambda a, b: F.struct(a[0].alias("x0"), a[1].alias("y0"), b[0].alias("x1"), b[1].alias("y1"))
+    return F.zip_with(ring, shifted, edge)
 
 
-def contains(parts: Column | str, lon: Column, lat: Column) -> Column:
+def polygon_edges(parts: Column | str) -> Column:
+    """Edges per polygon and ring, prepared once for many point tests."""
+    return F.transform(_c(parts)["polys"], lambda rings: F.transform(rings, _edges))
+
+
+def _encloses(edges: Column, lon: Column, lat: Column) -> Column:
+    """Even-odd test: an odd number of edges lies to the right of the point."""
+    crossed = lambda e: ((e["y0"] > lat) != (e["y1"] > lat)) & (
+        lon < F.try_divide((e["x1"] - e["x0"]) * (lat - e["y0"]), e["y1"] - e["y0"]) + e["x0"]
+    )
+    return F.aggregate(edges, F.lit(False), lambda odd, e: odd != F.coalesce(crossed(e), F.lit(False)))
+
+
+def edges_contain(edges: Column | str, lon: Column, lat: Column) -> Column:
     """The point is inside some outer ring and in none of that polygon's holes."""
+    return F.exists(
+        _c(edges),
+        lambda rings: F.coalesce(
+            _encloses(F.get(rings, F.lit(0)), lon, lat)
+            & ((F.size(rings) == 1) | ~F.exists(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda h: _encloses(h, lon, lat))),
+            F.lit(False),
+        ),
+    )
+
+
+def ring_contains(ring: Column, lon: Column, lat: Column) -> Column:
+    return _encloses(_edges(ring), lon, lat)
 
-    def inside(rings: Column) -> Column:
-        holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
-        return ring_contains(F.get(rings, F.lit(0)), lon, lat) & ~F.exists(holes, lambda h: ring_contains(h, lon, lat))
 
-    return F.exists(_c(parts)["polys"], lambda rings: F.coalesce(inside(rings), F.lit(False)))
+def contains(parts: Column | str, lon: Column, lat: Column) -> Column:
+    return edges_contain(polygon_edges(parts), lon, lat)
 
 
 PROBLEMS = ("not_numeric", "projected", "out_of_range", "point_at_zero", "short_ring", "open_ring")

@@ -77,24 +77,24 @@ def lower_quantiles(freq: DataFrame, keys: list[str], value: str, count: str, sh
 
 
 def running_total_desc(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
-    """Running sum from the largest value down; ties follow ``tie`` upwards.
+    """Running sum from the largest value down; equal values follow the hash of ``tie``.
 
-    Each bin is summed on its own and shifted by the total of the bins above it.
+    Three levels are summed apart and shifted by what comes before: the bin, the value with a
+    slice of the hash, and the row. Neither many close values nor very many equal ones end up in
+    one task.
     """
-    binned = df.withColumn("_bin", order_bin(F.col(value)))
-    above = Window.orderBy(F.col("_bin").desc())
-    shift = (
-        binned.groupBy("_bin")
-        .agg(F.sum(value).alias("_sum"))
-        .select("_bin", (F.sum("_sum").over(above) - F.col("_sum")).alias("_shift"))
-    )
-    inside = Window.partitionBy("_bin").orderBy(F.col(value).desc(), F.col(tie)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    cut = df.withColumns({"_bin": order_bin(F.col(value)), "_h": F.xxhash64(tie)}).withColumn("_slice", F.shiftright("_h", 54))
+    slices = cut.groupBy("_bin", value, "_slice").agg(F.sum(value).alias("_sum"))
+    in_bin = Window.partitionBy("_bin").orderBy(F.col(value).desc(), "_slice")
+    placed = slices.withColumn("_after", F.sum("_sum").over(in_bin) - F.col("_sum"))
+    above = Window.orderBy(F.col("_bin").desc())  # one row per bin
+    bins = slices.groupBy("_bin").agg(F.sum("_sum").alias("_all")).select("_bin", (F.sum("_all").over(above) - F.col("_all")).alias("_above"))
+    shift = placed.join(bins, "_bin").select("_bin", value, "_slice", (F.col("_after") + F.col("_above")).alias("_shift"))
+    inside = Window.partitionBy("_bin", value, "_slice").orderBy("_h", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        binned.join(shift, "_bin")
+        cut.join(shift, ["_bin", value, "_slice"])
         .withColumn(out, F.sum(value).over(inside) + F.col("_shift"))
-        .drop("_bin", "_shift")
+        .drop("_bin", "_h", "_slice", "_shift")
     )
 
 

@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.geometry import bbox, contains
+from tablelens.functions.geometry import bbox, edges_contain, polygon_edges
 from tablelens.session import cut_lineage
 
-SALT = 8
+
+def _salt(df: DataFrame) -> int:
+    """Tasks a single busy cell is spread over; each polygon cell is repeated that often."""
+    return max(4, min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def valid_position(lon: Column, lat: Column) -> Column:
@@ -21,9 +24,9 @@ def valid_position(lon: Column, lat: Column) -> Column:
 
 
 def _polygon_cells(polygons: DataFrame, polygon_id: str, geometry: str) -> DataFrame:
-    shaped = polygons.select(F.col(polygon_id).alias("polygon"), F.col(geometry).alias("shape"), bbox(geometry).alias("box"))
-    # shapes are parsed once, not once per condition and per use below
-    boxed = cut_lineage(shaped).where(F.size(F.col("shape.polys")) > 0)
+    shaped = polygons.select(F.col(polygon_id).alias("polygon"), polygon_edges(geometry).alias("edges"), bbox(geometry).alias("box"))
+    # shapes are read once, not once per condition and per use below
+    boxed = cut_lineage(shaped).where(F.size("edges") > 0)
     extent = F.greatest(F.col("box.max_lon") - F.col("box.min_lon"), F.col("box.max_lat") - F.col("box.min_lat"), F.lit(1e-6))
     level = F.ceil(F.log2(extent)).cast("int")
     cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level")))
@@ -40,12 +43,13 @@ def _matches(polygons: DataFrame, polygon_id: str, geometry: str, places: DataFr
     levels = sorted(r.level for r in cells.select("level").distinct().collect())  # at most some 30 sizes
     if not levels:
         return places.limit(0).withColumns({"polygon": F.lit(None).cast(polygons.schema[polygon_id].dataType)})
-    salted = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salt = _salt(places)
+    salted = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     spots = (
         places.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
         .withColumn("cx", F.floor(F.col("lon") / F.pow(F.lit(2.0), F.col("level"))))
         .withColumn("cy", F.floor(F.col("lat") / F.pow(F.lit(2.0), F.col("level"))))
-        .withColumn("salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(SALT)).cast("int"))
+        .withColumn("salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(salt)).cast("int"))
     )
     near = (
         (F.col("lon") >= F.col("box.min_lon"))
@@ -55,8 +59,8 @@ def _matches(polygons: DataFrame, polygon_id: str, geometry: str, places: DataFr
     )
     return (
         spots.join(salted, ["level", "cx", "cy", "salt"])
-        .where(near & contains("shape", F.col("lon"), F.col("lat")))
-        .drop("level", "cx", "cy", "salt", "shape", "box")
+        .where(near & edges_contain("edges", F.col("lon"), F.col("lat")))
+        .drop("level", "cx", "cy", "salt", "edges", "box")
     )
 
 

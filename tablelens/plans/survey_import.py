@@ -58,7 +58,7 @@ def numbered(marks: DataFrame) -> DataFrame:
     files = marks.select("file").distinct().withColumn("_file_no", F.row_number().over(Window.orderBy("file")) - 1)
     order = Window.partitionBy("file").orderBy("position")
     at = F.row_number().over(order).cast("bigint") - 1
-    return marks.withColumn("_at", at).join(F.broadcast(files), "file").withColumn("index", F.col("_file_no") * F.lit(1 << 32) + F.col("_at")).drop("_at", "_file_no")
+    return marks.withColumn("_at", at).join(files, "file").withColumn("index", F.col("_file_no") * F.lit(1 << 32) + F.col("_at")).drop("_at", "_file_no")
 
 
 def _folder_choice(mapping: Mapping) -> Column:

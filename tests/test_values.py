@@ -80,8 +80,11 @@ def test_order_statistics_match_sorting(spark):
 
 def test_running_totals(spark):
     df = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("c", 100.0), ("d", -1.0)], "k string, v double")
-    got = {r.k: r.t for r in ranks.running_total_desc(df, "v", "k", "t").collect()}
-    assert got == {"c": 100.0, "a": 105.0, "b": 110.0, "d": 109.0}
+    got = sorted((r.v, r.t) for r in ranks.running_total_desc(df, "v", "k", "t").collect())
+    assert got == [(-1.0, 109.0), (5.0, 105.0), (5.0, 110.0), (100.0, 100.0)]
+    many = spark.range(4000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 3 + 1.0).alias("v"))
+    total = ranks.running_total_desc(many, "v", "k", "t").agg(F.count_distinct("t").alias("n"), F.max("t").alias("m")).first()
+    assert total[:] == (4000, many.agg(F.sum("v")).first()[0])
     rows = spark.range(1, 1001).select(F.lit("s").alias("s"), F.col("id").alias("pos"), F.lit(2).alias("v"))
     out = ranks.chunked_running_sum(rows, ["s"], "pos", "v", "t", chunk=64)
     assert out.where("t <> pos * 2").count() == 0 and out.count() == 1000
