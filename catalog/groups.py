@@ -24,7 +24,7 @@ _AGG_SQL = {
     "mean": "round(avg(l_extendedprice), 4)",
     "min": "min(l_extendedprice)",
     "max": "max(l_extendedprice)",
-    "median": "median(l_extendedprice)",
+    "median": "round(median(l_extendedprice), 6)",
 }
 
 

@@ -58,7 +58,7 @@ def _(spark, d):
 
 @query(
     "geo_measures", "GEO-01 GEO-02 GEO-03",
-    "with " + SQUARE_SQL + "select id, 'Polygon' as kind, round(w * w, 6) as area, round(x + w / 2, 6) as cx, round(y + w / 2, 6) as cy, round(x, 6) as min_lon, round(y + w, 6) as max_lat from sq",
+    "with " + SQUARE_SQL + "select id, 'Polygon' as kind, round((w * w)::double, 6) as area, round(x + w / 2, 6) as cx, round(y + w / 2, 6) as cy, round(x::double, 6) as min_lon, round((y + w)::double, 6) as max_lat from sq",
 )
 def _(spark, d):
     c, b = G.centroid("geometry"), G.bbox("geometry")

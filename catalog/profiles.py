@@ -71,7 +71,7 @@ for _name in STAR:
 ROLES = {
     "events": [
         ("event_id", "identifier", None, False), ("ts", "time", None, False), ("user_id", "identifier", None, False),
-        ("event_type", "dimension", None, False), ("value", "measure", None, True), ("props", "dimension", None, False),
+        ("event_type", "dimension", None, False), ("value", "measure", None, True),
     ],
     "orders": [
         ("o_orderkey", "measure", None, True), ("o_custkey", "measure", None, True), ("o_orderstatus", "dimension", None, False),
@@ -99,7 +99,10 @@ def _roles(name):
 
 
 for _name in ROLES:
-    query(f"role_{_name}", "PRF-11", _roles_sql(_name))(_roles(_name))
+    # free text or category depends on how many values repeat
+    _props = """ union all select 'props', case when count(distinct props) <= greatest(20.0, count(*) * 0.05) then 'dimension' when count(distinct props) >= count(*) * 0.95 then 'identifier'
+      when count(distinct props) <= 60 then 'dimension' else 'text' end, null, false from events"""
+    query(f"role_{_name}", "PRF-11", _roles_sql(_name) + (_props if _name == "events" else ""))(_roles(_name))
 
 
 # ------------------------------------------------------------------ columns made for the special rules

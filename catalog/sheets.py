@@ -92,7 +92,9 @@ def _(spark, d):
 
 @query(
     "grid_split_labels", "GRD-05",
-    """select 's' as sheet_id, concat(p_type, ' ', p_brand) as label, p_type as situation, p_brand as subgroup from (select distinct p_type, p_brand from part)""",
+    """with l as (select distinct p_type as t, p_brand as b from part), c as (select b from l group by 1 having count(*) >= 3), s as (select count(*) >= 2 as ok from c)
+    select 's' as sheet_id, concat(t, ' ', b) as label, case when ok then case when b in (select b from c) then t else concat(t, ' ', b) end end as situation,
+      case when ok and b in (select b from c) then b end as subgroup from l, s""",
 )
 def _(spark, d):
     labels = table(spark, d, "part").select(F.lit("s").alias("sheet_id"), F.concat_ws(" ", "p_type", "p_brand").alias("label"))
