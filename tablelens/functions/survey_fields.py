@@ -174,5 +174,11 @@ def place_folder(path: Column | str) -> Column:
     return F.try_element_at(F.filter(p, lambda f: ~name_key(f).rlike(V.TYPE_FOLDER)), F.lit(-1))
 
 
-def is_boundary_name(c: Column) -> Column:
-    return name_key(c).rlike(V.BOUNDARY_NAME)
+def is_boundary_name(c: Column, places: tuple[str, ...] = ()) -> Column:
+    """A name that tells the outline of the area: a word for it, or exactly one of ``places``."""
+    key = name_key(c)
+    named = [key == name_key(F.lit(p)) for p in places]
+    out = key.rlike(V.BOUNDARY_NAME)
+    for same in named:
+        out = out | same
+    return out

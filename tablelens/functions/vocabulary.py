@@ -1,6 +1,6 @@
 """Word lists, patterns and constants that decide results.
 
-Everything here must stay exactly as it is for results to agree with existing dashboards.
+Everything here must stay exactly as it is for results to agree with earlier ones.
 Callers may pass their own values wherever a function takes one of these as a default.
 """
 
@@ -164,7 +164,7 @@ TYPE_FOLDER = (
     r"\bpits?\b|captur|coleta|resultado|positiv|negativ|visita|busca|pesquisa|rota|trajeto|percurso"
     r"|^localidades?\b|^comunidades?$|^areas?\b|^poligonos?$|^pontos?$"
 )
-BOUNDARY_NAME = r"(^|\s)(limite|municipio|municipal|contorno)(\s|$)|^croata$"
+BOUNDARY_NAME = r"(^|\s)(limite|municipio|municipal|contorno)(\s|$)"
 END_MARK = r"(?:in\S{0,3}cio|inicial|incial|final)(?:\s*[/\\-]\s*(?:in\S{0,3}cio|inicial|incial|final))?"
 CODE_AND_MARK_AT_END = r"(?iu)\s*\b(?:c[oó]d\.?\s*)?\d{2,6}\s*(?:" + END_MARK + r")?\s*$"
 MARK_AT_END = r"(?iu)\s*\b" + END_MARK + r"\s*$"

@@ -30,11 +30,12 @@ DUPLICATE_ATTRIBUTES = [
 
 @dataclass(frozen=True)
 class Mapping:
-    """User decisions: field labels, folder types and locality spellings."""
+    """User decisions: field labels, folder types, locality spellings and the names of the whole area."""
 
     fields: dict[str, str] = field(default_factory=dict)
     folders: dict[str, str] = field(default_factory=dict)
     locality_aliases: dict[str, str] = field(default_factory=dict)
+    boundary_places: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -202,6 +203,7 @@ def normalise(marks: DataFrame, mapping: Mapping = Mapping()) -> Imported:
             _issue(F.col("_named_species").isNotNull(), "info", "especie_pelo_nome"),
         )
     )
+    outline = lambda c: S.is_boundary_name(c, mapping.boundary_places)
     records = rows.select(
         "file",
         "index",
@@ -232,7 +234,7 @@ def normalise(marks: DataFrame, mapping: Mapping = Mapping()) -> Imported:
         _blank(value("endereco")).alias("address"),
         (
             (F.col("type") == "area")
-            & (S.is_boundary_name(F.col("name")) | F.exists("folder_path", S.is_boundary_name))
+            & (outline(F.col("name")) | F.exists("folder_path", outline))
         ).alias("is_boundary"),
         F.col("_fields").alias("raw"),
         issues.alias("issues"),

@@ -33,7 +33,7 @@ CAPTURE = {
 }
 DOC = f"""<kml xmlns="http://www.opengis.net/kml/2.2"><Document>
 <Folder><name>Localidades</name>{mark("Vila Alfa cod 0001 Início", data({"Quantidade de Imoveis": "40"}) + pt(-40.9, -4.4))}{mark("Vila Alfa cod 0001 Final", pt(-40.9, -4.41))}{mark("Luminosa", pt(-40.8, -4.4))}</Folder>
-<Folder><name>Area das Localidades</name>{mark("Vila Alfa", poly(-40.95, -4.45, 0.1))}{mark("Sítio Beta", poly(-40.7, -4.3, 0.05))}{mark("Croatá(Sede)", poly(-41.2, -4.6, 0.05))}</Folder>
+<Folder><name>Area das Localidades</name>{mark("Vila Alfa", poly(-40.95, -4.45, 0.1))}{mark("Sítio Beta", poly(-40.7, -4.3, 0.05))}{mark("Serra(Sede)", poly(-41.2, -4.6, 0.05))}</Folder>
 <Folder><name>Coleta</name>
 {mark("T. Brasilensis", data(CAPTURE) + pt(-40.9001, -4.4001))}
 {mark("P. Lutzi P.", data({"Localidade": "SITIO BETA", "Data de Captura": "27/07/2026", "Campanha_Captura ou PIT": "Captura", "INTRA ou PERI": "PERI", "Ninfa_Macho ou Femea": "Ninfa", "Resultado do Exame a Fresco": "Negaivo"}) + pt(-40.68, -4.28))}
@@ -62,7 +62,7 @@ def test_records(done):
         "captura", dt.date(2026, 6, 30), dt.date(2026, 5, 26), "positivo", "pit", "intra", "Adulto", "Fêmea", "12", "Triatoma brasiliensis", "Vila Alfa",
     )
     assert (b.exam_result, b.stage, b.species, b.locality_raw, b.search_result) == ("negativo", "Ninfa", "Panstrongylus lutzi", "Sítio Beta", "com_captura")
-    assert (c.exam_result, c.environment, c.sex, c.locality_raw, c.locality_how) == ("nao_informado", "intra_peri", "Macho e Fêmea", "Croatá(Sede)", "partial")
+    assert (c.exam_result, c.environment, c.sex, c.locality_raw, c.locality_how) == ("nao_informado", "intra_peri", "Macho e Fêmea", "Serra(Sede)", "partial")
     assert lost.locality_raw == "Vila Alfa" and copy.duplicate_of == a["index"]
     assert by("Luminosa").type == "outro" and by("Limite do município").is_boundary and by("Rota").type == "rota"
     assert by("Vila Alfa cod 0001 Início").property_count == 40 and by("Vila Alfa cod 0001 Início").locality_key == "vila alfa"
