@@ -19,6 +19,8 @@ NEAREST = 16
 SHARED = 5
 #: Four times the root of the number of vectors, within these bounds: the sample that the index is fitted on.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 16_384
+#: Pivots are less alike than this, so that a crowd of near copies does not use them up.
+APART = 0.7
 #: An inverted list with more vectors is dealt to pairs of cells of about this size.
 CELL = 2_048
 
@@ -29,6 +31,18 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def spread(sample: np.ndarray, wanted: int, least: int, size: int) -> np.ndarray:
+    """Up to ``wanted`` unit vectors of the sample that are pairwise apart, in its order; fixed directions up to ``least``."""
+    kept = np.zeros((wanted, size))
+    n = 0
+    for x in sample:
+        if n < wanted and (not n or (kept[:n] @ x).max() < APART):
+            kept[n] = x
+            n += 1
+    more = unit(np.random.default_rng(size).standard_normal((max(0, least - n), size)))
+    return np.concatenate((kept[:n], more))
+
+
 def nearest(units: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
     """The numbers of the ``n`` nearest pivots, nearest first, ties by number."""
     likeness = units @ pivots.T
@@ -74,8 +88,8 @@ def close_vectors(
 ) -> DataFrame:
     """One row per input row: ``id_col, n_links, component_id, kept``.
 
-    Equal vectors are one node with a number of copies. The pivots are a bounded sample of the nodes (of those
-    with the most common length first; other lengths get fixed directions); every node is described by its
+    Equal vectors are one node with a number of copies. The pivots come from a bounded sample of the nodes of the
+    most common length, without those too much alike; other lengths get fixed directions. Every node is described by its
     ``near`` nearest pivots in order. Nodes are candidates if they share ``shared`` pivots. As two such
     descriptions must meet within the ``near - shared + 1`` rarest pivots of each, only those lead to inverted
     lists, and a pair is judged in the list of its rarest common one. A list above ``cell`` nodes is dealt to cells
@@ -98,11 +112,11 @@ def close_vectors(
     wanted = pivots or int(np.clip(4 * np.sqrt(total), LEAST_PIVOTS, MOST_PIVOTS))
     sizes = {r[0]: r[1] for r in nodes.groupBy(F.size("_v")).count().orderBy(F.desc("count")).limit(1).collect()}
     common = next(iter(sizes), 0)
-    sample = [r[0] for r in nodes.filter(F.size("_v") == common).select("_v").orderBy(F.xxhash64("_v")).limit(wanted).collect()]
-    own = unit(np.array(sample)) if sample else np.zeros((0, 0))
+    sample = [r[0] for r in nodes.filter(F.size("_v") == common).select("_v").orderBy(F.xxhash64("_v")).limit(2 * wanted).collect()]
+    own = spread(unit(np.array(sample)), wanted, LEAST_PIVOTS, common) if sample else np.zeros((0, 0))
 
     def points(size: int) -> np.ndarray:
-        return own if size == common else unit(np.random.default_rng(size).standard_normal((LEAST_PIVOTS, size)))
+        return own if size == common else spread(np.zeros((0, size)), LEAST_PIVOTS, LEAST_PIVOTS, size)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

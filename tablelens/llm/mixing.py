@@ -133,14 +133,14 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, weigh=cycle_weights, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with its columns. A cut copy holds its taken words joined by one space."""
+    """The mix itself: every document as often as it is taken, with its columns. A cut copy holds its taken words joined by one space; a text without words is not in it."""
     plan = mix_sources(docs, weigh, id_col, text_col, source_col, **options)
     # rows of one id, source and size share an answer
     plan = plan.groupBy(F.col(id_col).alias("_pid"), F.col("source").alias("_psource"), F.col("size").alias("_psize")).agg(
         F.max("copies").alias("_copies"), F.max_by(F.struct("from_1", "to_1", "to_2"), "taken").alias("_cut"))
     rows = docs.select(packed(docs), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"), words_in(F.col(text_col)).alias("_size"))
     on = F.col("_id").eqNullSafe(F.col("_pid")) & F.col("_source").eqNullSafe(F.col("_psource")) & (F.col("_size") == F.col("_psize"))
-    rows = rows.join(plan.filter("_copies > 0 or _cut.to_1 > _cut.from_1 or _cut.to_2 > 0").hint("shuffle_hash"), on)
+    rows = rows.join(plan.filter("_psize > 0 and (_copies > 0 or _cut.to_1 > _cut.from_1 or _cut.to_2 > 0)").hint("shuffle_hash"), on)
     extra = F.col("_cut.to_1") - F.col("_cut.from_1") + F.col("_cut.to_2")
     words = F.regexp_extract_all("_text", F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.concat(F.slice(words, F.lit(1), F.col("_cut.to_2").cast("int")), F.slice(words, (F.col("_cut.from_1") + 1).cast("int"), (F.col("_cut.to_1") - F.col("_cut.from_1")).cast("int"))), " ")

@@ -151,7 +151,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("_id").alias(id_col), "base", F.coalesce("added", none).alias("added"), F.col("_text").alias(text_col))
 
 
-def sanitised(found: DataFrame, text_col: str = "text") -> Column:
+def sanitised(text_col: str = "text") -> Column:
     """The text of a ``personal_data`` row with entities and generalised terms replaced by their kind and removed terms left out."""
     spans = F.array_sort(F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))),

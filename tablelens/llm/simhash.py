@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import batched, packed, parts
@@ -38,18 +38,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def text_mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id_col, fp``: the 64 bits as a signed long, one row per input row."""
+    """``id_col, mark, fp``: the 64 bits as a signed long, one row per input row; ``mark`` tells texts of one id apart."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             fps = np.array([fingerprint(t, shingle) for t in rows["_text"]], dtype=np.uint64)
-            yield pd.DataFrame({"_id": rows["_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"_id": rows["_id"], "mark": rows["_mark"], "fp": fps.view(np.int64)})
 
     batched(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"_id {kind}, fp long").withColumnRenamed("_id", id_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), text_mark(F.col(text_col)).alias("_mark"))
+    return rows.mapInPandas(run, f"_id {kind}, mark long, fp long").withColumnRenamed("_id", id_col)
 
 
 def block_keys(fp, widths: tuple[int, ...], distance: int):
@@ -145,7 +149,7 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     shingle: int = SHINGLE, distance: int = DISTANCE, widths: tuple[int, ...] = WIDTHS, cell: int = CELL,
 ) -> DataFrame:
-    """One row per input row: ``id_col, fp, component_id`` (the smallest id reachable over links of ``distance`` bits or fewer).
+    """One row per input row: ``id_col, mark, fp, component_id`` (the smallest id reachable over links of ``distance`` bits or fewer).
 
     Documents with one fingerprint are one node, so copies cost nothing. Null, empty and blank texts have
     fingerprint 0 and link like any other. Null ids take part and are never the smallest unless a component
@@ -157,11 +161,12 @@ def near_duplicates(
     placed = nodes.join(joined, F.col("fp") == F.col("node"), "left").withColumn("_root", F.coalesce("component", "fp"))
     least = placed.groupBy(F.col("_root").alias("_group")).agg(F.min("_least").alias("component_id"))
     placed = placed.join(least, F.col("_root") == F.col("_group")).select(F.col("fp").alias("_node"), "component_id")
-    return prints.join(placed, F.col("fp") == F.col("_node")).select(id_col, "fp", "component_id")
+    return prints.join(placed, F.col("fp") == F.col("_node")).select(id_col, "mark", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with the smallest id of their component, with all their columns. Rows with a null id stay where no id is known."""
-    stay = near_duplicates(docs, id_col, text_col, **options).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    rows = docs.select(packed(docs), F.col(id_col).alias("_id"))
-    return rows.join(stay.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_stay")), "left_semi").select("_row.*")
+    known = near_duplicates(docs, id_col, text_col, **options)
+    stay = known.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay"), F.col("mark").alias("_mark")).distinct()
+    rows = docs.select(packed(docs), F.col(id_col).alias("_id"), text_mark(F.col(text_col)).alias("_own"))
+    return rows.join(stay.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_own") == F.col("_mark")), "left_semi").select("_row.*")
