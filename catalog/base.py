@@ -51,7 +51,7 @@ _RECORDS = """
     case doc_id % 10 when 0 then 'localidade' when 1 then 'visita' when 2 then 'pit' else 'captura' end as type,
     concat('Registro ', doc_id % 97) as name,
     case when doc_id % 23 = 5 then null else source end as locality_key,
-    case when doc_id % 23 = 5 then null else concat(upper(substring(source, 1, 1)), substring(source, 2, 20)) end as locality_raw,
+    case when doc_id % 23 = 5 then null else concat(upper(substring(source, 1, 1)), substring(source, 2)) end as locality_raw,
     case when doc_id % 11 = 0 then null else {visit} end as visit_date,
     case when toxic is null or doc_id % 13 = 1 then null else {exam} end as exam_date,
     case when quality = 1 then 'com_captura' when quality = 0 then 'sem_captura' else 'nao_informado' end as search_result,

@@ -45,7 +45,7 @@ def _(spark, d):
 
 @query("agg_ranking", "AGG-02", f"select p_brand as label, round({MONEY.format('p_retailprice')}, 2) as value from part group by 1 order by 2 desc, 1 limit 15")
 def _(spark, d):
-    return rounded(A.ranking(table(spark, d, "part"), "p_brand", "p_retailprice", "sum"), 2, "value")
+    return rounded(A.ranking(table(spark, d, "part"), "p_brand", "p_retailprice", "sum", top=15), 2, "value")
 
 
 @query("agg_source_order", "AGG-03", "select p_brand as label, count(*)::double as value, min(p_partkey) as position from part group by 1")
@@ -83,7 +83,7 @@ def cross_rows(spark, d):
     _CROSS + "select t.x as label, ss.s as series, round(g.v, 2) as value, round(lv, 2) as label_value from t cross join ss left join g on g.x = t.x and g.s = ss.s",
 )
 def _(spark, d):
-    return rounded(A.cross_values(cross_rows(spark, d), "o_orderstatus", "o_orderpriority", "o_totalprice"), 2, "value", "label_value")
+    return rounded(A.cross_values(cross_rows(spark, d), "o_orderstatus", "o_orderpriority", "o_totalprice", dense=True), 2, "value", "label_value")
 
 
 @query(
@@ -96,7 +96,19 @@ def _(spark, d):
 
 @query("agg_pivot_top", "AGG-05", f"select cast(l_suppkey as varchar) as label, round({MONEY.format('l_quantity')}, 2) as value from lineitem group by 1 order by 2 desc, 1 limit 25")
 def _(spark, d):
-    return rounded(A.cross_values(table(spark, d, "lineitem"), "l_suppkey", value="l_quantity"), 2, "value").select("label", "value")
+    return rounded(A.cross_values(table(spark, d, "lineitem"), "l_suppkey", value="l_quantity", top=25), 2, "value").select("label", "value")
+
+
+@query(
+    "agg_pivot_many_series", "AGG-05 AGG-06",
+    """with g as (select l_returnflag as x, l_orderkey::varchar as s, sum(l_quantity) as v, count(*) as n from lineitem group by all)
+    select x as label, s as series, v as value, sum(v) over (partition by x) as label_value, n, (sum(n) over (partition by x))::bigint as label_total from g""",
+)
+def _(spark, d):
+    """Every order is a series of its own."""
+    li = table(spark, d, "lineitem")
+    sums = A.cross_values(li, "l_returnflag", "l_orderkey", "l_quantity")
+    return sums.join(A.stacked_counts(li, "l_returnflag", "l_orderkey").withColumnRenamed("value", "n"), ["label", "series"])
 
 
 @query(
@@ -105,7 +117,7 @@ def _(spark, d):
     select x as label, y as series, n as label_total, (select count(*) from part where p_brand = x and p_type = y) as value from t cross join s""",
 )
 def _(spark, d):
-    return A.stacked_counts(table(spark, d, "part"), "p_brand", "p_type")
+    return A.stacked_counts(table(spark, d, "part"), "p_brand", "p_type", top=15, dense=True)
 
 
 @query(
@@ -113,7 +125,7 @@ def _(spark, d):
     _CROSS + "select x as label, s as series, round(v / sum(v) over (partition by x) * 100, 6) as share from g",
 )
 def _(spark, d):
-    long = A.cross_values(cross_rows(spark, d), "o_orderstatus", "o_orderpriority", "o_totalprice").where("value is not null")
+    long = A.cross_values(cross_rows(spark, d), "o_orderstatus", "o_orderpriority", "o_totalprice", dense=True).where("value is not null")
     return rounded(A.percent_of_label(long), 6, "share").select("label", "series", "share")
 
 
@@ -122,7 +134,7 @@ def _(spark, d):
     _CROSS + "select t.x as label, ss.s as series, round(g.v, 2) as value, round((select min(v) from g), 2) as low, round((select max(v) from g), 2) as high from t cross join ss left join g on g.x = t.x and g.s = ss.s",
 )
 def _(spark, d):
-    long = A.cross_values(cross_rows(spark, d), "o_orderstatus", "o_orderpriority", "o_totalprice")
+    long = A.cross_values(cross_rows(spark, d), "o_orderstatus", "o_orderpriority", "o_totalprice", dense=True)
     return rounded(A.heat_matrix(long), 2, "value", "low", "high").select("label", "series", "value", "low", "high")
 
 
@@ -195,6 +207,14 @@ def _(spark, d):
     return rounded(A.best_correlation(li, ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "dobro"]), 6, "r")
 
 
+@query("agg_best_corr_wide", "AGG-19", "select 'w18' as a, 'w19' as b, count(*) as n, round(corr(l_quantity, l_quantity * 2 + l_linenumber), 6) as r from lineitem")
+def _(spark, d):
+    """Twenty columns; the related pair comes last."""
+    noise = [F.hash(F.lit(i), "l_orderkey", "l_linenumber").cast("double").alias(f"w{i}") for i in range(18)]
+    li = table(spark, d, "lineitem").select(*noise, F.col("l_quantity").alias("w18"), (F.col("l_quantity") * 2 + F.col("l_linenumber")).alias("w19"))
+    return rounded(A.best_correlation(li, li.columns), 6, "r")
+
+
 @query("agg_scatter", "AGG-20", "select l_quantity as x, l_tax as y from lineitem where l_orderkey % 10 <> 3")
 def _(spark, d):
     li = table(spark, d, "lineitem").select("l_quantity", F.when(F.col("l_orderkey") % 10 != 3, F.col("l_tax")).alias("t"))
@@ -287,7 +307,7 @@ def _(spark, d):
       round(max(total) / sum(total) * 100, 6) as share, sum(gaps)::bigint as gaps from p""",
 )
 def _(spark, d):
-    long = A.cross_values(cross_rows(spark, d), "o_orderstatus", "o_orderpriority", "o_totalprice")
+    long = A.cross_values(cross_rows(spark, d), "o_orderstatus", "o_orderpriority", "o_totalprice", dense=True)
     return rounded(rounded(Z.leading_series(long), 2, "total", "peak"), 6, "share")
 
 
@@ -295,7 +315,7 @@ def _(spark, d):
     select s as series, min_by(v, y) as first_value, max_by(v, y) as last_value, round((max_by(v, y) - min_by(v, y)) / min_by(v, y) * 100, 6) as change from g group by 1""")
 def _(spark, d):
     o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy").alias("y"), "o_orderpriority")
-    return rounded(Z.series_changes(A.cross_values(o, "y", "o_orderpriority", how="count")), 6, "change")
+    return rounded(Z.series_changes(A.cross_values(o, "y", "o_orderpriority", how="count", dense=True)), 6, "change")
 
 
 @query("win_representative", "WIN-05", "select o_custkey, min_by(o_orderpriority, o_orderkey) as o_orderpriority from orders group by 1")
@@ -364,7 +384,7 @@ def _(spark, d):
     select 'total' as kpi, round(sum("Total"), 2) as value, null::double as share from m
     union all select 'top_entity', round(max(v), 2), null from (select sum("Total") as v from m group by entity)
     union all select 'peak_period', round(max(v), 2), null from (select sum("Total") as v from m group by period)
-    union all (select 'situation', round(v, 2), round(v / coalesce((select v from o where situation = (select situation from ms)), 1) * 100, 4) from o where situation <> (select situation from ms) order by v desc limit 3)
+    union all (select 'situation', round(v, 2), round(v / coalesce((select v from o where situation = (select situation from ms)), 1) * 100, 4) from o where situation <> (select situation from ms))
     union all select 'periods', count(distinct period), null from long union all select 'entities', count(distinct entity), null from long""",
 )
 def _(spark, d):

@@ -184,7 +184,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = squares(spark, d).select("id", "geometry").join(table(spark, d, "supplier"), F.col("id") == F.col("s_suppkey"))
-    return M.territory(rows, "s_name", "s_acctbal", "geometry").select("unit", "geometry_type", "value", "class")
+    return M.territory(rows, "s_name", "s_acctbal", "geometry", limit=30).select("unit", "geometry_type", "value", "class")
 
 
 @query("geo_survey_point", "GEO-15", "with " + SQUARE_SQL + "select id, round(x + w / 2, 6) as lon, round(y + w / 2, 6) as lat from sq")

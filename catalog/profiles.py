@@ -182,7 +182,7 @@ def _(spark, d):
 def _(spark, d):
     k = F.col("o_orderkey")
     rows = table(spark, d, "orders").select(k, F.when(k % 50 == 0, "abc").otherwise((k % 1000).cast("string")).alias("medida"))
-    return P.invalid_values(rows, "medida", "o_orderkey")
+    return P.invalid_values(rows, "medida", "o_orderkey", first=25)
 
 
 @query(
@@ -272,6 +272,17 @@ def _(spark, d):
     return Q.relations(rate_rows(spark, d), ["parte", "todo", "taxa", "l_extendedprice"])
 
 
+@query(
+    "prf_relations_wide", "PRF-19",
+    """select 'taxa' as p, 'parte' as a, 'todo' as b, count(*) as n, count(*) filter (where l_orderkey % 100 = 0) as bad from lineitem""",
+)
+def _(spark, d):
+    """Twenty columns, two of them constant; the rate comes last."""
+    noise = [(F.hash(F.lit(i), "l_orderkey", "l_linenumber") % 1000 * F.pow(F.lit(-3.0), F.lit(i))).cast("double").alias(f"r{i}") for i in range(15)]
+    wide = rate_rows(spark, d).select(F.lit(100.0).alias("cem"), F.lit(1.0).alias("um"), *noise, "parte", "todo", "taxa")
+    return Q.relations(wide, wide.columns)
+
+
 @query(
     "prf_relation_mismatches", "PRF-20",
     "select l_orderkey as row, count(*) as n from lineitem where l_orderkey % 100 = 0 group by 1",
@@ -305,11 +316,11 @@ def _(spark, d):
 
 
 YEARS = """with y as (select strftime(l_shipdate, '%Y') as ano, sum(l_quantity) as quantidade, round(sum(l_extendedprice::decimal(18,2))::double, 2) as valor, count(*)::double as linhas
-  from lineitem where l_shipdate < timestamp '2001-01-01' group by 1) """
+  from lineitem group by 1) """
 
 
 def yearly(spark, d):
-    li = table(spark, d, "lineitem").where("l_shipdate < timestamp '2001-01-01'")
+    li = table(spark, d, "lineitem")
     return li.groupBy(F.date_format("l_shipdate", "yyyy").alias("ano")).agg(
         F.sum("l_quantity").alias("quantidade"), F.round(F.sum("l_extendedprice"), 2).alias("valor"), F.count(F.lit(1)).cast("double").alias("linhas")
     )

@@ -72,7 +72,7 @@ def _(spark, d):
 
 @query("join_repeated_keys", "JOI-03", "select cast(o_custkey as varchar) as key, count(*) as n from orders group by 1 having n > 1 order by 2 desc, 1 limit 5")
 def _(spark, d):
-    return J.repeated_keys(table(spark, d, "orders"), "o_custkey")
+    return J.repeated_keys(table(spark, d, "orders"), "o_custkey", top=5)
 
 
 @query(
@@ -124,11 +124,11 @@ def _(spark, d):
 
 @query(
     "join_known_spelling", "JOI-11",
-    "select doc_id, case when doc_id % 2 = 0 then concat('SRC', substring(source, 4, 9)) else concat(source, ' novo') end as place, doc_id % 2 = 1 as is_new from documents",
+    "select doc_id, case when doc_id % 2 = 0 then concat('SRC', substring(source, 4)) else concat(source, ' novo') end as place, doc_id % 2 = 1 as is_new from documents",
 )
 def _(spark, d):
     docs = table(spark, d, "documents")
-    shouted = F.concat(F.lit("SRC"), F.substring("source", 4, 9))
+    shouted = F.concat(F.lit("SRC"), F.substr(F.col("source"), F.lit(4)))
     rows = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.concat("source", F.lit(" novo"))).alias("place"))
     known = docs.select(name_key("source").alias("key"), shouted.alias("name"))
     return J.known_spelling(rows, "place", name_key("place"), known)
@@ -230,7 +230,7 @@ def _(spark, d):
 @query(
     "lnk_resolve", "LNK-03",
     """select typed as name, segment as resolved, how, count(*) as n from (select c_mktsegment as segment,
-      case c_custkey % 4 when 0 then lower(c_mktsegment) when 1 then concat(left(c_mktsegment, 3), substring(c_mktsegment, 5, 20)) when 2 then concat('x', c_mktsegment) else 'OTHER' end as typed,
+      case c_custkey % 4 when 0 then lower(c_mktsegment) when 1 then concat(left(c_mktsegment, 3), substring(c_mktsegment, 5)) when 2 then concat('x', c_mktsegment) else 'OTHER' end as typed,
       case c_custkey % 4 when 0 then 'exact' when 3 then 'new' else 'similar' end as how from customer) group by all having how <> 'new'
     union all select 'OTHER', 'OTHER', 'new', count(*) from customer where c_custkey % 4 = 3""",
 )
@@ -238,7 +238,7 @@ def _(spark, d):
     c = table(spark, d, "customer")
     k, s = F.col("c_custkey") % 4, F.col("c_mktsegment")
     typed = (
-        F.when(k == 0, F.lower(s)).when(k == 1, F.concat(F.substring(s, 1, 3), F.substring(s, 5, 20))).when(k == 2, F.concat(F.lit("x"), s)).otherwise("OTHER")
+        F.when(k == 0, F.lower(s)).when(k == 1, F.concat(F.substring(s, 1, 3), F.substr(s, F.lit(5)))).when(k == 2, F.concat(F.lit("x"), s)).otherwise("OTHER")
     )
     rows = c.select(typed.alias("typed"))
     found = L.resolve_names(rows, "typed", c.select("c_mktsegment").distinct(), "c_mktsegment")
@@ -280,7 +280,7 @@ def _(spark, d):
 @query("lnk_record_duplicates", "LNK-04")
 def _(spark, d):
     """Survey records with positions, empty attributes and large groups; whole table."""
-    r = survey_records(spark, d).where("type in ('captura', 'visita')").withColumn("ordem", F.substring("rid", 2, 20).cast("bigint"))
+    r = survey_records(spark, d).where("type in ('captura', 'visita')").withColumn("ordem", F.substr(F.col("rid"), F.lit(2)).cast("bigint"))
     score = U.completeness(["visit_date", "exam_date", "species", "stage", "channel", "environment"])
     return U.find_duplicates(r, "ordem", score, ["type", "locality_key"], ["visit_date", "sex", "stage", "channel", "environment", "species"])
 

@@ -90,6 +90,21 @@ def number_of(df: DataFrame, name: str, numbers: str = "br") -> Column:
     return F.lit(None).cast("double")
 
 
+def typed_values(df: DataFrame, name: str, texts: list[str]) -> list | None:
+    """The texts as values of a whole-number or boolean column, without those that no value prints as; None for other columns.
+
+    A predicate on the column itself can be pushed to the scan, one on its text cannot.
+    """
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.BooleanType):
+        return [t == "true" for t in texts if t in ("true", "false")]
+    if not isinstance(dtype, T.IntegralType):
+        return None
+    bound = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31}.get(type(dtype), 63)
+    whole = [int(t) for t in texts if t.lstrip("-").isascii() and t.lstrip("-").isdigit() and str(int(t)) == t]
+    return [n for n in whole if -(2**bound) <= n < 2**bound]
+
+
 def round_half_up(c: Column | str, digits: int = 0) -> Column:
     """Halves go towards plus infinity (-2.5 becomes -2), unlike SQL ``round``."""
     scale = float(10**digits)

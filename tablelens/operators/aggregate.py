@@ -5,12 +5,14 @@ Results are long frames; ``NULL`` means no data. ``position`` is the presentatio
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions import vocabulary as V
 from tablelens.functions.ranks import medians
-from tablelens.functions.values import finite, number_of, quoted, text_of
+from tablelens.functions.values import finite, number_of, quoted, text_of, typed_values
 
 HOWS = ("count", "sum", "mean", "min", "max", "median")
 
@@ -44,7 +46,7 @@ def group_values(df: DataFrame, key: str, value: str | None = None, how: str = "
 
 
 def ranking(
-    df: DataFrame, key: str, value: str | None = None, how: str = "count", top: int | None = 15, numbers: str = "br"
+    df: DataFrame, key: str, value: str | None = None, how: str = "count", top: int | None = None, numbers: str = "br"
 ) -> DataFrame:
     """Groups from the largest value down; equal values in label order."""
     ordered = group_values(df, key, value, how, numbers).orderBy(F.col("value").desc(), "label")
@@ -63,7 +65,7 @@ def in_source_order(
 
 
 def ratio_values(
-    df: DataFrame, key: str, numerator: str, denominator: str, top: int | None = 15, numbers: str = "br"
+    df: DataFrame, key: str, numerator: str, denominator: str, top: int | None = None, numbers: str = "br"
 ) -> DataFrame:
     """Sum over sum per group, times 100, over rows that have both numbers."""
     rows = df.select(
@@ -85,12 +87,16 @@ def ratio_values(
 
 
 def where_lists(df: DataFrame, where: dict[str, list[str]] | None) -> Column:
-    """Value lists per column; the no-value marker in a list accepts empty cells."""
+    """Value lists per column; the no-value marker in a list accepts empty cells.
+
+    Typed columns are compared with typed values, which reach the scan.
+    """
     cond = F.lit(True)
     for name, accepted in (where or {}).items():
         text = text_of(df, name)
-        listed = F.coalesce(text.isin([a for a in accepted]), F.lit(False))
-        cond = cond & ((listed & text.isNotNull()) | (text.isNull() & F.lit(V.NO_VALUE in accepted)))
+        typed = typed_values(df, name, accepted)
+        listed = quoted(name).isin(typed) if typed is not None else text.isin(list(accepted))
+        cond = cond & ((F.coalesce(listed, F.lit(False)) & text.isNotNull()) | text.isNull() if V.NO_VALUE in accepted else listed)
     return cond
 
 
@@ -101,14 +107,17 @@ def cross_values(
     value: str | None = None,
     how: str = "sum",
     where: dict[str, list[str]] | None = None,
-    top: int | None = 25,
+    top: int | None = None,
     order_by: str | None = None,
     numbers: str = "br",
+    dense: bool = False,
 ) -> DataFrame:
     """One value per ``x`` label and series: ``(label, series, value, label_value)``.
 
-    Without ``series_by`` the series is null and the largest ``top`` labels stay (all of them, in
-    first-seen order, when ``order_by`` is given). Combinations without rows are null.
+    Without ``series_by`` the series is null. The largest ``top`` labels stay if it is given; with
+    ``order_by`` labels come in first-seen order instead. Cells stay long, so any number of series is
+    fine. A label without cells has one row without a series; ``dense`` lists every kept label with every
+    series, absent ones as null, which is labels times series rows.
     """
     rows = df.where(where_lists(df, where))
     keys = {"label": text_of(df, x)}
@@ -127,29 +136,38 @@ def cross_values(
         # a label with no numeric value at all still is on the axis
         axis = rows.select(keys["label"].alias("label")).dropna().distinct()
         totals = axis.join(totals, "label", "left")
-    cells = aggregate(
-        keyed_values(rows, {**keys, "series": text_of(df, series_by)}, value, how, numbers), ["label", "series"], how
-    )
-    wide = cells.groupBy("label").pivot("series").agg(F.first("value"))
-    names = [c for c in wide.columns if c != "label"]
-    dense = totals.join(wide, "label", "left")
-    pairs = F.array(*[F.struct(F.lit(n).alias("series"), quoted(n).alias("value")) for n in names])
+    if top and not order_by:
+        totals = totals.orderBy(F.col("label_value").desc_nulls_last(), "label").limit(top)
+    source = keyed_values(rows, {**keys, "series": text_of(df, series_by)}, value, how, numbers)
+    if top and not order_by:
+        source = source.join(totals.select("label"), "label", "left_semi")
+    cells = aggregate(source, ["label", "series"], how)
     head = ["label", "label_value", *(["position"] if order_by else [])]
-    if not names:
-        return totals.select(*head, F.lit(None).cast("string").alias("series"), F.lit(None).cast("double").alias("value"))
-    return dense.select(*head, F.inline(pairs))
+    if not dense:
+        return totals.join(cells, "label", "left").select(*head, "series", "value")
+    return _every_series(totals, cells).join(cells, ["label", "series"], "left").select(*head, "series", "value")
 
 
-def stacked_counts(df: DataFrame, x: str, stack: str, top: int = 15) -> DataFrame:
-    """Row counts per label and series for the ``top`` largest labels; no rows counts as 0."""
+def _every_series(labels: DataFrame, cells: DataFrame) -> DataFrame:
+    """Every label with every series of the cells; a null series if there is none."""
+    names = cells.agg(F.collect_set("series").alias("s")).select("s").scalar()
+    return labels.withColumn("series", F.explode_outer(names))
+
+
+def stacked_counts(df: DataFrame, x: str, stack: str, top: int | None = None, dense: bool = False) -> DataFrame:
+    """Row counts per label and series, of the ``top`` largest labels if given; with ``dense`` absent pairs count as 0."""
     rows = df.select(text_of(df, x).alias("label"), text_of(df, stack).alias("series")).dropna()
-    counts = rows.groupBy("label", "series").agg(F.count(F.lit(1)).alias("n"))
-    wide = counts.groupBy("label").pivot("series").agg(F.sum("n"))
-    names = [c for c in wide.columns if c != "label"]
-    total = sum((F.coalesce(quoted(n), F.lit(0)) for n in names), F.lit(0).cast("bigint"))
-    biggest = wide.withColumn("label_total", total).orderBy(F.col("label_total").desc(), "label").limit(top)
-    pairs = F.array(*[F.struct(F.lit(n).alias("series"), F.coalesce(quoted(n), F.lit(0)).alias("value")) for n in names])
-    return biggest.select("label", "label_total", F.inline(pairs))
+    labels = rows.groupBy("label").agg(F.count(F.lit(1)).alias("label_total"))
+    kept = rows
+    if top:
+        labels = labels.orderBy(F.col("label_total").desc(), "label").limit(top)
+        kept = rows.join(labels.select("label"), "label", "left_semi")
+    counts = kept.groupBy("label", "series").agg(F.count(F.lit(1)).alias("value"))
+    if not dense:
+        return labels.join(counts, "label").select("label", "label_total", "series", "value")
+    # every series of the table, also those that no kept label has
+    pairs = _every_series(labels, rows.select("series").distinct())
+    return pairs.join(counts, ["label", "series"], "left").select("label", "label_total", "series", F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def percent_of_label(long: DataFrame) -> DataFrame:
@@ -282,31 +300,36 @@ def pearson(df: DataFrame, a: str, b: str, numbers: str = "br") -> DataFrame:
     return df.agg(*_moments(x, y)).select("n", _r().alias("r"))
 
 
+PAIRS_AT_ONCE = 64
+
+
 def best_correlation(
-    df: DataFrame, columns: list[str], first: int = 8, min_rows: int = 8, min_r: float = 0.5, numbers: str = "br"
+    df: DataFrame, columns: list[str], first: int | None = None, min_rows: int = 8, min_r: float = 0.5, numbers: str = "br"
 ) -> DataFrame:
-    """The most correlated pair among the first numeric columns, all pairs in one pass."""
-    names = columns[:first]
+    """The most correlated pair of the numeric columns (of the ``first`` ones if given).
+
+    All pairs are aggregated without a shuffle of rows, ``PAIRS_AT_ONCE`` in one pass, so that an
+    aggregate stays small enough for generated code; equal strengths go to the pair listed first.
+    """
+    names = columns[:first] if first else columns
     nums = df.select(*[number_of(df, c, numbers).alias(f"c{i}") for i, c in enumerate(names)])
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, n bigint, r double")
-    seen = nums.agg(
-        *[F.struct(*_moments(F.col(f"c{i}"), F.col(f"c{j}"))).alias(f"p{k}") for k, (i, j) in enumerate(pairs)]
-    )
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("k"),
-                F.lit(names[i]).alias("a"),
-                F.lit(names[j]).alias("b"),
-                F.col(f"p{k}.n").alias("n"),
-                _r(f"p{k}.").alias("r"),
-            )
-            for k, (i, j) in enumerate(pairs)
-        ]
-    )
-    strong = seen.select(F.inline(table)).where((F.col("n") >= min_rows) & (F.abs("r") >= min_r))
+
+    def measured(start: int) -> DataFrame:
+        some = list(enumerate(pairs))[start : start + PAIRS_AT_ONCE]
+        seen = nums.agg(*[F.struct(*_moments(F.col(f"c{i}"), F.col(f"c{j}"))).alias(f"p{k}") for k, (i, j) in some])
+        table = F.array(
+            *[
+                F.struct(F.lit(k).alias("k"), F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"p{k}.n").alias("n"), _r(f"p{k}.").alias("r"))
+                for k, (i, j) in some
+            ]
+        )
+        return seen.select(F.inline(table))
+
+    every = reduce(DataFrame.unionByName, [measured(start) for start in range(0, len(pairs), PAIRS_AT_ONCE)])
+    strong = every.where((F.col("n") >= min_rows) & (F.abs("r") >= min_r))
     return strong.orderBy(F.abs("r").desc(), "k").limit(1).select("a", "b", "n", "r")
 
 

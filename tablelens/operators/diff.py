@@ -29,7 +29,7 @@ def _sums(df: DataFrame, columns: list[str], out: str, numbers: str) -> DataFram
     return totals.select(F.inline(table))
 
 
-def changed_sums(before: DataFrame, after: DataFrame, columns: list[str], top: int | None = 6, numbers: str = "br") -> DataFrame:
+def changed_sums(before: DataFrame, after: DataFrame, columns: list[str], top: int | None = None, numbers: str = "br") -> DataFrame:
     """Sums of numeric columns that differ, the largest change first."""
     common = [c for c in columns if c in before.columns and c in after.columns]
     both = _sums(before, common, "before", numbers).join(_sums(after, common, "after", numbers), "column")
@@ -61,7 +61,7 @@ def compare_versions(before: DataFrame, after: DataFrame, before_profile: DataFr
         "rows": row_counts(before, after),
         "columns": column_changes(before, after),
         "sums": changed_sums(before, after, numeric),
-        "values": value_changes(before, after, categories[:6]),
+        "values": value_changes(before, after, categories),
     }
 
 

@@ -8,14 +8,19 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.values import date_of, fold, is_temporal, quoted, text_of
+from tablelens.functions.values import date_of, fold, is_temporal, quoted, text_of, typed_values
 
 
 def equals(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    """Equality on many columns, compared as text; an empty cell equals the empty text."""
+    """Equality on many columns, compared as text; an empty cell equals the empty text.
+
+    Whole-number and boolean columns are compared with the typed value, which reaches the scan; a text
+    that none of their values prints as matches no row. Doubles have many spellings and stay text.
+    """
     cond = F.lit(True)
     for name, value in wanted.items():
-        same = text_of(df, name) == value
+        typed = typed_values(df, name, [value])
+        same = text_of(df, name) == value if typed is None else quoted(name) == typed[0] if typed else F.lit(False)
         cond = cond & (F.coalesce(text_of(df, name), F.lit("")) == "" if value == "" else same)
     return df.where(cond)
 

@@ -85,7 +85,7 @@ def unmatched_keys(left: DataFrame, right: DataFrame, left_key: str, right_key:
     return lost(l, r, "left").unionByName(lost(r, l, "right"))
 
 
-def repeated_keys(df: DataFrame, key: str, top: int | None = 5) -> DataFrame:
+def repeated_keys(df: DataFrame, key: str, top: int | None = None) -> DataFrame:
     found = key_counts(df, key, "n").where("n > 1").orderBy(F.col("n").desc(), "key")
     return found.limit(top) if top else found
 

@@ -201,7 +201,6 @@ def long_kpis(df: DataFrame, spec: LongSpec, numbers: str = "br") -> DataFrame:
         others = (
             sums.where(F.col("situation") != main_s)
             .orderBy(F.col("value").desc(), "situation")
-            .limit(3)
             .withColumn("share", F.col("value") / F.coalesce(base, F.lit(1.0)) * 100)
         )
         out = out.unionByName(row(4, "situation", others, F.col("situation"), F.col("value"), F.col("share")))

@@ -204,7 +204,7 @@ def origin_destination(df: DataFrame, origin: str, destination: str, weight: str
 
 
 def territory(
-    df: DataFrame, label: str, measure: str, geometry: str | None = None, lat: str | None = None, classes: int = 5, limit: int | None = 30, numbers: str = "br"
+    df: DataFrame, label: str, measure: str, geometry: str | None = None, lat: str | None = None, classes: int = 5, limit: int | None = None, numbers: str = "br"
 ) -> DataFrame:
     """Units from the largest measure down with their class; units without data come last."""
     v = number_of(df, measure, numbers)

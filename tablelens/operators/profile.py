@@ -255,11 +255,12 @@ def top_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def invalid_values(df: DataFrame, column: str, order_by: str, first: int = 25, numbers: str = "br") -> DataFrame:
-    """The first cells of a numeric column that are neither empty, a marker nor a number."""
+def invalid_values(df: DataFrame, column: str, order_by: str, first: int | None = None, numbers: str = "br") -> DataFrame:
+    """Cells of a numeric column that are neither empty, a marker nor a number, the ``first`` ones if given."""
     v = text_of(df, column)
     bad = v.isNotNull() & ~is_missing_marker(v) & parse_number(v, numbers).isNull()
-    return df.where(bad).select(quoted(order_by).alias("row"), v.alias("value")).orderBy("row").limit(first)
+    found = df.where(bad).select(quoted(order_by).alias("row"), v.alias("value")).orderBy("row")
+    return found.limit(first) if first else found
 
 
 def outliers(df: DataFrame, columns: list[str], numbers: str = "br", min_rows: int = 8) -> DataFrame:

@@ -64,41 +64,55 @@ def _off(a: Column, b: Column, p: Column) -> Column:
     return (a > b) | (F.abs(F.try_divide(a, b) * 100 - p) > tolerance)
 
 
-def relations(df: DataFrame, columns: list[str], first: int = 14, percent: set[str] = frozenset(), numbers: str = "br") -> DataFrame:
-    """Rates that come from two other columns: ``(p, a, b, n, bad)``.
+COUNTS_AT_ONCE = 100
 
-    The first pass counts, per pair, the rows in which A can be a part of B. A pair for which that
-    is too rare cannot give any rate, so only the others are checked, on all rows, in a second
-    pass. Each triple is reported once, preferably with the rate-named column as the result.
+
+def _counted(nums: DataFrame, conditions: dict[str, Column]) -> dict[str, int]:
+    """How many rows meet each condition; a bounded number of counters per pass keeps the generated code small."""
+    names, out = list(conditions), {}
+    for start in range(0, len(names), COUNTS_AT_ONCE):
+        some = names[start : start + COUNTS_AT_ONCE]
+        out |= nums.agg(*[F.count_if(conditions[n]).alias(n) for n in some]).first().asDict()
+    return out
+
+
+def relations(df: DataFrame, columns: list[str], first: int | None = None, percent: set[str] = frozenset(), numbers: str = "br") -> DataFrame:
+    """Rates that come from two other columns: ``(p, a, b, n, bad)``; of the ``first`` columns if given.
+
+    Columns with one value only are left out. The first passes count, per pair, the rows in which A can be a
+    part of B. A pair for which that is too rare cannot give any rate, so only the others are checked, on
+    all rows. All of it is counting without a shuffle of rows. Each triple is reported once, preferably with
+    the rate-named column as the result.
     """
-    names = columns[:first]
-    nums = df.select(F.array(*[number_of(df, c, numbers) for c in names]).alias("v"))
-    v = F.col("v")
-    pairs = [(a, b) for a in range(len(names)) for b in range(len(names)) if a != b]
+    names = columns[:first] if first else columns
+    none = df.sparkSession.createDataFrame([], "p string, a string, b string, n bigint, bad bigint")
     if len(names) < 3:
-        return df.sparkSession.createDataFrame([], "p string, a string, b string, n bigint, bad bigint")
-
-    def ids(items: list[tuple[int, ...]]) -> Column:
-        return F.array(*[F.array(*[F.lit(i) for i in t]) for t in items])
-
-    at = lambda i: F.element_at(v, F.element_at("t", i) + 1)
-    part = nums.select("v", F.explode(ids(pairs)).alias("t"))
-    usable = at(1).isNotNull() & at(2).isNotNull() & (at(2) != 0)
-    pair_counts = part.groupBy("t").agg(F.count_if(usable).alias("both"), F.count_if(usable & (at(1) <= at(2))).alias("fits"))
-    empty = nums.agg(*[F.count_if(F.element_at(v, i + 1).isNull()).alias(f"e{i}") for i in range(len(names))]).first()
-    triples = []
-    for row in pair_counts.collect():  # at most first * (first - 1) counters
-        a, b = row.t
-        for p in range(len(names)):
-            # at least both - empty(p) rows count, and two thirds of them have to fit
-            if p not in (a, b) and row.fits * 3 >= (row.both - empty[f"e{p}"]) * 2 and row.fits > 0:
-                triples.append((p, a, b))
+        return none
+    nums = df.select(*[number_of(df, c, numbers).alias(f"c{i}") for i, c in enumerate(names)])
+    facts = nums.agg(
+        *[F.count_if(F.col(f"c{i}").isNull()).alias(f"e{i}") for i in range(len(names))],
+        *[(F.min(f"c{i}") < F.max(f"c{i}")).alias(f"v{i}") for i in range(len(names))],
+    ).first()
+    varied = [i for i in range(len(names)) if facts[f"v{i}"]]
+    pairs = [(a, b) for a in varied for b in varied if a != b]
+    usable = lambda a, b: F.col(f"c{a}").isNotNull() & F.col(f"c{b}").isNotNull() & (F.col(f"c{b}") != 0)
+    fits = _counted(nums, {f"{kind}_{a}_{b}": usable(a, b) if kind == "both" else usable(a, b) & (F.col(f"c{a}") <= F.col(f"c{b}")) for a, b in pairs for kind in ("both", "fits")})
+    triples = [
+        (p, a, b)
+        for a, b in pairs
+        for p in varied
+        # at least both - empty(p) rows count, and two thirds of them have to fit
+        if p not in (a, b) and fits[f"fits_{a}_{b}"] * 3 >= (fits[f"both_{a}_{b}"] - facts[f"e{p}"]) * 2 and fits[f"fits_{a}_{b}"] > 0
+    ]
     if not triples:
-        return df.sparkSession.createDataFrame([], "p string, a string, b string, n bigint, bad bigint")
-    checked = nums.select("v", F.explode(ids(triples)).alias("t"))
-    p_, a_, b_ = at(1), at(2), at(3)
-    counted = p_.isNotNull() & a_.isNotNull() & b_.isNotNull() & (b_ != 0)
-    scores = checked.groupBy("t").agg(F.count_if(counted).alias("n"), F.count_if(counted & _off(a_, b_, p_)).alias("bad"))
+        return none
+    tested = {}
+    for p, a, b in triples:
+        counted = F.col(f"c{p}").isNotNull() & usable(a, b)
+        tested[f"n_{p}_{a}_{b}"] = counted
+        tested[f"bad_{p}_{a}_{b}"] = counted & _off(F.col(f"c{a}"), F.col(f"c{b}"), F.col(f"c{p}"))
+    found = _counted(nums, tested)
+    scores = df.sparkSession.createDataFrame([([p, a, b], found[f"n_{p}_{a}_{b}"], found[f"bad_{p}_{a}_{b}"]) for p, a, b in triples], "t array<int>, n bigint, bad bigint")
     valid = scores.where("n >= 3 and bad <= floor(n / 3)")
     best = valid.groupBy(F.element_at("t", 1).alias("p")).agg(
         F.min_by(F.struct("t", "n", "bad"), F.struct("bad", F.element_at("t", 2), F.element_at("t", 3))).alias("x")
@@ -185,8 +199,8 @@ def table_kpis(profile: DataFrame, measure: str | None = None) -> DataFrame:
     return one.select(F.inline(F.array_compact(rows)))
 
 
-def period_kpis(df: DataFrame, period: str, columns: list[str], order_by: str, top: int = 4, numbers: str = "br") -> DataFrame:
-    """First and last period of the numeric columns that changed most."""
+def period_kpis(df: DataFrame, period: str, columns: list[str], order_by: str, top: int | None = None, numbers: str = "br") -> DataFrame:
+    """First and last period of the numeric columns, the largest change first (the ``top`` ones if given)."""
     at = quoted(order_by)
     nums = [number_of(df, c, numbers) for c in columns]
     box = lambda x: F.struct(x.alias("v"))
@@ -209,11 +223,11 @@ def period_kpis(df: DataFrame, period: str, columns: list[str], order_by: str, t
         ]
     )
     change = (F.col("last_value") - F.col("first_value")) / F.abs("first_value") * 100
-    return (
+    found = (
         ends.select("first_period", "last_period", F.inline(rows))
         .where("varies and first_value <> 0 and last_value is not null")
         .withColumn("change", change)
         .orderBy(F.abs("change").desc(), "column")
-        .limit(top)
         .drop("varies")
     )
+    return found.limit(top) if top else found

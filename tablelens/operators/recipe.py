@@ -7,12 +7,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.values import quoted
+from tablelens.functions.values import quoted, text_of
 from tablelens.operators.filters import date_between, equals, text_search
 from tablelens.operators.metrics import Metric, add_row_metrics
 
-MERGE_LITERALS = 200
-
 
 @dataclass(frozen=True)
 class Recipe:
@@ -56,20 +54,16 @@ def move_column(recipe: Recipe, old: str, new: str) -> Recipe:
 
 
 def apply_merges(df: DataFrame, merges: dict[str, dict[str, str]]) -> DataFrame:
-    """Replace listed spellings by the chosen one; long lists go through a small joined table."""
+    """Replace listed spellings by the chosen one, whatever their number.
+
+    Cells are compared as text. A text column is replaced as it is; another one turns into text where a
+    spelling is listed for it, because the chosen spelling is text. Adaptive execution picks the join.
+    """
     for name, mapping in merges.items():
         if name not in df.columns or not mapping:
             continue
-        if len(mapping) <= MERGE_LITERALS:
-            df = df.replace(mapping, subset=[name])
-            continue
-        table = df.sparkSession.createDataFrame(list(mapping.items()), "_from string, _to string")
-        order = df.columns
-        df = (
-            df.join(table, quoted(name) == F.col("_from"), "left")
-            .withColumn(name, F.coalesce("_to", quoted(name)))
-            .select(*[quoted(c) for c in order])
-        )
+        table = df.sparkSession.createDataFrame(list(mapping.items()), "spelling string, suggested string")
+        df = merge_with(df, name, table)
     return df
 
 
@@ -78,8 +72,8 @@ def merge_with(df: DataFrame, column: str, spellings: DataFrame) -> DataFrame:
     order = df.columns
     known = spellings.select(F.col("spelling").alias("_from"), F.col("suggested").alias("_to"))
     return (
-        df.join(known, quoted(column) == F.col("_from"), "left")
-        .withColumn(column, F.coalesce("_to", quoted(column)))
+        df.join(known, text_of(df, column) == F.col("_from"), "left")
+        .withColumn(column, F.coalesce("_to", text_of(df, column)))
         .select(*[quoted(c) for c in order])
     )
 
