@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog.base import query, survey_records, table
 from catalog.maps import squares
 from tablelens.functions.geometry import centroid
+from tablelens.functions.values import parse_number
 from tablelens.plans import survey_import as I
 from tablelens.session import scratch_path
 from tablelens.sources import files as S
@@ -12,12 +13,22 @@ from tablelens.sources import geo_files as G
 from tablelens.sources import sinks as K
 
 
-@query("src_roundtrip_csv", "SRC-01 SRC-02 SRC-03 SNK-01", "select cast(c_custkey as varchar) as c_custkey, c_name, c_mktsegment, case when c_acctbal < 0 then 'neg' else 'pos' end as sign from customer")
+@query("src_roundtrip_csv", "SRC-01 SRC-02 SRC-03 SNK-01", "select cast(c_custkey as varchar) as c_custkey, c_name, c_mktsegment, round(c_acctbal, 2)::double as balance from customer")
 def _(spark, d):
     path = scratch_path(spark, "csv")
     K.write_csv(table(spark, d, "customer"), path)
     back = S.read_delimited(spark, path)
-    return back.select("c_custkey", "c_name", "c_mktsegment", F.when(F.col("c_acctbal").startswith("-"), "neg").otherwise("pos").alias("sign"))
+    return back.select("c_custkey", "c_name", "c_mktsegment", F.round(parse_number("c_acctbal"), 2).alias("balance"))
+
+
+@query("src_csv_headers", "SRC-01 SRC-11", """select c_custkey::varchar as chave, c_name as nome, case when c_custkey % 2 = 0 then c_mktsegment end as segmento, case when c_custkey % 2 = 1 then c_nationkey::varchar end as pais from customer""")
+def _(spark, d):
+    """Two headers in one folder: columns in another order, and each with one of its own."""
+    path = scratch_path(spark, "headers")
+    c = table(spark, d, "customer").withColumnsRenamed({"c_custkey": "chave", "c_name": "nome", "c_mktsegment": "segmento", "c_nationkey": "pais"})
+    K.write_csv(c.where("chave % 2 = 0").select("chave", "nome", "segmento"), f"{path}/a")
+    K.write_csv(c.where("chave % 2 = 1").select("nome", "pais", "chave"), f"{path}/b c")
+    return S.read_delimited(spark, [f"{path}/a", f"{path}/b c"]).select("chave", "nome", "segmento", "pais")
 
 
 @query("src_documents_csv", "SRC-01 SNK-01", "select doc_id::varchar as doc_id, md5(trim(text, ' \t\n\r')) as digest from documents")
@@ -37,10 +48,10 @@ def _(spark, d):
     return seps.groupBy("separator", "encoding").agg((F.count(F.lit(1)) > 0).alias("any"))
 
 
-@query("src_encoding", "SRC-03", "select doc_id::varchar as doc_id, lang from documents where lang in ('fr', 'es', 'pt', 'de', 'en')")
+@query("src_encoding", "SRC-03", "select doc_id::varchar as doc_id, lang from documents")
 def _(spark, d):
     path = scratch_path(spark, "latin")
-    rows = table(spark, d, "documents").select("doc_id", F.lit("ação é çã").alias("acento"), "lang").where("lang in ('fr', 'es', 'pt', 'de', 'en')")
+    rows = table(spark, d, "documents").select("doc_id", F.lit("ação é çã").alias("acento"), "lang")
     rows.write.option("header", True).option("sep", ";").option("encoding", "windows-1252").csv(path)
     back = S.read_delimited(spark, path)
     return back.where("acento = 'ação é çã'").select("doc_id", "lang")
@@ -140,10 +151,13 @@ def _(spark, d):
     return S.stack_files([table(spark, d, "nation"), table(spark, d, "region")]).agg(F.count(F.lit(1)).alias("n"), F.count("r_name").alias("r"))
 
 
-@query("src_file_facts", "SRC-12")
+@query("src_file_facts", "SRC-12", "select n_nationkey, octet_length(encode(n_name || chr(10)))::bigint as bytes, sha256(n_name || chr(10)) as sha256 from nation")
 def _(spark, d):
-    f = S.file_facts(spark, f"{d}/*.parquet")
-    return f.select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), "bytes", "sha256")
+    """One text file per nation, in a folder of its key."""
+    path = scratch_path(spark, "facts")
+    table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    f = S.file_facts(spark, f"{path}/*/*.txt")
+    return f.select(F.regexp_extract("file", r"n_nationkey=(\d+)", 1).cast("long").alias("n_nationkey"), "bytes", "sha256")
 
 
 @query(

@@ -43,6 +43,13 @@ def _(spark, d):
     return A.group_values(li, "l_suppkey", "q", "median")
 
 
+@query("agg_median_epoch", "AGG-01", "select event_type as label, round(median(epoch(ts)), 3) as value from events group by 1")
+def _(spark, d):
+    """Times as seconds: large numbers that differ little."""
+    e = table(spark, d, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6)
+    return rounded(A.group_values(e.toDF("event_type", "s"), "event_type", "s", "median"), 3, "value")
+
+
 @query("agg_ranking", "AGG-02", f"select p_brand as label, round({MONEY.format('p_retailprice')}, 2) as value from part group by 1 order by 2 desc, 1 limit 15")
 def _(spark, d):
     return rounded(A.ranking(table(spark, d, "part"), "p_brand", "p_retailprice", "sum", top=15), 2, "value")
@@ -275,6 +282,16 @@ def _(spark, d):
     return rounded(Z.pareto(A.group_values(table(spark, d, "lineitem"), "l_partkey", "l_quantity", "sum")), 6, "cumulative").select("value", "cumulative")
 
 
+@query(
+    "win_pareto_offset", "WIN-02",
+    """select event_id, round(sum(epoch(ts)) over (order by ts desc rows unbounded preceding) / sum(epoch(ts)) over () * 100, 6) as cumulative from events""",
+)
+def _(spark, d):
+    """Times as seconds, all in one bin of the logarithmic scale."""
+    e = table(spark, d, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6).alias("value"))
+    return rounded(Z.pareto(e, "event_id"), 6, "cumulative").select("event_id", "cumulative")
+
+
 @query(
     "win_change", "WIN-03",
     _YEARS + """, u as (select ano, unnest(['total','fechado','pedidos']) as i, unnest([total, fechado, pedidos]) as v from y),

@@ -1,7 +1,9 @@
 """Exact order statistics and running totals that never put a whole group into one task.
 
 Values fall into logarithmic bins that keep their order. Counting per bin is an ordinary
-aggregation, the bins of a group are few, and only the bin holding a wanted rank is sorted.
+aggregation, the bins of a group are few, and only the bin holding a wanted rank is looked into: it is cut
+into equal steps between its own extremes, so values with a common offset, such as times of one
+day, spread as well, and only the step around the rank is sorted.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 BINS_PER_OCTAVE = 256
 _OFFSET = 300_000
+#: Equal steps that a wanted bin is cut into.
+STEPS = 65_536
 
 
 def order_bin(value: Column) -> Column:
@@ -45,15 +49,33 @@ def order_statistics(
     wanted = placed.withColumn("rank", F.explode(F.array_distinct(ranks(F.col("total"))))).where(
         (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_in_bin"))
     )
-    inside = Window.partitionBy(*keys, "_bin", "rank").orderBy(value)
+    rows = binned.join(wanted, [*keys, "_bin"]).select(*keys, "rank", "total", "_before", F.col(value).alias("value"), F.col(count).alias("_n"))
+    rows = _cut(rows, [*keys, "rank"])
+    inside = Window.partitionBy(*keys, "rank").orderBy("value")
     return (
-        binned.join(wanted, [*keys, "_bin"])
-        .withColumn("_end", F.col("_before") + F.sum(count).over(inside))
-        .where((F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col(count)))
-        .select(*keys, "rank", "total", F.col(value).alias("value"))
+        rows.withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+        .where((F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("_n")))
+        .select(*keys, "rank", "total", "value")
     )
 
 
+def step_of(value: Column, low: Column, high: Column, steps: int) -> Column:
+    """Which of ``steps`` equal steps between two extremes a value is in; halved first, so that no difference overflows."""
+    share = F.try_divide(value / 2 - low / 2, high / 2 - low / 2)
+    return F.least(F.lit(steps - 1), F.floor(F.coalesce(share, F.lit(0.0)) * steps)).cast("int")
+
+
+def _cut(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of every group only the step that holds its rank, with the number of values before it."""
+    ends = rows.groupBy(*keys).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    stepped = rows.join(ends, keys).withColumn("_step", step_of(F.col("value"), F.col("_low"), F.col("_high"), STEPS)).drop("_low", "_high")
+    by_step = stepped.groupBy(*keys, "_step").agg(F.sum("_n").alias("_in_step"), F.first("_before").alias("_base"))
+    group = Window.partitionBy(*keys).orderBy("_step")
+    placed = by_step.withColumn("_from", F.col("_base") + F.sum("_in_step").over(group) - F.col("_in_step"))
+    holding = placed.where((F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_from") + F.col("_in_step")))
+    return stepped.join(holding.select(*keys, "_step", "_from"), [*keys, "_step"]).withColumn("_before", F.col("_from")).drop("_step", "_from")
+
+
 def medians(freq: DataFrame, keys: list[str], value: str, count: str, out: str = "median") -> DataFrame:
     """Exact median per group from a value-frequency table."""
 
@@ -79,22 +101,31 @@ def lower_quantiles(freq: DataFrame, keys: list[str], value: str, count: str, sh
 def running_total_desc(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
     """Running sum from the largest value down; equal values follow the hash of ``tie``.
 
-    Three levels are summed apart and shifted by what comes before: the bin, the value with a
-    slice of the hash, and the row. Neither many close values nor very many equal ones end up in
-    one task.
+    Levels are summed apart and shifted by what comes before: the bin, equal steps between the bin's extremes,
+    the value with a slice of the hash, and the row. Neither many close values nor
+    very many equal ones end up in one task.
     """
     cut = df.withColumns({"_bin": order_bin(F.col(value)), "_h": F.xxhash64(tie)}).withColumn("_slice", F.shiftright("_h", 54))
-    slices = cut.groupBy("_bin", value, "_slice").agg(F.sum(value).alias("_sum"))
-    in_bin = Window.partitionBy("_bin").orderBy(F.col(value).desc(), "_slice")
-    placed = slices.withColumn("_after", F.sum("_sum").over(in_bin) - F.col("_sum"))
-    above = Window.orderBy(F.col("_bin").desc())  # one row per bin
-    bins = slices.groupBy("_bin").agg(F.sum("_sum").alias("_all")).select("_bin", (F.sum("_all").over(above) - F.col("_all")).alias("_above"))
-    shift = placed.join(bins, "_bin").select("_bin", value, "_slice", (F.col("_after") + F.col("_above")).alias("_shift"))
-    inside = Window.partitionBy("_bin", value, "_slice").orderBy("_h", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = cut.groupBy("_bin").agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    cut = cut.join(ends, "_bin").withColumn("_step", step_of(F.col(value), F.col("_low"), F.col("_high"), STEPS)).drop("_low", "_high")
+    levels = ["_bin", "_step", value, "_slice"]
+    sums = cut.groupBy(*levels).agg(F.sum(value).alias("_sum"))
+    # from the finest level up: each is summed within the one above, which is summed in turn
+    shift, depth = sums.withColumn("_shift", F.lit(0.0)), [[value, "_slice"], ["_step"], ["_bin"]]
+    above = levels
+    for finest in depth:
+        table = sums.groupBy(*above).agg(F.sum("_sum").alias("_all"))
+        outer = [c for c in above if c not in finest]
+        order = [F.col(c).asc() if c == "_slice" else F.col(c).desc() for c in finest]
+        place = (Window.partitionBy(*outer) if outer else Window).orderBy(*order)  # the bins are one row each
+        part = table.withColumn("_part", F.sum("_all").over(place) - F.col("_all")).drop("_all")
+        shift = shift.join(part, above).withColumn("_shift", F.col("_shift") + F.col("_part")).drop("_part")
+        above = outer
+    inside = Window.partitionBy(*levels).orderBy("_h", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        cut.join(shift, ["_bin", value, "_slice"])
+        cut.join(shift.drop("_sum"), levels)
         .withColumn(out, F.sum(value).over(inside) + F.col("_shift"))
-        .drop("_bin", "_h", "_slice", "_shift")
+        .drop("_bin", "_step", "_h", "_slice", "_shift")
     )
 
 

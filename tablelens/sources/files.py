@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from pyspark.sql import types as T
 from tablelens.functions.values import clean_cell, finite, quoted, trimmed
 
 SEPARATORS = [";", "\t", "|", ","]
-SAMPLE_LINES = 40
 SEPARATOR_SHARE = 0.6
 
 
@@ -55,81 +55,91 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ delimited text
 
 
-def text_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, encoding)``: UTF-8 when every line is valid, else Windows-1252."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
-    valid = F.bool_and("ok")
-    return lines.groupBy("file").agg(F.when(valid, "UTF-8").otherwise("windows-1252").alias("encoding"))
+def text_facts(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, encoding, separator, broken_quotes, header)`` of every file, from one scan and one aggregate.
 
-
-def separators(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, separator)`` chosen from the first lines of each file.
-
-    The winner has the same count outside quotes in most lines; more columns and a larger share
-    of agreeing lines score higher.
+    UTF-8 when every line is valid, else Windows-1252. For each separator all lines with text are counted by
+    how often they hold it outside quotes; the winner has one count in most lines, and more columns and a
+    larger share of agreeing lines score higher. ``broken_quotes``: some line has an odd number of quotes, so
+    a cell goes over several lines. ``header`` is the first line with text.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).alias("place"),
         F.regexp_replace("value", '"[^"]*("|$)', "").alias("bare"),
         "value",
     )
-    order = Window.partitionBy("file").orderBy("start", "at")
-    head = lines.where(F.length(trimmed("value")) > 0).withColumn("no", F.row_number().over(order)).where(F.col("no") <= SAMPLE_LINES)
-    seps = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(s).alias("separator")) for i, s in enumerate(SEPARATORS)])
-    counted = head.select("file", "no", "bare", F.inline(seps)).withColumn(
-        "times", F.length("bare") - F.length(F.replace("bare", "separator"))
+    text = F.length(trimmed("value")) > 0
+    times = lambda s: (F.length("bare") - F.length(F.replace("bare", F.lit(s)))).cast("int")
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    per_count = lines.groupBy("file", *[F.when(text, times(s)).alias(f"t{i}") for i, s in enumerate(SEPARATORS)]).agg(
+        F.count_if(text).alias("n"),
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"),
+        F.bool_or(odd).alias("odd"),
+        F.min(F.when(text, F.struct("place", "value"))).alias("first"),
     )
-    groups = counted.groupBy("file", "rank", "separator", "times").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("first"))
-    total = counted.groupBy("file").agg(F.count_distinct("no").alias("lines"))
-    mode = (
+    # few rows per file from here on: one per combination of counts
+    kinds = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(s).alias("separator"), F.col(f"t{i}").alias("times")) for i, s in enumerate(SEPARATORS)])
+    counted = per_count.where("n > 0").select("file", "n", "first", F.inline(kinds))
+    groups = counted.groupBy("file", "rank", "separator", "times").agg(F.sum("n").alias("n"), F.min("first.place").alias("first"))
+    whole = per_count.groupBy("file").agg(
+        F.sum("n").alias("lines"), F.bool_and("valid").alias("valid"), F.bool_or("odd").alias("broken_quotes"), F.min("first").alias("first"))
+    # of equally common counts the one that comes first in the file
+    mode = Window.partitionBy("file", "rank").orderBy(F.desc("n"), "first")
+    best = (
         groups.where("times > 0")
-        .groupBy("file", "rank", "separator")
-        .agg(F.max_by(F.struct("times", "n"), F.struct("n", (-F.col("first")).alias("f"))).alias("m"))
-        .join(total, "file")
-        .withColumn("share", F.col("m.n") / F.col("lines"))
+        .withColumn("no", F.row_number().over(mode))
+        .where("no = 1")
+        .join(whole.select("file", "lines"), "file")
+        .withColumn("share", F.col("n") / F.col("lines"))
         .where(F.col("share") >= SEPARATOR_SHARE)
-        .withColumn("score", F.col("m.times") * F.col("share") * F.col("share"))
+        .withColumn("score", F.col("times") * F.col("share") * F.col("share"))
         .groupBy("file")
         .agg(F.max_by("separator", F.struct("score", (-F.col("rank")).alias("r"))).alias("separator"))
     )
-    return total.join(mode, "file", "left").select("file", F.coalesce("separator", F.lit(",")).alias("separator"))
+    return whole.join(best, "file", "left").select(
+        "file",
+        F.when(F.col("valid"), "UTF-8").otherwise("windows-1252").alias("encoding"),
+        F.coalesce("separator", F.lit(",")).alias("separator"),
+        "broken_quotes",
+        F.col("first.value").alias("header"),
+    )
 
 
-def has_line_breaks_in_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether some line has an odd number of quotes, so that files must not be split by line."""
-    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-    return not spark.read.text(path).where(odd).limit(1).isEmpty()
+def text_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, encoding)``: UTF-8 when every line is valid, else Windows-1252."""
+    return text_facts(spark, path).select("file", "encoding")
+
+
+def separators(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, separator)`` chosen from all lines of each file."""
+    return text_facts(spark, path).select("file", "separator")
 
 
 def read_delimited(
-    spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None, multiline: bool | None = None
+    spark: SparkSession, path: str | list[str], separator: str | None = None, encoding: str | None = None, multiline: bool | None = None
 ) -> DataFrame:
     """Text cells of delimited files with a header row; cells trimmed, blank rows left out.
 
-    Separator and encoding are detected from the files; all files of one call share them. Files
-    stay splittable unless a quoted cell holds a line break.
+    Separator, encoding and header are found per file, in one scan. Files that agree in all of them are read
+    together; several kinds make one table by column name, where a file without a column has no data in it
+    (``with_source`` on the parts tells which). Files stay splittable unless a quoted cell holds a line break.
     """
-    if separator is None:
-        separator = separators(spark, path).agg(F.mode("separator", True)).first()[0] or ","
-    if encoding is None:
-        # one wrong reading would garble a file, so a mixed folder has to be read per encoding
-        kinds = [r.encoding for r in text_encodings(spark, path).select("encoding").distinct().collect()]
-        if len(kinds) > 1:
-            raise ValueError("files of several encodings; read them separately")
-        encoding = kinds[0] if kinds else "UTF-8"
-    if multiline is None:
-        multiline = has_line_breaks_in_quotes(spark, path)
-    options = {"sep": separator, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": multiline}
-    first = spark.read.options(**options).csv(path, header=False).first()
-    if first is None:
-        return spark.createDataFrame([], T.StructType([]))
-    raw = list(first)
-    raw[0] = (raw[0] or "").lstrip("﻿")
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(raw))])
-    rows = spark.read.options(**options).schema(schema).csv(path, header=True)
-    return drop_blank_rows(clean_cells(rows.toDF(*unique_names(raw))))
+    facts = text_facts(spark, path)
+    known = {"separator": separator, "encoding": encoding, "broken_quotes": multiline}
+    facts = facts.withColumns({k: F.lit(v) for k, v in known.items() if v is not None})
+    kinds = facts.where("header is not null").groupBy("separator", "encoding", "broken_quotes", "header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    parts = []
+    for kind in kinds.orderBy("files").collect():  # one row per kind of file
+        options = {"sep": kind.separator, "encoding": kind.encoding, "quote": '"', "escape": '"', "multiLine": kind.broken_quotes}
+        files = [unquote(f) for f in kind.files]  # the metadata column holds them as URIs
+        first = spark.read.options(**options).csv(files[:1], header=False).first()
+        raw = list(first)
+        raw[0] = (raw[0] or "").lstrip("\ufeff")
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(raw))])
+        rows = spark.read.options(**options).schema(schema).csv(files, header=True)
+        parts.append(drop_blank_rows(clean_cells(rows.toDF(*unique_names(raw)))))
+    return stack_files(parts) if parts else spark.createDataFrame([], T.StructType([]))
 
 
 # ------------------------------------------------------------------ JSON
@@ -182,7 +192,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_facts(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, bytes, sha256, modified)`` per file."""
+    """``(file, bytes, sha256, modified)`` per file. A file is one cell while it is hashed, so each must stay below 2 GB."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(
         F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified")
