@@ -92,14 +92,50 @@ def _(spark, d):
     return K.geojson_lines(positions(spark, d), lon="lon", lat="lat").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_roundtrip_kml", "SRC-06 SNK-06", "with rec as (select doc_id % 10 as t, doc_id from documents) select case when t = 1 then 'visita' when t = 2 then 'pit' else 'captura' end as type, count(*) as n from rec where t <> 0 group by 1")
+_RECORD_SHAPES = """with rec as (select doc_id % 10 as t, -40.0 - (n_chars % 50) / 100.0 as x, -4.0 - (doc_id % 50) / 100.0 as y from documents) """
+
+
+@query("src_roundtrip_kml", "SRC-06 SNK-06", _RECORD_SHAPES + """
+    select case t when 0 then 'localidade' when 1 then 'visita' when 2 then 'pit' else 'captura' end as type, count(*) as n,
+      round(sum(case when t = 0 then x + 0.5 else x end), 4) as lon, round(sum(case when t = 0 then y + 0.5 else y end), 4) as lat from rec group by 1""")
 def _(spark, d):
-    path = scratch_path(spark, "kml")
-    folders = K.write_kml(survey_records(spark, d).withColumn("geometry", F.lit(None).cast("struct<polys:array<array<array<array<double>>>>>")), path)
-    back = G.read_kml(spark, folders[:3]).withColumn("folder_path", F.array(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)))
+    """Points and areas, the areas of two squares each, written and read back with their places."""
     from tablelens.functions.survey_fields import folder_type
 
-    return back.groupBy(folder_type("folder_path").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    c = centroid("geometry")
+    back = _written_marks(spark, d).select(folder_type("folder_path").alias("type"), c[0].alias("lon"), c[1].alias("lat"))
+    return back.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lon"), 4).alias("lon"), F.round(F.sum("lat"), 4).alias("lat"))
+
+
+def _areas(records):
+    """Every locality as two unit squares that meet in a corner; the middle of both is half a degree off the record."""
+    corner = lambda a, b: F.array(F.col("lng") + a, F.col("lat") + b)
+    square = lambda o: F.array(F.array(corner(o, o), corner(o + 1.0, o), corner(o + 1.0, o + 1.0), corner(o, o + 1.0), corner(o, o)))
+    shapes = F.struct(F.array(square(-0.5), square(0.5)).alias("polys"))
+    return records.withColumn("geometry", F.when(F.col("type") == "localidade", shapes))
+
+
+def _written_marks(spark, d, **options):
+    path = scratch_path(spark, "kml")
+    marks = G.read_kml(spark, K.write_kml(_areas(survey_records(spark, d)), path), **options)
+    return marks.withColumn("folder_path", F.array(F.regexp_replace(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1), "%20", " ")))
+
+
+@query("src_kml_deep", "SRC-06", "select n_name as nome, concat_ws('/', 'p1', 'p2', 'p3', 'p4', 'p5', 'p6', 'p7', r_name) as pasta, 3 as pontos from nation join region on n_regionkey = r_regionkey")
+def _(spark, d):
+    """Placemarks eight folders down with collections inside each other, one file per nation."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    point = lambda k: f"<Point><coordinates>{k},{k}</coordinates></Point>"
+    shape = "<MultiGeometry>" + point(1) + "<MultiGeometry>" + point(2) + "<MultiGeometry><MultiGeometry>" + point(3) + "</MultiGeometry></MultiGeometry></MultiGeometry></MultiGeometry>"
+    opened = "".join(f"<Folder><name>p{i}</name>" for i in range(1, 8))
+    text = F.concat(
+        F.lit(f"<kml><Document>{opened}<Folder><name>"), "r_name", F.lit("</name><Placemark><name>"), "n_name",
+        F.lit(f"</name>{shape}</Placemark></Folder>" + "</Folder>" * 7 + "</Document></kml>"),
+    )
+    path = scratch_path(spark, "deep")
+    n.select("n_nationkey", text.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    marks = G.read_kml(spark, f"{path}/*/*.txt")
+    return marks.select(F.col("name").alias("nome"), F.concat_ws("/", "folder_path").alias("pasta"), F.size("geometry.points").alias("pontos"))
 
 
 @query("rec_import", "LNK-07 LNK-08 LNK-09 LNK-10")
@@ -114,10 +150,7 @@ def _(spark, d):
 
 
 def _marks(spark, d):
-    path = scratch_path(spark, "kml")
-    folders = K.write_kml(survey_records(spark, d).withColumn("geometry", F.lit(None).cast("struct<polys:array<array<array<array<double>>>>>")), path)
-    marks = G.read_kml(spark, folders[:3], lenient=True)
-    return marks.withColumn("folder_path", F.array(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)))
+    return _written_marks(spark, d, lenient=True)
 
 
 @query("src_parquet", "SRC-07", "select vec_id, embedding is not null as has_vector, label from embeddings")

@@ -30,7 +30,7 @@ def _json_type(variant_type: str) -> str:
 
 
 def geojson_features(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """``(file, position, crs, properties, geometry)`` as JSON text, one row per feature.
+    """``(file, position, crs, properties, geometry_json, broken)`` as JSON text, one row per feature or broken text.
 
     Collections, single features and bare geometries are accepted. ``one_per_line`` reads a
     feature per line, which Spark can split; a whole collection is one unit of work per file.
@@ -39,11 +39,12 @@ def geojson_features(spark: SparkSession, path: str, one_per_line: bool = False)
         F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value"
     )
     top = F.from_json("value", "type string, features array<string>, crs struct<properties:struct<name:string>>")
-    features = F.when(F.col("top.type") == "FeatureCollection", F.coalesce("top.features", empty_list("array<string>"))).otherwise(
+    broken = F.try_parse_json("value").isNull()
+    features = F.when(~F.col("broken") & (F.col("top.type") == "FeatureCollection"), F.coalesce("top.features", empty_list("array<string>"))).otherwise(
         F.array("value")
     )
-    rows = docs.where("trim(value) <> ''").withColumn("top", top).select(
-        "file", "line", F.col("top.crs.properties.name").alias("crs"), F.posexplode(features).alias("at", "feature")
+    rows = docs.where("trim(value) <> ''").withColumns({"top": top, "broken": broken}).select(
+        "file", "line", "broken", F.col("top.crs.properties.name").alias("crs"), F.posexplode(features).alias("at", "feature")
     )
     kind = F.get_json_object("feature", "$.type")
     bare = F.coalesce(kind != "Feature", F.lit(True)) & F.get_json_object("feature", "$.geometry").isNull()
@@ -51,16 +52,17 @@ def geojson_features(spark: SparkSession, path: str, one_per_line: bool = False)
         "file",
         (F.col("line") + F.col("at") + 1 if one_per_line else F.col("at") + 1).cast("bigint").alias("position"),
         "crs",
-        F.when(~bare, F.get_json_object("feature", "$.properties")).alias("properties"),
-        F.when(bare, F.col("feature")).otherwise(F.get_json_object("feature", "$.geometry")).alias("geometry_json"),
+        F.when(~bare & ~F.col("broken"), F.get_json_object("feature", "$.properties")).alias("properties"),
+        F.when(~F.col("broken"), F.when(bare, F.col("feature")).otherwise(F.get_json_object("feature", "$.geometry"))).alias("geometry_json"),
+        "broken",
     )
 
 
 def read_geojson(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """Properties as columns plus ``position``, ``geometry`` and ``geometry_problem``.
 
-    A malformed geometry keeps its row with an empty shape and the problem ``malformed``; a
-    declared system other than WGS84 is reported as ``crs``.
+    A malformed geometry keeps its row with an empty shape and the problem ``malformed``, and so does a text
+    that is no JSON, such as a file that ends too early; a declared system other than WGS84 is reported as ``crs``.
     """
     rows = geojson_features(spark, path, one_per_line)
     schema = rows.agg(F.schema_of_variant_agg(F.try_parse_json("properties")).alias("s")).first().s
@@ -68,7 +70,7 @@ def read_geojson(spark: SparkSession, path: str, one_per_line: bool = False) ->
     foreign = F.col("crs").isNotNull() & ~F.col("crs").rlike(WGS84)
     base = rows.withColumn("geometry", shape).withColumn(
         "geometry_problem",
-        F.when(F.col("geometry_json").isNotNull() & F.col("geometry").isNull(), "malformed").when(foreign, "crs"),
+        F.when(F.col("broken") | (F.col("geometry_json").isNotNull() & F.col("geometry").isNull()), "malformed").when(foreign, "crs"),
     )
     keep = ["position", "geometry", "geometry_problem"]
     if not schema or not schema.upper().startswith("OBJECT<") or schema.upper() == "OBJECT<>":
@@ -86,7 +88,15 @@ _GEOMETRY = """
     outerBoundaryIs: struct<LinearRing: struct<coordinates: string>>,
     innerBoundaryIs: array<struct<LinearRing: struct<coordinates: string>>>>>"""
 
-_PLACEMARK = f"""struct<
+def _multi(depth: int) -> str:
+    """A geometry collection with ``depth`` further ones inside each other."""
+    inner = f", MultiGeometry: array<{_multi(depth - 1)}>" if depth else ""
+    return f"struct<{_GEOMETRY}{inner}>"
+
+
+def _placemark(multi: int) -> str:
+    nested = f", MultiGeometry: array<{_multi(multi - 1)}>" if multi else ""
+    return f"""struct<
   _id: string,
   name: string,
   description: string,
@@ -95,29 +105,28 @@ _PLACEMARK = f"""struct<
   ExtendedData: struct<
     Data: array<struct<_name: string, value: string>>,
     SchemaData: array<struct<SimpleData: array<struct<_name: string, _VALUE: string>>>>>,
-  {_GEOMETRY},
-  MultiGeometry: array<struct<{_GEOMETRY}, MultiGeometry: array<struct<{_GEOMETRY}>>>>
+  {_GEOMETRY}{nested}
 >"""
 
 
-def _folder(depth: int) -> str:
-    inner = f", Folder: array<{_folder(depth - 1)}>" if depth else ""
-    return f"struct<name: string, Placemark: array<{_PLACEMARK}>{inner}>"
+def _folder(depth: int, placemark: str) -> str:
+    inner = f", Folder: array<{_folder(depth - 1, placemark)}>" if depth else ""
+    return f"struct<name: string, Placemark: array<{placemark}>{inner}>"
 
 
-def _placemarks(node: Column, path: Column, place: Column, depth: int) -> Column:
+def _placemarks(node: Column, path: Column, place: Column, depth: int, placemark: str) -> Column:
     """Placemarks of a container and of its folders with their folder path, as one array."""
     here = F.transform(
         node["Placemark"], lambda pm, i: F.struct(F.concat(place, F.array(F.lit(0), i)).alias("place"), path.alias("path"), pm.alias("pm"))
     )
-    here = F.coalesce(here, empty_list(f"array<struct<place:array<int>,path:array<string>,pm:{_PLACEMARK}>>"))
+    here = F.coalesce(here, empty_list(f"array<struct<place:array<int>,path:array<string>,pm:{placemark}>>"))
     if not depth:
         return here
     name = lambda sub: F.coalesce(F.nullif(F.trim(sub["name"]), F.lit("")), F.lit("(sem nome)"))
     below = F.flatten(
         F.transform(
             node["Folder"],
-            lambda sub, i: _placemarks(sub, F.concat(path, F.array(name(sub))), F.concat(place, F.array(F.lit(1), i)), depth - 1),
+            lambda sub, i: _placemarks(sub, F.concat(path, F.array(name(sub))), F.concat(place, F.array(F.lit(1), i)), depth - 1, placemark),
         )
     )
     return F.when(node["Folder"].isNull(), here).otherwise(F.concat(here, below))
@@ -152,13 +161,19 @@ def _member_geometries(node: Column, positions) -> tuple[Column, Column, Column]
     return points, lines, polygons
 
 
-def _placemark_parts(pm: Column, positions) -> Column:
-    multi = F.coalesce(pm["MultiGeometry"], empty_list(f"array<struct<{_GEOMETRY}, MultiGeometry: array<struct<{_GEOMETRY}>>>>"))
-    deeper = F.flatten(F.transform(multi, lambda m: F.coalesce(m["MultiGeometry"], empty_list(f"array<struct<{_GEOMETRY}>>"))))
+def _inside(collections: Column, kind: str) -> Column:
+    return F.flatten(F.transform(collections, lambda m: F.coalesce(m["MultiGeometry"], empty_list(kind))))
+
+
+def _placemark_parts(pm: Column, positions, multi: int) -> Column:
+    levels, node = [], F.array(pm)
+    for depth in range(multi, 0, -1):  # the collections of one level of all collections above it
+        node = _inside(node, f"array<{_multi(depth - 1)}>")
+        levels.append(node)
 
     def gather(i: int) -> Column:
         member = lambda m: _member_geometries(m, positions)[i]
-        return F.concat(_member_geometries(pm, positions)[i], F.flatten(F.transform(multi, member)), F.flatten(F.transform(deeper, member)))
+        return F.concat(_member_geometries(pm, positions)[i], *[F.flatten(F.transform(level, member)) for level in levels])
 
     def typed(g: Column) -> Column:
         np_, nl, ng = F.size(g["points"]), F.size(g["lines"]), F.size(g["polys"])
@@ -200,22 +215,47 @@ def first_per_key(pairs: Column) -> Column:
     return F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
 
 
-def read_kml(spark: SparkSession, path: str | list[str], depth: int = 5, lenient: bool = False) -> DataFrame:
+def _nesting(text: Column, tag: str) -> Column:
+    """How deep a tag is nested in itself; tags in comments can only make it larger."""
+    turns = F.regexp_extract_all(text, F.lit(rf"<(/?)(?:\w+:)?{tag}\b(?![^>]*/>)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, closing: Column) -> Column:
+        now = s["now"] + F.when(closing == "/", -1).otherwise(1)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(turns, start, step, lambda s: s["most"])
+
+
+def read_kml(spark: SparkSession, path: str | list[str], lenient: bool = False) -> DataFrame:
     """One row per placemark of KML files, in document order.
 
     ``(file, position, name, folder_path, description, fields, timestamp, source_id, geometry)``.
-    Folders are followed ``depth`` levels down. A file is one unit of work. ``lenient`` leaves out
-    malformed coordinates instead of the whole part. Files with a DOCTYPE are refused.
+    One pass over the text finds how deep folders and geometry collections go, so that all are followed. A
+    file is one unit of work. ``lenient`` leaves out malformed coordinates instead of the whole part. Files with a
+    DOCTYPE and files that are not well formed are refused.
     """
-    banned = spark.read.text(path).where(F.col("value").rlike("(?i)<!(DOCTYPE|ENTITY)")).limit(1)
-    if not banned.isEmpty():
+    texts = spark.read.text(path, wholetext=True)
+    facts = texts.agg(
+        F.coalesce(F.bool_or(F.col("value").rlike("(?i)<!(DOCTYPE|ENTITY)")), F.lit(False)).alias("banned"),
+        F.coalesce(F.max(_nesting(F.col("value"), "Folder")), F.lit(0)).alias("depth"),
+        F.coalesce(F.max(_nesting(F.col("value"), "MultiGeometry")), F.lit(0)).alias("multi"),
+    ).first()
+    if facts.banned:
         raise ValueError("DOCTYPE is not accepted")
-    body = f"Placemark array<{_PLACEMARK}>, Folder array<{_folder(depth - 1)}>"
-    container = f"struct<Placemark: array<{_PLACEMARK}>, Folder: array<{_folder(depth - 1)}>>"
-    doc = spark.read.format("xml").option("rowTag", "kml").schema(f"Document array<{container}>, {body}").load(path)
+    depth, multi = max(1, facts.depth), facts.multi
+    placemark = _placemark(multi)
+    body = f"Placemark array<{placemark}>, Folder array<{_folder(depth - 1, placemark)}>"
+    container = f"struct<Placemark: array<{placemark}>, Folder: array<{_folder(depth - 1, placemark)}>>"
+    doc = spark.read.format("xml").option("rowTag", "kml").option("mode", "FAILFAST").schema(f"Document array<{container}>, {body}").load(path)
+    # a file that ends too early gives no document and no error of its own
+    whole = doc.select(F.col("_metadata.file_path").alias("file")).distinct()
+    lost = texts.select(F.col("_metadata.file_path").alias("file")).join(whole, "file", "left_anti").limit(3).collect()
+    if lost:
+        raise ValueError(f"not a whole KML document: {', '.join(r.file for r in lost)}")
     none = empty_list("array<string>")
-    root = _placemarks(F.struct("Placemark", "Folder"), none, F.array(F.lit(0)), depth)
-    inside = F.flatten(F.transform("Document", lambda d, i: _placemarks(d, none, F.array(F.lit(1), i), depth)))
+    root = _placemarks(F.struct("Placemark", "Folder"), none, F.array(F.lit(0)), depth, placemark)
+    inside = F.flatten(F.transform("Document", lambda d, i: _placemarks(d, none, F.array(F.lit(1), i), depth, placemark)))
     found = F.when(F.col("Document").isNull(), root).otherwise(F.concat(root, inside))
     marks = doc.select(F.col("_metadata.file_path").alias("file"), F.inline(found))
     positions = kml_positions_lenient if lenient else kml_positions
@@ -229,7 +269,7 @@ def read_kml(spark: SparkSession, path: str | list[str], depth: int = 5, lenient
         _fields(pm).alias("fields"),
         F.coalesce("pm.TimeStamp.when", "pm.TimeSpan.begin").alias("timestamp"),
         F.col("pm._id").alias("source_id"),
-        _placemark_parts(pm, positions).alias("geometry"),
+        _placemark_parts(pm, positions, multi).alias("geometry"),
     )
 
 

@@ -172,14 +172,18 @@ def kml_frames(records: DataFrame) -> dict[str, DataFrame]:
     )
     ring = lambda r: F.array_join(F.transform(r, lambda p: F.concat_ws(",", p[0].cast("string"), p[1].cast("string"), F.lit("0"))), " ")
     shapes = records.where("type = 'localidade' and size(geometry.polys) > 0")
-    rings = F.col("geometry")["polys"][0]
-    polygon = F.struct(
-        F.struct(F.struct(ring(rings[0]).alias("coordinates")).alias("LinearRing")).alias("outerBoundaryIs"),
-        F.transform(
+
+    def polygon(rings: Column) -> Column:
+        holes = F.transform(
             F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: F.struct(F.struct(ring(r).alias("coordinates")).alias("LinearRing"))
-        ).alias("innerBoundaryIs"),
-    ).alias("Polygon")
-    areas = _marks(shapes, F.coalesce("name", "locality_raw", F.lit("")), {}, polygon)
+        )
+        return F.struct(
+            F.struct(F.struct(ring(rings[0]).alias("coordinates")).alias("LinearRing")).alias("outerBoundaryIs"), holes.alias("innerBoundaryIs")
+        )
+
+    # every polygon of an area, one or many
+    polygons = F.struct(F.transform(F.col("geometry")["polys"], polygon).alias("Polygon")).alias("MultiGeometry")
+    areas = _marks(shapes, F.coalesce("name", "locality_raw", F.lit("")), {}, polygons)
     return {"Coleta": captures, "Visitas": visits, "pits": posts, "Area das Localidades": areas}
 
 

@@ -107,3 +107,27 @@ def test_kml(spark, tmp_path):
     assert {"nome", "pasta", "Localidade", "k", "geometry"} <= set(table.columns)
     with pytest.raises(ValueError):
         G.read_kml(spark, put(tmp_path, "d.kml", "<!DOCTYPE x><kml></kml>"))
+
+
+def test_broken_geo_files_do_not_vanish(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    good = "<kml><Document><Placemark><name>a</name><Point><coordinates>1,2</coordinates></Point></Placemark></Document></kml>"
+    put(folder, "good.kml", good)
+    assert G.read_kml(spark, str(folder)).count() == 1
+    put(folder, "cut.kml", good[: len(good) // 2])
+    with pytest.raises(Exception):  # Spark's own error, or ours for a file without a document
+        G.read_kml(spark, str(folder))
+    text = '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"a":1},"geometry":{"type":"Point","coordinates":[1,2]}}'
+    rows = G.read_geojson(spark, put(tmp_path, "cut.geojson", text)).collect()
+    assert [r.geometry_problem for r in rows] == ["malformed"]
+    assert [r.geometry_problem for r in G.read_geojson(spark, put(tmp_path, "whole.geojson", text + "]}")).collect()] == [None]
+
+
+def test_files_with_different_headers_meet_by_name(spark, tmp_path):
+    folder = tmp_path / "several files"
+    folder.mkdir()
+    put(folder, "a.csv", "id;nome\n1;x\n")
+    put(folder, "b.csv", "nome,id,extra\ny,2,z\n")
+    rows = S.read_delimited(spark, str(folder)).select("id", "nome", "extra").collect()
+    assert sorted(map(tuple, rows), key=repr) == [("1", "x", None), ("2", "y", "z")]
