@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, survey_records, table
+from catalog.base import RECORDS_SQL, query, survey_records, table
 from catalog.maps import squares
 from tablelens.functions.geometry import centroid
 from tablelens.functions.values import parse_number
@@ -138,13 +138,44 @@ def _(spark, d):
     return marks.select(F.col("name").alias("nome"), F.concat_ws("/", "folder_path").alias("pasta"), F.size("geometry.points").alias("pontos"))
 
 
-@query("rec_import", "LNK-07 LNK-08 LNK-09 LNK-10")
+_IMPORTED = RECORDS_SQL + """, f as (select type as item, 'type' as section from rec
+    union all select case when type = 'localidade' then 'Polygon' else 'Point' end, 'geometry' from rec
+    union all select 'data_visita', 'field_seen' from rec where type in ('captura', 'visita') and visit_date is not null
+    union all select 'data_exame', 'field_seen' from rec where type = 'captura' and exam_date is not null
+    union all select 'canal', 'field_seen' from rec where type = 'captura' and channel is not null
+    union all select 'ambiente', 'field_seen' from rec where type = 'captura' and environment is not null
+    union all select 'fase_sexo', 'field_seen' from rec where type = 'captura' and (stage ilike '%ninfa%' or sex is not null)
+    union all select 'resultado_exame', 'field_seen' from rec where type = 'captura' and exam_result <> 'nao_informado'
+    union all select 'quantidade', 'field_seen' from rec where type = 'captura' and triatomine_count is not null
+    union all select 'resultado_busca', 'field_seen' from rec where type = 'visita' and search_result <> 'nao_informado'
+    union all select 'localidade', 'field_seen' from rec where type <> 'localidade' and locality_raw is not null
+    union all select 'pit', 'field_seen' from rec where type = 'pit' and pit_ref is not null
+    union all select 'info:multiplas_geometrias', 'issue' from rec where type = 'localidade'
+    union all select 'aviso:localidade_nao_reconhecida', 'issue' from rec where type <> 'localidade' and locality_raw is not null
+    union all select 'aviso:exame_antes_da_captura', 'issue' from rec where type = 'captura' and exam_date < visit_date) """
+
+#: What depends on places and likeness, which SQL does not compute here.
+_GUESSED = ("localities", "aviso:possivel_duplicata", "info:localidade_por_geometria")
+
+
+@query("rec_import", "LNK-07 LNK-09 LNK-10", _IMPORTED + "select section, item, count(*) as n from f group by all")
 def _(spark, d):
     """Every document as a placemark: written as KML, read back, normalised, and counted."""
-    return I.import_report(I.normalise(_marks(spark, d)))
+    return I.import_report(I.normalise(_marks(spark, d))).where(~F.col("item").isin(*_GUESSED))
+
+
+@query("rec_import_guesses", "LNK-07 LNK-08")
+def _(spark, d):
+    """Localities, records placed by an area around them, and suspected copies of the same import."""
+    return I.import_report(I.normalise(_marks(spark, d))).where(F.col("item").isin(*_GUESSED))
 
 
-@query("rec_pending", "LNK-11 LNK-09")
+@query(
+    "rec_pending", "LNK-11 LNK-09",
+    RECORDS_SQL + """, p as (select 'without_exam_result' as problem from cap where exam_result = 'nao_informado' union all select 'without_species' from cap
+    union all select 'without_capture_date' from cap where visit_date is null union all select 'exam_before_capture' from cap where exam_date < visit_date
+    union all select 'unknown_locality' from rec where type <> 'localidade' and locality_raw is not null) select problem, count(*) as n from p group by 1""",
+)
 def _(spark, d):
     return I.pending_checks(I.normalise(_marks(spark, d))).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
