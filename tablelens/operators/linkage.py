@@ -99,27 +99,33 @@ def similar_names(names: DataFrame, key: str, name: str, min_length: int = 6) ->
 
 # ------------------------------------------------------------------ reference lists
 
-_DELETIONS_MAX = 3
-
-
-def _deletions(key: Column, depth: int) -> Column:
-    """Everything that is left of a text after dropping up to ``depth`` letters."""
-    left = F.array(key)
-    ring = left
-    for _ in range(depth):
-        ring = F.array_distinct(
-            F.flatten(
-                F.transform(
-                    ring,
-                    lambda w: F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
-                        lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)),
-                    ),
-                )
-            )
-        )
-        left = F.array_union(left, ring)
-    return left
+def segment_tokens(key: Column, edits: int) -> Column:
+    """The segments of a reference key, ``edits + 1`` of nearly equal length: (length, number, text)."""
+    n, parts = F.length(key), edits + 1
+    edge = lambda i: F.floor(F.lit(i) * n / parts).cast("int")
+    return F.array(*[F.struct(n.alias("length"), F.lit(i).alias("no"), F.substr(key, edge(i) + 1, edge(i + 1) - edge(i)).alias("text")) for i in range(parts)])
+
+
+def probe_tokens(key: Column, edits: int) -> Column:
+    """Where the segments of any reference within ``edits`` edits can stand in a key: (length, number, text).
+
+    One of ``edits + 1`` segments survives that many edits, and at a place shifted by ``edits`` at most. The
+    number of tokens depends on the edits only, not on the length of the key.
+    """
+    parts = edits + 1
+    lengths = F.filter(F.transform(F.sequence(F.lit(-edits), F.lit(edits)), lambda d: F.length(key) + d), lambda n: n >= parts)
+
+    def of_length(n: Column) -> Column:
+        edge = lambda i: F.floor(F.lit(i) * n / parts).cast("int")
+
+        def of_segment(i: int) -> Column:
+            size = edge(i + 1) - edge(i)
+            starts = F.filter(F.transform(F.sequence(F.lit(-edits), F.lit(edits)), lambda d: edge(i) + d), lambda p: (p >= 0) & (p + size <= F.length(key)))
+            return F.transform(starts, lambda p: F.struct(n.alias("length"), F.lit(i).alias("no"), F.substr(key, p + 1, size).alias("text")))
+
+        return F.concat(*[of_segment(i) for i in range(parts)])
+
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
 def resolve_names(
@@ -129,7 +135,7 @@ def resolve_names(
 
     Tried in order: equal key, user alias, the single nearest reference within 2 edits (3 from 14
     letters on), the single reference that contains all longer words, else new. Candidates for
-    the edit distance share a text that both sides reach by dropping letters.
+    the edit distance share a segment that the edits cannot all have touched.
     """
     alias = {k: v for k, v in (aliases or {}).items()}
     wanted = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("_nk", name_key("name"))
@@ -158,16 +164,12 @@ def resolve_names(
     open_names = exact.where("ref_key is null").select("name", "key", "shown")
     limit = F.when(F.length("key") >= 14, 3).otherwise(2)
 
-    # nearest: keys of equal dropped-letter text are candidates, the exact distance decides.
-    # Names of 14 letters or more use three drops on both sides, shorter ones two.
-    def reach(frame: DataFrame, key: str, depth: int) -> DataFrame:
-        return frame.withColumn("token", F.explode(_deletions(F.col(key), depth)))
-
+    # nearest: candidates share one segment of the reference, the exact distance decides
     parts = []
     keys = open_names.select("key").distinct().where(F.length("key") >= 5)
-    for depth, cond, in_reach in ((2, "length(key) < 14", F.length("ref_key") <= 15), (3, "length(key) >= 14", F.length("ref_key") >= 11)):
-        left = reach(keys.where(cond), "key", depth)
-        right = reach(known.select("ref_key").where(in_reach), "ref_key", depth)
+    for edits, cond in ((2, "length(key) < 14"), (3, "length(key) >= 14")):
+        left = keys.where(cond).withColumn("token", F.explode(probe_tokens(F.col("key"), edits)))
+        right = known.select("ref_key", F.explode(segment_tokens(F.col("ref_key"), edits)).alias("token")).where(F.length("ref_key") > edits)
         parts.append(left.join(right, "token").select("key", "ref_key").distinct())
     scored = parts[0].unionByName(parts[1]).withColumn("d", F.levenshtein("key", "ref_key")).where(F.col("d") <= limit)
     closest = scored.groupBy("key").agg(F.min_by(F.struct("ref_key", "d"), F.struct("d", "ref_key")).alias("m"), F.min("d").alias("d"))

@@ -118,3 +118,28 @@ def test_duplicates_match_sequential_greedy(spark):
     assert got == want and len(primaries) > 10
     groups = D.duplicate_groups(dup, df, "idx", "type").collect()
     assert sum(g.copies - 1 for g in groups) == len(want) and not any(g.cross_folder for g in groups)
+
+
+def test_every_close_pair_shares_a_segment_and_tokens_do_not_grow(spark):
+    import random
+
+    from tablelens.operators import linkage as L
+
+    pick = random.Random(12)
+    pairs = []
+    for _ in range(600):
+        n = pick.randint(5, 30)
+        ref = "".join(pick.choice("abc ") for _ in range(n))
+        edits = 2 if n < 12 else 3
+        key = list(ref)
+        for _ in range(edits):
+            at, kind = pick.randrange(len(key) + 1), pick.randrange(3)
+            key[at : at + (kind > 0)] = [] if kind == 1 else [pick.choice("abcd")]
+        pairs.append((ref, "".join(key), edits))
+    frame = spark.createDataFrame(pairs, "ref string, key string, edits int")
+    for edits in (2, 3):
+        rows = frame.where(f"edits = {edits} and length(ref) > {edits}")
+        shared = F.size(F.array_intersect(L.segment_tokens(F.col("ref"), edits), L.probe_tokens(F.col("key"), edits)))
+        assert rows.where(shared == 0).count() == 0
+    sizes = [spark.range(1).select(F.size(L.probe_tokens(F.lit("abcdefghij" * k), 3)).alias("n")).first().n for k in (2, 4, 8)]
+    assert max(sizes) <= 196
