@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tablelens.functions.values import join_key, quoted, without_leading_zeros
 
-NULL_SPREAD = 64
-
 
 class JoinBlocked(ValueError):
     """A join that must not be run; ``args[0]`` lists the codes."""
@@ -26,37 +24,35 @@ class JoinSpec:
 
 
 def key_counts(df: DataFrame, key: str, out: str) -> DataFrame:
-    return df.select(join_key(df, key).alias("key")).where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias(out))
+    return _counts_with_null(df, key, out).where("key is not null")
 
 
-def _matched_counts(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """One row per key of either side with its row counts; the join itself is never built."""
-    return key_counts(left, left_key, "l").join(key_counts(right, right_key, "r"), "key", "full").select(
-        "key", F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("r", F.lit(0)).alias("r")
-    )
+def _counts_with_null(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Rows per key, the rows without one as a group of their own."""
+    return df.select(join_key(df, key).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias(out))
 
 
 def analyze_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "left") -> DataFrame:
-    """One row: cardinality, matched and lost rows on both sides, and the size of the result."""
-    l, r = F.col("l"), F.col("r")
+    """One row: cardinality, matched and lost rows on both sides, and the size of the result.
+
+    Each side is read once, for its rows per key; a null key meets no other. The join itself is never built.
+    """
+    l, r, known = F.col("l"), F.col("r"), F.col("key").isNotNull()
     both = (l > 0) & (r > 0)
-    seen = _matched_counts(left, right, left_key, right_key).agg(
-        F.coalesce(F.sum(F.when(both, l)), F.lit(0)).alias("matched"),
-        F.coalesce(F.sum(F.when(r == 0, l)), F.lit(0)).alias("lost_left"),
-        F.coalesce(F.sum(F.when(l == 0, r)), F.lit(0)).alias("unmatched_right"),
-        F.coalesce(F.sum(F.when(both, l * r)), F.lit(0)).alias("pairs"),
+    counts = _counts_with_null(left, left_key, "l").join(_counts_with_null(right, right_key, "r"), "key", "full")
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    c = F.col
+    out = counts.select("key", F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("r", F.lit(0)).alias("r")).agg(
+        total(F.when(both, l)).alias("matched"),
+        total(F.when(known & (r == 0), l)).alias("lost_left"),
+        total(F.when(known & (l == 0), r)).alias("unmatched_right"),
+        total(F.when(both, l * r)).alias("pairs"),
         F.coalesce(F.max(F.when(both, l)), F.lit(1)).alias("max_left_per_right"),
         F.coalesce(F.max(F.when(both, r)), F.lit(1)).alias("max_right_per_left"),
-    )
-    nulls = lambda df, key: df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(join_key(df, key).isNull()).alias("nulls"))
-    a, b = nulls(left, left_key), nulls(right, right_key)
-    c = F.col
-    out = seen.select(
-        "*",
-        a.select("rows").scalar().alias("left_rows"),
-        b.select("rows").scalar().alias("right_rows"),
-        a.select("nulls").scalar().alias("null_left"),
-        b.select("nulls").scalar().alias("null_right"),
+        total(l).alias("left_rows"),
+        total(r).alias("right_rows"),
+        total(F.when(~known, l)).alias("null_left"),
+        total(F.when(~known, r)).alias("null_right"),
     )
     unmatched_left = c("lost_left") + c("null_left")
     many_left, many_right = c("max_left_per_right") > 1, c("max_right_per_left") > 1
@@ -155,9 +151,9 @@ def join_tables(
 ) -> DataFrame:
     """Left or inner join; the right key is not repeated and clashing names get the table name.
 
-    Rows without a key match nothing. They are spread over many buckets of their own, because a
-    shuffle on the key alone would send all of them to one task. A hot key is left to adaptive
-    skew handling, which splits it without changing the result.
+    Rows without a key match nothing; they go round the join and are added to its result, so they
+    are never shuffled. A hot key is left to adaptive skew handling, which splits it without
+    changing the result.
     """
     stop = blockers(left, right, left_key, right_key)
     if stop:
@@ -165,24 +161,12 @@ def join_tables(
     if how not in ("left", "inner"):
         raise ValueError(f"unknown join: {how}")
     names = _renamed(left.columns, [c for c in right.columns if c != right_key], right_name)
-    r = right.select(
-        join_key(right, right_key).alias("_right_key"),
-        F.lit(0).alias("_right_spread"),
-        *[quoted(c).alias(n) for c, n in names.items()],
-    ).where("_right_key is not null")
-    key = join_key(left, left_key)
+    r = right.select(join_key(right, right_key).alias("_right_key"), *[quoted(c).alias(n) for c, n in names.items()]).where("_right_key is not null")
+    keyed = left.withColumn("_left_key", join_key(left, left_key))
+    matched = keyed.where("_left_key is not null").join(r, F.col("_left_key") == F.col("_right_key"), how).drop("_left_key", "_right_key")
     if how == "inner":
-        l = left.withColumn("_left_key", key).where("_left_key is not null")
-        return l.join(r, F.col("_left_key") == F.col("_right_key")).drop("_left_key", "_right_key", "_right_spread")
-    spread = F.when(key.isNull(), 1 + F.pmod(F.xxhash64(*[quoted(c) for c in _hashable(left)]), F.lit(NULL_SPREAD)).cast("int"))
-    l = left.withColumns({"_left_key": F.coalesce(key, F.lit("")), "_left_spread": F.coalesce(spread, F.lit(0))})
-    on = (F.col("_left_key") == F.col("_right_key")) & (F.col("_left_spread") == F.col("_right_spread"))
-    return l.join(r, on, "left").drop("_left_key", "_left_spread", "_right_key", "_right_spread")
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    names = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
-    return names or df.columns[:1]
+        return matched
+    return matched.unionByName(keyed.where("_left_key is null").drop("_left_key"), allowMissingColumns=True)
 
 
 def apply_joins(tables: dict[str, DataFrame], specs: list[JoinSpec], shaped: set[str] = frozenset()) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
