@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.geometry import bbox, edges_contain, polygon_edges
-from tablelens.session import cut_lineage
 
 
 def _salt(df: DataFrame) -> int:
@@ -25,8 +24,7 @@ def valid_position(lon: Column, lat: Column) -> Column:
 
 def _polygon_cells(polygons: DataFrame, polygon_id: str, geometry: str) -> DataFrame:
     shaped = polygons.select(F.col(polygon_id).alias("polygon"), polygon_edges(geometry).alias("edges"), bbox(geometry).alias("box"))
-    # shapes are read once, not once per condition and per use below
-    boxed = cut_lineage(shaped).where(F.size("edges") > 0)
+    boxed = shaped.where(F.size("edges") > 0)
     extent = F.greatest(F.col("box.max_lon") - F.col("box.min_lon"), F.col("box.max_lat") - F.col("box.min_lat"), F.lit(1e-6))
     level = F.ceil(F.log2(extent)).cast("int")
     cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level")))

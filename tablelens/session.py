@@ -23,7 +23,8 @@ def build_session(app: str = "tablelens", master: str | None = None, **extra: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    # checkpoints of rounds that nothing refers to any more are deleted
+    for key, value in {**SETTINGS, "spark.cleaner.referenceTracking.cleanCheckpoints": "true", **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
