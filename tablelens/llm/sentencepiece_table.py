@@ -18,8 +18,8 @@ MARK = "▁"
 #: A chunk: white-space marks and the characters up to the next mark. Pieces have marks in front only, so none goes over a chunk's end.
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Chunks that a worker remembers, and chunks of one call that are looked up together.
-REMEMBERED = 400_000
-TOGETHER = 200_000
+REMEMBERED = 150_000
+TOGETHER = 60_000
 
 
 class PieceModel:

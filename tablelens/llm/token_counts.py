@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tablelens.llm.bpe_arrays import MergeTable, merge_all
 from tablelens.llm.common import batched
 
-REMEMBERED = 600_000
-TOGETHER = 300_000
+REMEMBERED = 150_000
+TOGETHER = 60_000
 
 
 def byte_letters() -> list[str]:

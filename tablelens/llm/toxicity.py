@@ -127,7 +127,8 @@ def train(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         xs, ys = [], []
         for part in batches:
-            xs += [np.frombuffer(x, np.int32) for x in part["x"]]
+            sizes = part["x"].map(len).to_numpy() // 4
+            xs += np.split(np.frombuffer(b"".join(part["x"]), np.int32), np.cumsum(sizes)[:-1])  # one block of memory per batch
             ys += part["y"].tolist()
         if xs:
             w, _ = learn(xs, np.array(ys, np.float64), prior, rates, bits)
