@@ -126,8 +126,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once, eight bytes without id or place, to the window's bucket, so a passage in a third of all documents
     arrives once per group. Buckets count windows over the groups; as groups are ranges of ids, a window is a
     repeat in all groups but its first. One bit per distinct window goes back. The identity of a window is 64
-    bits plus its bucket number from a second hash; with N windows about N^2 / 2^65 / buckets of them are
-    taken for another one, far below one for 10^11 windows.
+    bits plus its bucket number from a second hash; of N windows about N^2 / 2^65 / buckets are taken for
+    another one: 0.003 at 10^10 windows and 800 buckets.
 
     Null and blank texts have no words. A null id is larger than all ids and as large as another null.
     Rows that repeat an id are not smaller than each other. Shorter texts have no window and lose nothing.
