@@ -193,3 +193,9 @@ KML_EXAM_LABELS = {
     "positivo": "Positivo", "negativo": "Negativo", "pendente": "Pendente", "nao_realizado": "Não realizado",
 }
 KML_ENVIRONMENT_LABELS = {"intra": "Intra", "peri": "Peri", "intra_peri": "Intra e Peri"}
+
+# Rows, block ends and lines of HTML descriptions, and the entities in them
+DESCRIPTION_ROW = r"(?is)<tr[^>]*>\s*<t[dh][^>]*>(.*?)</t[dh]>\s*<t[dh][^>]*>(.*?)</t[dh]>"
+DESCRIPTION_BLOCK_END = r"(?i)</(p|div|tr|li|h[1-6]|table)>|<br\s*/?>"
+DESCRIPTION_LINE = r"^\s*([^:=\n]{2,40})\s*[:=]\s*(.+?)\s*$"
+HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")]

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.functions import vocabulary as V
 from tablelens.functions.geometry import (
     empty_list,
     from_geojson,
@@ -291,14 +292,8 @@ def kml_table(marks: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ key/value pairs in descriptions
 
-_ROW = r"(?is)<tr[^>]*>\s*<t[dh][^>]*>(.*?)</t[dh]>\s*<t[dh][^>]*>(.*?)</t[dh]>"
-_BLOCK_END = r"(?i)</(p|div|tr|li|h[1-6]|table)>|<br\s*/?>"
-_LINE = r"^\s*([^:=\n]{2,40})\s*[:=]\s*(.+?)\s*$"
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")]
-
-
 def _decoded(c: Column) -> Column:
-    for name, char in _ENTITIES:
+    for name, char in V.HTML_ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
     return c
 
@@ -310,17 +305,17 @@ def _stripped(c: Column) -> Column:
 def description_fields(html: Column | str) -> Column:
     """``array<struct<key, value>>`` from two-cell table rows, then from ``key: value`` lines."""
     text = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))
-    keys, vals = F.regexp_extract_all(text, F.lit(_ROW), F.lit(1)), F.regexp_extract_all(text, F.lit(_ROW), F.lit(2))
+    keys, vals = F.regexp_extract_all(text, F.lit(V.DESCRIPTION_ROW), F.lit(1)), F.regexp_extract_all(text, F.lit(V.DESCRIPTION_ROW), F.lit(2))
     rows = F.transform(
         F.arrays_zip(keys.alias("k"), vals.alias("v")), lambda p: F.struct(_stripped(p["k"]).alias("key"), _stripped(p["v"]).alias("value"))
     )
-    plain = _decoded(F.regexp_replace(F.regexp_replace(text, _BLOCK_END, "\n"), "<[^>]+>", " "))
-    lines = F.filter(F.split(plain, r"\n+"), lambda x: x.rlike(_LINE))
+    plain = _decoded(F.regexp_replace(F.regexp_replace(text, V.DESCRIPTION_BLOCK_END, "\n"), "<[^>]+>", " "))
+    lines = F.filter(F.split(plain, r"\n+"), lambda x: x.rlike(V.DESCRIPTION_LINE))
     pairs = F.transform(
         lines,
         lambda x: F.struct(
-            F.trim(F.regexp_replace(F.regexp_extract(x, _LINE, 1), r"\s+", " ")).alias("key"),
-            F.trim(F.regexp_extract(x, _LINE, 2)).alias("value"),
+            F.trim(F.regexp_replace(F.regexp_extract(x, V.DESCRIPTION_LINE, 1), r"\s+", " ")).alias("key"),
+            F.trim(F.regexp_extract(x, V.DESCRIPTION_LINE, 2)).alias("value"),
         ),
     )
     return first_per_key(F.filter(F.concat(rows, pairs), lambda p: p["key"] != ""))
