@@ -25,8 +25,8 @@ TERM = r"[\p{L}\p{M}]{3,}"
 
 #: Code points on either side of an entity whose terms count as its context.
 CONTEXT = 120
-#: An entity or a term beside it is judged from so many documents on.
-SUPPORT = 3
+#: Smoothing: a term's documents count with so many more that hold the entity at its rate in the whole table.
+PRIOR = 1
 #: Shares of an entity's information that a term may give away: generalised from the first, removed from the second.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -116,21 +116,25 @@ def _context_terms(entities: DataFrame) -> DataFrame:
     return found.filter(free).select("_id", "_row", "entity", term_key(F.col("t.word")).alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", *, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", *, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``_id, _row, kind, start, end``: context terms that give away too much of a protected entity.
 
     A term beside an entity discloses the share PMI(term; entity) / IC(entity) of the entity's information,
-    with PMI = log(c_te N / (c_t c_e)) and IC = log(N / c_e). N rows, the rows c_e with the entity and c_te with the
-    term beside it, and c_t with the term anywhere, are all counted over the whole table.
+    with PMI = log(p(entity | term) / p(entity)), IC = -log p(entity) and p(entity) = c_e / N. N rows, the rows c_e with
+    the entity and c_te with the term beside it, and c_t with the term anywhere, are all counted over the whole table.
+    Every entity is judged from its first row on: p(entity | term) = (c_te + prior p(entity)) / (c_t + prior) leans
+    towards p(entity) where a term is rare, so one chance meeting tells less than many.
     """
     total = F.lit(docs.count())
     spans = found.filter(F.size("base") > 0).withColumn("span", F.explode("base"))
     spans = spans.withColumn("entity", F.xxhash64("span.kind", F.lower("span.value")))
-    frequency = spans.select("_id", "_row", "entity").groupBy("entity").agg(F.count_distinct("_id", "_row").alias("c_e")).filter(F.col("c_e") >= support)
-    terms = cut_lineage(_context_terms(spans.join(frequency.select("entity"), "entity", "left_semi")))
-    together = terms.select("_id", "_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te")).filter(F.col("c_te") >= support)
+    frequency = spans.select("_id", "_row", "entity").groupBy("entity").agg(F.count_distinct("_id", "_row").alias("c_e"))
+    terms = cut_lineage(_context_terms(spans))
+    together = terms.select("_id", "_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te"))
     judged = together.join(frequency, "entity").join(document_frequency(docs, text_col), "term")
-    judged = judged.withColumn("share", F.try_divide(F.ln(F.col("c_te") * total / (F.col("c_t") * F.col("c_e"))), F.ln(total / F.col("c_e"))))
+    rate = F.col("c_e") / total
+    given = (F.col("c_te") + prior * rate) / (F.col("c_t") + prior)
+    judged = judged.withColumn("share", F.try_divide(F.ln(given / rate), -F.ln(rate)))
     risky = judged.filter(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("kind"))
     return terms.join(risky, ["entity", "term"]).groupBy("_id", "_row", "start", "end").agg(F.max("kind").alias("kind"))
 

@@ -40,3 +40,11 @@ def test_disclosing_terms_follow_the_counts(spark):
     safe = {r.doc_id: r.safe for r in out.values()}
     assert "zed@mail.org" not in safe[1000] and "zephyrine" not in safe[1000] and "[EMAIL]" in safe[1000]
     assert safe[3000] == text[3000] and safe[2000] == "kappish with [EMAIL]"
+
+
+def test_entities_of_one_document_are_judged(spark):
+    """A rare word beside an address of one document is generalised; the same word in many documents is not."""
+    rows = [(i, "the letter of the day goes to nobody") for i in range(300)] + [(500, "the letter of quillonby to una@post.org"), (501, "the letter to ovid@post.org")]
+    out = {r.doc_id: {rows_text[s.start : s.end]: s.kind for s in r.added} for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect() for rows_text in [r.text]}
+    assert out[500] == {"quillonby": "generalise"}
+    assert all(not found for i, found in out.items() if i != 500)
