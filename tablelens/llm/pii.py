@@ -21,7 +21,7 @@ PATTERNS = {
 #: What a text must contain for a pattern to be tried.
 HINTS = {"email": "@", "phone": "+"}
 BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-TERM = r"[\p{L}\p{M}]{3,}"
+TERM = r"[\p{L}\p{M}\p{N}]+"
 
 #: Code points on either side of an entity whose terms count as its context.
 CONTEXT = 120
@@ -85,13 +85,27 @@ def term_key(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
 
+def _terms(text: Column) -> Column:
+    """The distinct terms of a whole text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), term_key))
+
+
 def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``term, c_t``: in how many rows each term occurs, over all whole texts. Terms are 64-bit hashes of lower-case words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0))
-    terms = docs.select(F.explode(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("term"))
+    terms = docs.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
 
 
+def _entities(base: Column) -> Column:
+    """The distinct entities of a row's pattern spans."""
+    return F.array_distinct(F.transform(base, lambda b: F.xxhash64(b["kind"], F.lower(b["value"]))))
+
+
+def _same_row(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on row keys, of which the id may be null; ``right`` names them ``_rid`` and ``_rrow``."""
+    return left.join(right, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_row") == F.col("_rrow")), how).drop("_rid", "_rrow")
+
+
 def _context_terms(entities: DataFrame) -> DataFrame:
     """The terms wholly inside ``CONTEXT`` code points before and behind each entity span, with their places."""
     def side(begin: Column, end: Column) -> Column:
@@ -116,27 +130,41 @@ def _context_terms(entities: DataFrame) -> DataFrame:
     return found.filter(free).select("_id", "_row", "entity", term_key(F.col("t.word")).alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", *, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``_id, _row, kind, start, end``: context terms that give away too much of a protected entity.
+def risky_terms(docs: DataFrame, held: DataFrame, text_col: str = "text", *, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """``_id, _row, entity, term, kind``: the terms of a text that give away too much of an entity in the same text.
 
-    A term beside an entity discloses the share PMI(term; entity) / IC(entity) of the entity's information,
-    with PMI = log(p(entity | term) / p(entity)), IC = -log p(entity) and p(entity) = c_e / N. N rows, the rows c_e with
-    the entity and c_te with the term beside it, and c_t with the term anywhere, are all counted over the whole table.
+    A term discloses the share PMI(term; entity) / IC(entity) of the entity's information, with
+    PMI = log(p(entity | term) / p(entity)), IC = -log p(entity) and p(entity) = c_e / N. N rows, the rows c_e with
+    the entity, c_t with the term and c_te with both are all counted over whole texts of the whole table, in rows.
     Every entity is judged from its first row on: p(entity | term) = (c_te + prior p(entity)) / (c_t + prior) leans
     towards p(entity) where a term is rare, so one chance meeting tells less than many.
     """
-    total = F.lit(docs.count())
-    spans = found.filter(F.size("base") > 0).withColumn("span", F.explode("base"))
-    spans = spans.withColumn("entity", F.xxhash64("span.kind", F.lower("span.value")))
-    frequency = spans.select("_id", "_row", "entity").groupBy("entity").agg(F.count_distinct("_id", "_row").alias("c_e"))
-    terms = cut_lineage(_context_terms(spans))
-    together = terms.select("_id", "_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te"))
-    judged = together.join(frequency, "entity").join(document_frequency(docs, text_col), "term")
-    rate = F.col("c_e") / total
-    given = (F.col("c_te") + prior * rate) / (F.col("c_t") + prior)
-    judged = judged.withColumn("share", F.try_divide(F.ln(given / rate), -F.ln(rate)))
-    risky = judged.filter(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("kind"))
-    return terms.join(risky, ["entity", "term"]).groupBy("_id", "_row", "start", "end").agg(F.max("kind").alias("kind"))
+    rows = docs.count()
+    rate = F.col("c_e") / rows
+
+    def share(c_te: Column) -> Column:
+        return F.try_divide(F.ln((c_te + prior * rate) / (F.col("c_t") + prior) / rate), -F.ln(rate))
+
+    entities = held.select("_id", "_row", F.explode(_entities(F.col("base"))).alias("entity"))
+    frequency = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
+    # c_te is at most c_e, so a share of ``generalise`` bounds c_t: terms above the bound of the most frequent entity are settled, and no pair is lost
+    most = (frequency.agg(F.max("c_e")).first()[0] or 0) / max(rows, 1)
+    bound = (most * rows + prior * most) / most ** (1 - generalise) if most else 0
+    terms = held.select(F.col("_id").alias("_rid"), F.col("_row").alias("_rrow"), F.explode(_terms(F.col("_text"))).alias("term"))
+    terms = terms.join(document_frequency(docs, text_col).filter(F.col("c_t") <= bound), "term")
+    met = _same_row(entities.join(frequency, "entity"), terms).filter(share(F.least("c_e", "c_t")) >= generalise)
+    met = cut_lineage(met.select("_id", "_row", "entity", "term", "c_e", "c_t"))
+    together = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te"), F.first("c_e").alias("c_e"), F.first("c_t").alias("c_t")).withColumn("share", share(F.col("c_te")))
+    risky = together.filter(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("kind"))
+    return met.join(risky, ["entity", "term"]).select("_id", "_row", "entity", "term", "kind").distinct()
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``_id, _row, kind, start, end``: the terms of ``risky_terms`` beside their entity."""
+    held = cut_lineage(found.filter(F.size("base") > 0))
+    risky = risky_terms(docs, held, text_col, **options).select("entity", "term", "kind").distinct()
+    spans = held.withColumn("span", F.explode("base")).withColumn("entity", F.xxhash64("span.kind", F.lower("span.value")))
+    return _context_terms(spans).join(risky, ["entity", "term"]).groupBy("_id", "_row", "start", "end").agg(F.max("kind").alias("kind"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

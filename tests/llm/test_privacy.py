@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tablelens.llm.pii import personal_data, sanitised
+from tablelens.llm.pii import base_spans, personal_data, risky_terms, sanitised, term_key
 
 from . import brute
 
@@ -48,3 +48,15 @@ def test_entities_of_one_document_are_judged(spark):
     out = {r.doc_id: {rows_text[s.start : s.end]: s.kind for s in r.added} for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect() for rows_text in [r.text]}
     assert out[500] == {"quillonby": "generalise"}
     assert all(not found for i, found in out.items() if i != 500)
+
+
+def test_context_is_the_whole_text(spark):
+    """Counts are of whole texts: far words, short words and words with digits reveal an entity as near ones do."""
+    far = " ".join(["the"] * 60)
+    rows = [(i, f"the day {far}") for i in range(300)] + [(500 + i, f"zu case77b {far} {'quillonby' if i else far} to una@post.org") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    risky = risky_terms(docs, base_spans(docs).filter("size(base) > 0"))
+    term = {r.term: r.word for r in spark.createDataFrame([(w,) for w in ("zu", "case77b", "quillonby", "the", "una", "post", "org", "to")], "word string").select("word", term_key(F.col("word")).alias("term")).collect()}
+    got = {(r._id, term[r.term]) for r in risky.collect()}
+    assert {w for _, w in got} == {"zu", "case77b", "quillonby", "una", "post", "org", "to"}
+    assert {i for i, w in got if w == "case77b"} == {500 + i for i in range(6)} and {i for i, w in got if w == "quillonby"} == {501 + i for i in range(5)}
