@@ -23,8 +23,6 @@ HINTS = {"email": "@", "phone": "+"}
 BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 TERM = r"[\p{L}\p{M}\p{N}]+"
 
-#: Code points on either side of an entity whose terms count as its context.
-CONTEXT = 120
 #: Smoothing: a term's documents count with so many more that hold the entity at its rate in the whole table.
 PRIOR = 1
 #: Shares of an entity's information that a term may give away: generalised from the first, removed from the second.
@@ -106,28 +104,21 @@ def _same_row(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
     return left.join(right, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_row") == F.col("_rrow")), how).drop("_rid", "_rrow")
 
 
-def _context_terms(entities: DataFrame) -> DataFrame:
-    """The terms wholly inside ``CONTEXT`` code points before and behind each entity span, with their places."""
-    def side(begin: Column, end: Column) -> Column:
-        piece = F.substr(F.col("_text"), begin + 1, end - begin)
-        words, gaps = F.regexp_extract_all(piece, F.lit(TERM), F.lit(0)), F.split(piece, TERM, -1)
-        none = F.array().cast("array<struct<start:int,end:int,word:string>>")
-
-        def step(state: Column, pair: Column) -> Column:
-            at = state["at"] + F.char_length(pair["gap"])
-            stop = at + F.coalesce(F.char_length(pair["word"]), F.lit(0))
-            whole = pair["word"].isNotNull() & ((at > begin) | (begin == 0)) & ((stop < end) | (end == F.char_length("_text")))
-            item = F.struct(at.alias("start"), stop.alias("end"), pair["word"].alias("word"))
-            return F.struct(stop.alias("at"), F.when(whole, F.concat(state["terms"], F.array(item))).otherwise(state["terms"]).alias("terms"))
+def _term_spans(text: Column, base: Column, terms: Column, removed: Column) -> Column:
+    """All places of the given terms in a whole text, outside base spans: kind, start and end in code points."""
+    words, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
 
-        return F.aggregate(F.arrays_zip(gaps.alias("gap"), words.alias("word")), F.struct(begin.alias("at"), none.alias("terms")), step, lambda s: s["terms"])
+    def step(state: Column, pair: Column) -> Column:
+        at = state["at"] + F.char_length(pair["gap"])
+        stop = at + F.coalesce(F.char_length(pair["word"]), F.lit(0))
+        key = term_key(pair["word"])
+        free = ~F.exists(base, lambda b: (b["start"] < stop) & (b["end"] > at))
+        item = F.struct(F.when(F.array_contains(removed, key), "remove").otherwise("generalise").alias("kind"), at.alias("start"), stop.alias("end"))
+        hit = pair["word"].isNotNull() & F.array_contains(terms, key) & free
+        return F.struct(stop.alias("at"), F.when(hit, F.concat(state["spans"], F.array(item))).otherwise(state["spans"]).alias("spans"))
 
-    length = F.char_length("_text")
-    before = side(F.greatest(F.col("span.start") - CONTEXT, F.lit(0)), F.col("span.start"))
-    behind = side(F.col("span.end"), F.least(F.col("span.end") + CONTEXT, length))
-    found = entities.select("_id", "_row", "entity", "base", F.explode(F.concat(before, behind)).alias("t"))
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
-    return found.filter(free).select("_id", "_row", "entity", term_key(F.col("t.word")).alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    return F.aggregate(F.arrays_zip(gaps.alias("gap"), words.alias("word")), F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
 
 
 def risky_terms(docs: DataFrame, held: DataFrame, text_col: str = "text", *, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -160,11 +151,12 @@ def risky_terms(docs: DataFrame, held: DataFrame, text_col: str = "text", *, pri
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``_id, _row, kind, start, end``: the terms of ``risky_terms`` beside their entity."""
+    """``_id, _row, added``: every place of the ``risky_terms`` in every text that holds their entity, however far from it."""
     held = cut_lineage(found.filter(F.size("base") > 0))
-    risky = risky_terms(docs, held, text_col, **options).select("entity", "term", "kind").distinct()
-    spans = held.withColumn("span", F.explode("base")).withColumn("entity", F.xxhash64("span.kind", F.lower("span.value")))
-    return _context_terms(spans).join(risky, ["entity", "term"]).groupBy("_id", "_row", "start", "end").agg(F.max("kind").alias("kind"))
+    risky = risky_terms(docs, held, text_col, **options).groupBy("_id", "_row", "term").agg(F.max("kind").alias("kind"))
+    risky = risky.groupBy(F.col("_id").alias("_rid"), F.col("_row").alias("_rrow")).agg(F.collect_list("term").alias("terms"), F.collect_list(F.when(F.col("kind") == "remove", F.col("term"))).alias("removed"))
+    placed = _same_row(held, risky).select("_id", "_row", _term_spans(F.col("_text"), F.col("base"), F.col("terms"), F.col("removed")).alias("added"))
+    return placed.dropDuplicates(["_id", "_row"])
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -172,14 +164,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``base`` holds the spans of e-mail addresses, IP addresses, card and phone numbers (kind, start, end in code
     points, value); ``added`` the spans of terms to generalise or remove. A null text counts as empty and
-    has none. Null ids take part; rows that repeat id and text count once and get the same answer.
+    has none. Null ids take part; rows that repeat id and text count like any other and get the same answer.
     An empty table gives an empty result.
     """
     found = base_spans(docs, id_col, text_col)
-    terms = disclosing_terms(docs, found, text_col, **options).groupBy(F.col("_id").alias("_tid"), F.col("_row").alias("_trow")).agg(
-        F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    terms = disclosing_terms(docs, found, text_col, **options).select(F.col("_id").alias("_rid"), F.col("_row").alias("_rrow"), F.array_sort("added").alias("added"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    out = found.join(terms, F.col("_id").eqNullSafe(F.col("_tid")) & (F.col("_row") == F.col("_trow")), "left")
+    out = _same_row(found, terms, "left")
     return out.select(F.col("_id").alias(id_col), "base", F.coalesce("added", none).alias("added"), F.col("_text").alias(text_col))
 
 

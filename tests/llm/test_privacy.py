@@ -60,3 +60,15 @@ def test_context_is_the_whole_text(spark):
     got = {(r._id, term[r.term]) for r in risky.collect()}
     assert {w for _, w in got} == {"zu", "case77b", "quillonby", "una", "post", "org", "to"}
     assert {i for i, w in got if w == "case77b"} == {500 + i for i in range(6)} and {i for i, w in got if w == "quillonby"} == {501 + i for i in range(5)}
+
+
+def test_all_places_in_the_text_are_marked(spark):
+    """A revealing name goes wherever it stands in a document with its entity, also in other cases and far away; words of the address itself stay base."""
+    far = " ".join(["the"] * 90)
+    rows = [(i, f"the day {far} to una") for i in range(300)] + [(500 + i, f"Quillonby, {far} una@post.org {far} QUILLONBY\U0001f600quillonby") for i in range(6)]
+    docs = spark.createDataFrame(rows + rows[-1:], "doc_id long, text string")
+    out = [r for r in personal_data(docs).withColumn("safe", sanitised()).collect() if r.doc_id >= 500]
+    assert len(out) == 7
+    for r in out:
+        assert [r.text[s.start : s.end] for s in r.added] == ["Quillonby", "QUILLONBY", "quillonby"]
+        assert r.safe == f", {far} [EMAIL] {far} \U0001f600" and [s.kind for s in r.base] == ["email"]
