@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tablelens.llm.embeddings import close_vectors
+from tablelens.llm.queries import QUERIES
 from tablelens.llm.toxicity import clean_documents, coordinates, score_toxicity
 
 from . import brute
@@ -118,3 +119,14 @@ def test_recall_on_given_vectors(spark):
     got = {r.vec_id: r.n_links for r in close_vectors(frame).collect()}
     assert want.sum() > 0 and all(got[i] <= n for (i, _), n in zip(rows, want))
     assert sum(got.values()) >= 0.9 * want.sum()
+
+
+def test_recall_on_all_given_vectors(spark):
+    """The index that the query builds over the whole table, with its own number of pivots."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding").collect()]
+    units = np.array([v for _, v in rows], float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    want = np.concatenate([(units[at : at + 2_048] @ units.T >= 0.9).sum(axis=1) - 1 for at in range(0, len(units), 2_048)])
+    got = {r.vec_id: r.n_links for r in QUERIES["op4_embedding_near_dedup"](spark, "/root/testdata/check_s").collect()}
+    assert len(got) == len(rows) and all(got[i] <= n for (i, _), n in zip(rows, want))
+    assert want.sum() > 0 and sum(got.values()) >= 0.9 * want.sum()
