@@ -106,7 +106,7 @@ def lexical_search(
         for part in batches:
             for key, text in zip(part["item"], part["text"], strict=True):
                 found = sorted({t for piece in terms(text) for t in piece})
-                yield pd.DataFrame({"item": [key] * len(found), "term": found})
+                yield pd.DataFrame({"item": [key] * len(found), "term": found}, dtype=object)
 
     wanted = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     wanted = cut_lineage(wanted.mapInPandas(item_terms, "item string, term binary").distinct())
@@ -196,7 +196,7 @@ def _pass(texts: DataFrame, pairs: list[tuple[str | None, bytes]], top: int, sha
                     kept[i] = scores[at], missing[at], known[at]
         for i, (scores, missing, known) in enumerate(kept):
             if len(scores):
-                yield pd.DataFrame({"item": [names[i]] * len(scores), "id": known, "none": missing, "score": scores})
+                yield pd.DataFrame({"item": pd.Series([names[i]] * len(scores), dtype=object), "id": known, "none": missing, "score": scores})
 
     ranked = postings.mapInPandas(search, "item string, id long, none boolean, score long").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FOLD)))
     order = [F.desc("score"), F.col("none"), F.col("id")]

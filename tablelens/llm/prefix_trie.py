@@ -104,7 +104,7 @@ def range_nodes(entries: list[tuple[bytes, list[int], list[int]]], number: int,
     yield from rows
 
 
-def prefix_trie(sequences: DataFrame) -> DataFrame:
+def prefix_trie(sequences: DataFrame, *, turns: int = RANGE) -> DataFrame:
     """One row per node: ``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``.
 
     ``sequences`` has ``conv`` (a number, once each) and ``turns`` (``id`` in hex, ``points``), as ``rebuilt`` gives them. A key
@@ -119,7 +119,7 @@ def prefix_trie(sequences: DataFrame) -> DataFrame:
     ids = F.array_join(F.transform("turns", lambda t: t["id"]), "")
     keys = cut_lineage(sequences.select("conv", F.unhex(ids).alias("key"), F.transform("turns", lambda t: t["points"]).alias("points")))
     size = keys.agg(F.coalesce(F.sum(F.size("points") + 1), F.lit(0))).first()[0]
-    ranges = max(parts(spark), math.ceil(size / RANGE))
+    ranges = max(parts(spark), math.ceil(size / turns))
     laid = keys.repartitionByRange(ranges, "key", "conv").sortWithinPartitions("key", "conv").withColumn("laid", F.spark_partition_id())
     laid = cut_lineage(laid)
 
