@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,12 +11,15 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from tablelens.llm.bpe_arrays import MergeTable, merge_all
 from tablelens.llm.common import batched
 
 REMEMBERED = 150_000
 TOGETHER = 60_000
+#: Texts of these code points are their own NFC form, and every version of Unicode cuts and lower-cases them alike.
+LATIN = regex.compile("[\\x00-\u024f]*")
 
 
 def byte_letters() -> list[str]:
@@ -37,6 +39,9 @@ class WordCounter:
         splitter = spec["pre_tokenizer"]["pretokenizers"][0]
         if steps != ["NFC", "Replace", "Lowercase"] or not (splitter["type"] == "Split" and splitter["invert"] and splitter["behavior"] == "Removed"):
             raise ValueError("this file has other normalising or splitting steps")
+        # other texts are normalised and cut by the library's own steps, whose tables may be of another version of Unicode than Python's
+        self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
+        self.cut = pre_tokenizers.Split(Regex(splitter["pattern"]["Regex"]), "removed", invert=True).pre_tokenize_str
         # white space by its Unicode property; the replacing step only changes what is dropped here
         self.tokens = regex.compile(splitter["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
         specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
@@ -64,9 +69,9 @@ class WordCounter:
         self.known.update(zip(words, counts.tolist()))
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter: no final sigma
-        return self.tokens.findall(text.lower())
+        if LATIN.fullmatch(text):
+            return self.tokens.findall(text.lower())
+        return [word for word, _ in self.cut(self.normalise(text))]
 
     def count(self, texts: list[str | None]) -> list[int]:
         out, at = [], 0

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -72,3 +75,51 @@ def test_all_places_in_the_text_are_marked(spark):
     for r in out:
         assert [r.text[s.start : s.end] for s in r.added] == ["Quillonby", "QUILLONBY", "quillonby"]
         assert r.safe == f", {far} [EMAIL] {far} \U0001f600" and [s.kind for s in r.base] == ["email"]
+
+
+def plain_added(rows):
+    """Counts, shares and places by hand, in the order of rows."""
+    key = lambda kind, value: (kind, value.lower())
+    word = re.compile(r"[^\W_]+")
+    base = [brute.private(t) for _, t in rows]
+    entities = [{key(k, t[a:b]) for k, a, b in found} for (_, t), found in zip(rows, base)]
+    terms = [{m[0].lower() for m in word.finditer(t or "")} for _, t in rows]
+    c_e, c_t, c_te = Counter(e for x in entities for e in x), Counter(t for x in terms for t in x), Counter((e, t) for x, y in zip(entities, terms) for e in x for t in y)
+    assert all(n <= min(c_e[e], c_t[t]) for (e, t), n in c_te.items())
+    out = []
+    for (_, text), found, held in zip(rows, base, entities):
+        kinds = {}
+        for m in word.finditer(text or ""):
+            term = m[0].lower()
+            for e in held:
+                rate = c_e[e] / len(rows)
+                share = math.log((c_te[e, term] + rate) / (c_t[term] + 1) / rate) / -math.log(rate)
+                if share >= 0.8:
+                    kinds[term] = "remove" if share >= 0.95 or kinds.get(term) == "remove" else "generalise"
+        out.append(sorted((kinds[m[0].lower()], *m.span()) for m in word.finditer(text or "") if m[0].lower() in kinds and not any(a < m.end() and b > m.start() for _, a, b in found)))
+    return out
+
+
+def test_terms_as_by_hand(spark):
+    """Shared and lone entities and terms, several in a text, rows that repeat, null ids, one id for several texts."""
+    pick = random.Random(9)
+    words, people = [f"w{i}x" for i in range(300)], [f"p{i}@mail.org" for i in range(25)]
+    rows = []
+    for i in range(400):
+        said = [pick.choice(words) for _ in range(pick.randint(0, 25))] + [pick.choice(people) for _ in range(pick.choice([0, 0, 1, 2]))]
+        said += [f"near{p[1:].split('@')[0]}" for p in said if "@" in p and pick.random() < 0.8] + [f"lone{i}", f"own{i}@post.org"] * (i % 17 == 0)
+        pick.shuffle(said)
+        rows.append((None if i % 60 == 1 else i % 350, " ".join(said)))
+    rows += [rows[0]] * 9 + [rows[17]] * 2 + [rows[61]] * 4 + [(900, "zephyrine zed@far.org")] * 3 + [(901, "zephyrine"), (902, "only zed@far.org"), (903, None), (904, "")]
+    got = personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = sorted(((i, t or "", x) for (i, t), x in zip(rows, plain_added(rows))), key=repr)
+    assert sum(len(x) for *_, x in want) > 100
+    assert sorted(((r.doc_id, r.text, sorted((s.kind, s.start, s.end) for s in r.added)) for r in got), key=repr) == want
+
+
+def test_a_long_text_with_many_spans(spark):
+    """200,000 words and 20,000 addresses in one text end in a bounded time, and every lone word is found."""
+    long = " ".join(f"w{i}" if i % 10 else f"u{i // 10}@post.org" for i in range(200_000))
+    rows = [(1, long)] + [(i, "the day") for i in range(2, 4_000)]
+    out = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id", "size(base) as b", "size(added) as a").collect()
+    assert {r.doc_id: (r.b, r.a) for r in out if r.b}[1] == (20_000, 180_000)

@@ -37,6 +37,18 @@ def test_token_counts_agree_with_the_library():
     assert WordCounter(WORDS).count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_every_code_point_counts_as_in_the_library():
+    """Alone, in a word and before combining marks; and texts from all of Unicode."""
+    library, own, pick = Tokenizer.from_file(WORDS), WordCounter(WORDS), random.Random(3)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{c}b {c} {c}\u0316\u0301x" for c in points] + ["".join(pick.choice(points) for _ in range(pick.randint(1, 30))) for _ in range(20_000)]
+    latin = points[:0x260]
+    texts += ["".join(pick.choice(latin) for _ in range(pick.randint(1, 30))) for _ in range(20_000)]
+    for at in range(0, len(texts), 20_000):
+        some = texts[at : at + 20_000]
+        assert own.count(some) == [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+
+
 def test_tables_start_anew_without_changing_results(monkeypatch):
     texts = odd_texts()[:200]
     want, counts = PieceModel(PIECES).encode(texts), WordCounter(WORDS).count(texts)
