@@ -13,6 +13,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tablelens.llm.mixing import mix_sources
 from tablelens.llm.queries import QUERIES, SQL
+from tablelens.llm.similar_texts import shingle_hashes
 from tablelens.llm.toxicity import score_toxicity
 from tools.check_oracles import TABLES, normal
 
@@ -67,9 +68,11 @@ def test_stages_one_by_one(spark, tmp_path):
                 first.setdefault(" ".join(brute.words(f"x{t}x")), i)
             assert ids == sorted(first.values())
         elif name == "simhash_near_dedup":
-            prints = [brute.fingerprint(t) for _, t in before]
-            groups = brute.reach(len(before), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
-            assert ids == sorted({min(before[k][0] for k in g) for g in groups})
+            sets = [set(shingle_hashes(t).tolist()) for _, t in before]
+            groups = brute.reach(len(before), lambda i, j: bool(sets[i] and sets[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+            want = {min(before[k][0] for k in g) for g in groups}
+            assert len(ids) == len(set(ids)) and want <= set(ids) and len(want) < len(before)
+            assert len(ids) - len(want) <= 0.1 * (len(before) - len(want))
         elif name == "mix_sources":
             taken = {r.doc_id: r.taken for r in mix_sources(docs).collect()}
             words = {}
