@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from catalog.base import query, rounded, table
 from tablelens.operators import grids as G
+from tablelens.session import cut_lineage, scratch_path
+from tablelens.sources.files import read_cells
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -57,13 +59,13 @@ def _(spark, d):
 
 @query(
     "grid_values", "GRD-01 GRD-02 SRC-08 SRC-09",
-    """with s as (select o_orderstatus as sheet_id, row_number() over (partition by o_orderstatus order by year(o_orderdate)) as block, year(o_orderdate) as y from orders group by all order by 1),
-    c as (select o_orderstatus as sheet_id, year(o_orderdate) as y, o_orderpriority as p, count(*) as n from orders group by all)
-    select sheet_id, dense_rank() over (partition by sheet_id order by y) as block, concat('P ', p) as name, cast(n as varchar) as text from c where not (y = 1997 and p = '3-MEDIUM')""",
+    """with c as (select o_orderstatus as sheet_id, year(o_orderdate) as y, o_orderpriority as p, count(*) as n, count(*) filter (where o_orderkey % 2 = 0) as e from orders group by all)
+    select sheet_id, dense_rank() over (partition by sheet_id order by y) as block, i as place, concat('P ', p) as name, cast(case when i < 3 then n else e end * (1 + i % 3) as varchar) as text
+    from (select *, unnest(range(0, 6))::int as i from c) where not (y = 1997 and p = '3-MEDIUM')""",
 )
 def _(spark, d):
-    first = F.col("row") % 10 == 2
-    return G.block_values(summary_cells(spark, d)).where(first & F.col("name").startswith("P ")).select("sheet_id", "block", "name", "text")
+    values = G.block_values(summary_cells(spark, d)).where(F.col("name").startswith("P "))
+    return values.select("sheet_id", "block", F.pmod(F.col("row") - 2, F.lit(10)).alias("place"), "name", "text")
 
 
 def double_header_cells(spark, d):
@@ -110,3 +112,23 @@ def _(spark, d):
     tables = {s: o.where(F.col("o_orderstatus") == s).groupBy("Ano").agg(F.count(F.lit(1)).alias("pedidos")) for s in ("F", "O")}
     tables["outra"] = o.where("Ano < '1999'").groupBy("Ano").agg(F.count(F.lit(1)).alias("x"))
     return G.align_tables(tables, "Ano")[0]
+
+
+@query(
+    "src_csv_blocks", "SRC-01 GRD-01 GRD-02",
+    """with b as (select o_orderstatus as sheet, o_orderkey as k, dense_rank() over (partition by o_orderstatus order by year(o_orderdate)) as block,
+      count(*) over (partition by o_orderstatus, year(o_orderdate)) as n from orders)
+    select sheet, block, unnest(['Pedido', 'Resto', 'Nota']) as name, unnest([k::varchar, (k * 7 % 1000)::varchar, concat('nº "', k, '"; visto')]) as text from b where n >= 2""",
+)
+def _(spark, d):
+    """One CSV file per order status; a year is a block with a title line, a header line and a line per order, and ends with a blank line."""
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("s"), F.year("o_orderdate").alias("y"), F.col("o_orderkey").alias("k"))
+    rows = o.select("s", "y", F.lit(2).alias("part"), "k", F.concat_ws(";", "k", F.col("k") * 7 % 1000, F.concat(F.lit('"nº ""'), "k", F.lit('""; visto"'))).alias("value"))
+    frame = o.select("s", "y").distinct().select("s", "y", F.lit(0).cast("long").alias("k"), F.inline(F.array(
+        F.struct(F.lit(0).alias("part"), F.concat(F.lit("Pedidos de "), "y").alias("value")), F.struct(F.lit(1).alias("part"), F.lit("Pedido;Resto;Nota").alias("value")),
+        F.struct(F.lit(3).alias("part"), F.lit("").alias("value")))))
+    lines = rows.unionByName(frame).repartition("s").sortWithinPartitions("s", "y", "part", "k")
+    path = scratch_path(spark, "csv-blocks")
+    lines.select("s", "value").write.partitionBy("s").text(path)
+    values = G.block_values(cut_lineage(read_cells(spark, path)))
+    return values.select(F.regexp_extract("sheet_id", "/s=([^/]+)/", 1).alias("sheet"), "block", "name", "text")

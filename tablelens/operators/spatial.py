@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from tablelens.functions.geometry import bbox, edges_contain, polygon_edges
 
 
-def _salt(df: DataFrame) -> int:
-    """Tasks a single busy cell is spread over; each polygon cell is repeated that often."""
-    return max(4, min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+#: Spots of one cell that a task takes, and how many busy cells there can be at most.
+SPOTS, BUSY = 100_000, 10_000
 
 
 def valid_position(lon: Column, lat: Column) -> Column:
@@ -23,7 +22,9 @@ def valid_position(lon: Column, lat: Column) -> Column:
 
 
 def _polygon_cells(polygons: DataFrame, polygon_id: str, geometry: str) -> DataFrame:
-    shaped = polygons.select(F.col(polygon_id).alias("polygon"), polygon_edges(geometry).alias("edges"), bbox(geometry).alias("box"))
+    # each step is exploded from one value, so that a geometry is parsed once and not wherever a part of it is used
+    parsed = polygons.select(F.col(polygon_id).alias("polygon"), F.explode(F.array(F.col(geometry))).alias("shape"))
+    shaped = parsed.select("polygon", F.inline(F.array(F.struct(polygon_edges("shape").alias("edges"), bbox("shape").alias("box")))))
     boxed = shaped.where(F.size("edges") > 0)
     extent = F.greatest(F.col("box.max_lon") - F.col("box.min_lon"), F.col("box.max_lat") - F.col("box.min_lat"), F.lit(1e-6))
     level = F.ceil(F.log2(extent)).cast("int")
@@ -35,20 +36,28 @@ def _polygon_cells(polygons: DataFrame, polygon_id: str, geometry: str) -> DataF
     )
 
 
-def _matches(polygons: DataFrame, polygon_id: str, geometry: str, places: DataFrame) -> DataFrame:
-    """``places(lon, lat, ...)`` joined to the polygons that contain them."""
+def _matches(polygons: DataFrame, polygon_id: str, geometry: str, places: DataFrame, spots_per_task: int = SPOTS) -> DataFrame:
+    """``places(lon, lat, ...)`` joined to the polygons that contain them; a cell with more than ``spots_per_task`` of them is split."""
     cells = _polygon_cells(polygons, polygon_id, geometry)
     levels = sorted(r.level for r in cells.select("level").distinct().collect())  # at most some 30 sizes
     if not levels:
         return places.limit(0).withColumns({"polygon": F.lit(None).cast(polygons.schema[polygon_id].dataType)})
-    salt = _salt(places)
-    salted = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     spots = (
         places.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
         .withColumn("cx", F.floor(F.col("lon") / F.pow(F.lit(2.0), F.col("level"))))
         .withColumn("cy", F.floor(F.col("lat") / F.pow(F.lit(2.0), F.col("level"))))
-        .withColumn("salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(salt)).cast("int"))
     )
+    # a busy cell is split by its measured number of spots; as each holds a share of all, only so many cells can be busy
+    crowds = spots.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("spots"))
+    total = places.count() * len(levels)
+    share = max(spots_per_task, total // BUSY)
+    busy = F.broadcast(crowds.where(F.col("spots") > share).select("level", "cx", "cy", F.ceil(F.col("spots") / share).cast("int").alias("salts")))
+    parted = lambda df: df.join(busy, ["level", "cx", "cy"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    if total > share:
+        spots = parted(spots).withColumn("salt", F.pmod(F.xxhash64("lon", "lat"), F.col("salts")).cast("int")).drop("salts")
+        salted = parted(cells).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    else:
+        spots, salted = spots.withColumn("salt", F.lit(0)), cells.withColumn("salt", F.lit(0))
     near = (
         (F.col("lon") >= F.col("box.min_lon"))
         & (F.col("lon") <= F.col("box.max_lon"))

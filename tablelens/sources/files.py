@@ -55,55 +55,50 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ delimited text
 
 
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, start, at, value)``: lines with the byte where their split starts and a number that rises by one within a split."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+
+
 def text_facts(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, encoding, separator, broken_quotes, header)`` of every file, from one scan and one aggregate.
+    """``(file, encoding, separator, broken_quotes, header)`` of every file, from one scan and one aggregate; a
+    second scan fetches the headers.
 
     UTF-8 when every line is valid, else Windows-1252. For each separator all lines with text are counted by
     how often they hold it outside quotes; the winner has one count in most lines, and more columns and a
     larger share of agreeing lines score higher. ``broken_quotes``: some line has an odd number of quotes, so
     a cell goes over several lines. ``header`` is the first line with text.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).alias("place"),
-        F.regexp_replace("value", '"[^"]*("|$)', "").alias("bare"),
-        "value",
-    )
-    text = F.length(trimmed("value")) > 0
+    lines = _lines(spark, path)
+    # the pattern is only tried where there is a quote, and all that is kept per count is a number
+    bare = F.when(F.contains("value", F.lit('"')), F.regexp_replace("value", '"[^"]*("|$)', "")).otherwise(F.col("value"))
+    lines = lines.withColumn("bare", bare).withColumn("text", F.length(trimmed("value")) > 0)
     times = lambda s: (F.length("bare") - F.length(F.replace("bare", F.lit(s)))).cast("int")
-    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-    per_count = lines.groupBy("file", *[F.when(text, times(s)).alias(f"t{i}") for i, s in enumerate(SEPARATORS)]).agg(
-        F.count_if(text).alias("n"),
-        F.bool_and(F.is_valid_utf8("value")).alias("valid"),
-        F.bool_or(odd).alias("odd"),
-        F.min(F.when(text, F.struct("place", "value"))).alias("first"),
+    odd = F.contains("value", F.lit('"')) & ((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1)
+    per_count = lines.groupBy("file", "start", *[F.when(F.col("text"), times(s)).alias(f"t{i}") for i, s in enumerate(SEPARATORS)]).agg(
+        F.count_if("text").alias("n"),
+        F.count_if(~F.is_valid_utf8("value")).alias("invalid"),
+        F.count_if(odd).alias("odd"),
+        F.min(F.when(F.col("text"), F.col("at"))).alias("at"),
     )
-    # few rows per file from here on: one per combination of counts
+    # few rows per split from here on: one per combination of counts
+    per_count = per_count.withColumn("first", F.struct("start", "at"))
     kinds = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(s).alias("separator"), F.col(f"t{i}").alias("times")) for i, s in enumerate(SEPARATORS)])
-    counted = per_count.where("n > 0").select("file", "n", "first", F.inline(kinds))
-    groups = counted.groupBy("file", "rank", "separator", "times").agg(F.sum("n").alias("n"), F.min("first.place").alias("first"))
-    whole = per_count.groupBy("file").agg(
-        F.sum("n").alias("lines"), F.bool_and("valid").alias("valid"), F.bool_or("odd").alias("broken_quotes"), F.min("first").alias("first"))
+    sums = [F.sum(c).alias(c) for c in ("n", "invalid", "odd")] + [F.min(F.when(F.col("n") > 0, F.col("first"))).alias("first")]
+    groups = per_count.select("file", "n", "invalid", "odd", "first", F.inline(kinds)).groupBy("file", "rank", "separator", "times").agg(*sums)
     # of equally common counts the one that comes first in the file
-    mode = Window.partitionBy("file", "rank").orderBy(F.desc("n"), "first")
-    best = (
-        groups.where("times > 0")
-        .withColumn("no", F.row_number().over(mode))
-        .where("no = 1")
-        .join(whole.select("file", "lines"), "file")
-        .withColumn("share", F.col("n") / F.col("lines"))
-        .where(F.col("share") >= SEPARATOR_SHARE)
-        .withColumn("score", F.col("times") * F.col("share") * F.col("share"))
-        .groupBy("file")
-        .agg(F.max_by("separator", F.struct("score", (-F.col("rank")).alias("r"))).alias("separator"))
-    )
-    return whole.join(best, "file", "left").select(
-        "file",
-        F.when(F.col("valid"), "UTF-8").otherwise("windows-1252").alias("encoding"),
-        F.coalesce("separator", F.lit(",")).alias("separator"),
-        "broken_quotes",
-        F.col("first.value").alias("header"),
-    )
+    common = F.min_by(F.struct("times", "n"), F.when((F.col("times") > 0) & (F.col("n") > 0), F.struct((-F.col("n")).alias("m"), "first"))).alias("mode")
+    ranked = groups.groupBy("file", "rank", "separator").agg(common, *sums)
+    share = F.col("mode.n") / F.col("n")
+    score = F.when(share >= SEPARATOR_SHARE, F.struct((F.col("mode.times") * share * share).alias("score"), (-F.col("rank")).alias("r")))
+    whole = ranked.groupBy("file").agg(
+        F.max_by("separator", score).alias("separator"), (F.max("invalid") == 0).alias("valid"), (F.max("odd") > 0).alias("broken_quotes"), F.min("first").alias("first"))
+    opening = whole.select(
+        F.col("file").alias("_file"), F.col("first.start").alias("_start"), F.col("first.at").alias("_at"),
+        F.when(F.col("valid"), "UTF-8").otherwise("windows-1252").alias("encoding"), F.coalesce("separator", F.lit(",")).alias("separator"), "broken_quotes")
+    found = (F.col("file") == F.col("_file")) & (F.col("start") == F.col("_start")) & (F.col("at") == F.col("_at"))
+    return opening.join(_lines(spark, path), found, "left").select(F.col("_file").alias("file"), "encoding", "separator", "broken_quotes", F.col("value").alias("header"))
 
 
 def text_encodings(spark: SparkSession, path: str) -> DataFrame:
@@ -142,6 +137,38 @@ def read_delimited(
     return stack_files(parts) if parts else spark.createDataFrame([], T.StructType([]))
 
 
+def read_cells(spark: SparkSession, path: str | list[str], separator: str | None = None, encoding: str | None = None) -> DataFrame:
+    """Delimited files as cell tables ``(sheet_id, row, col, text)``, for files with titles, several blocks or two header lines.
+
+    A file is a sheet; rows and columns count from 0, blank lines count too, empty cells have no row. ``blocks``, ``block_headers`` and
+    ``block_values`` take it from there. Files stay splittable: lines are numbered within their split, and a split's first line follows from the
+    numbers of lines of the splits before it. Separator and encoding are found per file unless given.
+    Cells are trimmed; quoted ones may hold separators and doubled quotes, but a line break always ends a row. A mark of byte order is left out.
+    """
+    lines = _lines(spark, path)
+    splits = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("lines"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("offset", F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")).select(F.col("file").alias("_file"), F.col("start").alias("_start"), "offset")
+    facts = text_facts(spark, path).select(F.col("file").alias("_ffile"), "separator", "encoding")
+    facts = facts.withColumns({k: F.lit(v) for k, v in {"separator": separator, "encoding": encoding}.items() if v is not None})
+    splits = splits.join(facts, F.col("_file") == F.col("_ffile")).drop("_ffile")
+    numbered = lines.join(splits, (F.col("file") == F.col("_file")) & (F.col("start") == F.col("_start")))
+    row = (F.col("at") + F.col("offset")).cast("int")
+    text = F.when(F.col("encoding") == "UTF-8", F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "windows-1252"))
+    text = F.when(row == 0, F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
+    # without a quote a plain split will do; one pattern per separator, as there are only so many
+    def cells_by(mark: str) -> Column:
+        one = "\\t" if mark == "\t" else "\\" + mark
+        pattern = rf'(?:^|{one})(\s*+"(?:[^"]|"")*+"?+[^{one}]*+|[^{one}]*+)'
+        bare = lambda c: F.when(F.startswith(trimmed(c), F.lit('"')), F.replace(F.regexp_replace(trimmed(c), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)
+        return F.when(F.contains("line", F.lit('"')), F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), bare)).otherwise(F.split("line", one, -1))
+
+    cells = F.coalesce(*[F.when(F.col("separator") == mark, cells_by(mark)) for mark in ([separator] if separator else SEPARATORS)])
+    placed = numbered.select(F.col("file").alias("sheet_id"), row.alias("row"), text.alias("line"), "separator").where(F.length(trimmed("line")) > 0)
+    placed = placed.select("sheet_id", "row", F.posexplode(cells).alias("col", "raw"))
+    return placed.select("sheet_id", "row", "col", clean_cell("raw").alias("text")).where("text is not null")
+
+
 # ------------------------------------------------------------------ JSON
 
 
