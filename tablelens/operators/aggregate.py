@@ -5,14 +5,13 @@ Results are long frames; ``NULL`` means no data. ``position`` is the presentatio
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions import vocabulary as V
 from tablelens.functions.ranks import medians
 from tablelens.functions.values import finite, number_of, quoted, text_of, typed_values
+from tablelens.operators.pairs import pair_moments
 
 HOWS = ("count", "sum", "mean", "min", "max", "median")
 
@@ -300,37 +299,31 @@ def pearson(df: DataFrame, a: str, b: str, numbers: str = "br") -> DataFrame:
     return df.agg(*_moments(x, y)).select("n", _r().alias("r"))
 
 
-PAIRS_AT_ONCE = 64
-
-
 def best_correlation(
     df: DataFrame, columns: list[str], first: int | None = None, min_rows: int = 8, min_r: float = 0.5, numbers: str = "br"
 ) -> DataFrame:
     """The most correlated pair of the numeric columns (of the ``first`` ones if given).
 
-    All pairs are aggregated without a shuffle of rows, ``PAIRS_AT_ONCE`` in one pass, so that an
-    aggregate stays small enough for generated code; equal strengths go to the pair listed first.
+    All pairs come from one scan, as products of matrices with null masks, without a shuffle of rows; equal strengths go
+    to the pair listed first.
     """
     names = columns[:first] if first else columns
-    nums = df.select(*[number_of(df, c, numbers).alias(f"c{i}") for i, c in enumerate(names)])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    if not pairs:
+    if len(names) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, n bigint, r double")
-
-    def measured(start: int) -> DataFrame:
-        some = list(enumerate(pairs))[start : start + PAIRS_AT_ONCE]
-        seen = nums.agg(*[F.struct(*_moments(F.col(f"c{i}"), F.col(f"c{j}"))).alias(f"p{k}") for k, (i, j) in some])
-        table = F.array(
-            *[
-                F.struct(F.lit(k).alias("k"), F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"p{k}.n").alias("n"), _r(f"p{k}.").alias("r"))
-                for k, (i, j) in some
-            ]
-        )
-        return seen.select(F.inline(table))
-
-    every = reduce(DataFrame.unionByName, [measured(start) for start in range(0, len(pairs), PAIRS_AT_ONCE)])
-    strong = every.where((F.col("n") >= min_rows) & (F.abs("r") >= min_r))
-    return strong.orderBy(F.abs("r").desc(), "k").limit(1).select("a", "b", "n", "r")
+    nums = df.select(*[number_of(df, c, numbers).alias(f"c{i}") for i, c in enumerate(names)])
+    x, y = F.try_divide("sx", "n"), F.try_divide("sy", "n")
+
+    def spread(squares: str, mean: Column) -> Column:
+        """The variance; what rounding leaves of a column without one is 0."""
+        raw = F.try_divide(squares, "n")
+        return F.when(raw - mean * mean > raw * 1e-13, raw - mean * mean).otherwise(F.lit(0.0))
+
+    moments = pair_moments(nums).select("i", "j", "n", spread("sxx", x).alias("sxx"), spread("syy", y).alias("syy"), (F.try_divide("sxy", "n") - x * y).alias("sxy"))
+    strong = moments.select("i", "j", "n", _r().alias("r")).where((F.col("n") >= min_rows) & (F.abs("r") >= min_r))
+    table = F.array(*[F.lit(n) for n in names])
+    # equal up to rounding counts as equal
+    best = strong.orderBy(F.round(F.abs("r"), 12).desc(), "i", "j").limit(1)
+    return best.select(F.element_at(table, F.col("i") + 1).alias("a"), F.element_at(table, F.col("j") + 1).alias("b"), "n", "r")
 
 
 def scatter_points(df: DataFrame, x: str, y: str, numbers: str = "br") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablelens.functions import vocabulary as V
 from tablelens.functions.values import number_of, quoted, text_of
+from tablelens.operators.pairs import pair_fits, triple_misses
 from tablelens.operators.profile import duplicate_rows, outliers
 from tablelens.operators.roles import roles
 
@@ -64,23 +65,11 @@ def _off(a: Column, b: Column, p: Column) -> Column:
     return (a > b) | (F.abs(F.try_divide(a, b) * 100 - p) > tolerance)
 
 
-COUNTS_AT_ONCE = 100
-
-
-def _counted(nums: DataFrame, conditions: dict[str, Column]) -> dict[str, int]:
-    """How many rows meet each condition; a bounded number of counters per pass keeps the generated code small."""
-    names, out = list(conditions), {}
-    for start in range(0, len(names), COUNTS_AT_ONCE):
-        some = names[start : start + COUNTS_AT_ONCE]
-        out |= nums.agg(*[F.count_if(conditions[n]).alias(n) for n in some]).first().asDict()
-    return out
-
-
 def relations(df: DataFrame, columns: list[str], first: int | None = None, percent: set[str] = frozenset(), numbers: str = "br") -> DataFrame:
     """Rates that come from two other columns: ``(p, a, b, n, bad)``; of the ``first`` columns if given.
 
-    Columns with one value only are left out. The first passes count, per pair, the rows in which A can be a
-    part of B. A pair for which that is too rare cannot give any rate, so only the others are checked, on
+    Three scans for any number of columns. Columns with one value only are left out. The second counts, per pair, the rows in which A can be a
+    part of B. A pair for which that is too rare cannot give any rate, so the third checks only the others, on
     all rows. All of it is counting without a shuffle of rows. Each triple is reported once, preferably with
     the rate-named column as the result.
     """
@@ -94,25 +83,22 @@ def relations(df: DataFrame, columns: list[str], first: int | None = None, perce
         *[(F.min(f"c{i}") < F.max(f"c{i}")).alias(f"v{i}") for i in range(len(names))],
     ).first()
     varied = [i for i in range(len(names)) if facts[f"v{i}"]]
+    if len(varied) < 3:
+        return none
+    fits = {(r.a, r.b): r for r in pair_fits(nums).collect()}  # one row per pair of columns
     pairs = [(a, b) for a in varied for b in varied if a != b]
-    usable = lambda a, b: F.col(f"c{a}").isNotNull() & F.col(f"c{b}").isNotNull() & (F.col(f"c{b}") != 0)
-    fits = _counted(nums, {f"{kind}_{a}_{b}": usable(a, b) if kind == "both" else usable(a, b) & (F.col(f"c{a}") <= F.col(f"c{b}")) for a, b in pairs for kind in ("both", "fits")})
     triples = [
         (p, a, b)
         for a, b in pairs
         for p in varied
         # at least both - empty(p) rows count, and two thirds of them have to fit
-        if p not in (a, b) and fits[f"fits_{a}_{b}"] * 3 >= (fits[f"both_{a}_{b}"] - facts[f"e{p}"]) * 2 and fits[f"fits_{a}_{b}"] > 0
+        if p not in (a, b) and fits[a, b].fits * 3 >= (fits[a, b].both - facts[f"e{p}"]) * 2 and fits[a, b].fits > 0
     ]
     if not triples:
         return none
-    tested = {}
-    for p, a, b in triples:
-        counted = F.col(f"c{p}").isNotNull() & usable(a, b)
-        tested[f"n_{p}_{a}_{b}"] = counted
-        tested[f"bad_{p}_{a}_{b}"] = counted & _off(F.col(f"c{a}"), F.col(f"c{b}"), F.col(f"c{p}"))
-    found = _counted(nums, tested)
-    scores = df.sparkSession.createDataFrame([([p, a, b], found[f"n_{p}_{a}_{b}"], found[f"bad_{p}_{a}_{b}"]) for p, a, b in triples], "t array<int>, n bigint, bad bigint")
+    places = df.sparkSession.createDataFrame([(i, list(t)) for i, t in enumerate(triples)], "place int, t array<int>")
+    counted = triple_misses(nums, triples, V.RELATION_ABS_TOLERANCE, V.RELATION_REL_TOLERANCE).withColumnRenamed("t", "_t")
+    scores = places.join(counted, F.col("place") == F.col("_t")).select("t", "n", "bad")
     valid = scores.where("n >= 3 and bad <= floor(n / 3)")
     best = valid.groupBy(F.element_at("t", 1).alias("p")).agg(
         F.min_by(F.struct("t", "n", "bad"), F.struct("bad", F.element_at("t", 2), F.element_at("t", 3))).alias("x")
