@@ -6,17 +6,21 @@ rounds below give the same answer as deciding one record after the other.
 
 * Records equal in every compared value share one fate and are folded into one row first, so a
   large group of copies costs one row.
-* For two patterns of filled attributes the comparison is an equality test on the attributes filled
-  in both, so candidates meet by key: one key per pattern pair, plus the map cell when both have a
-  position. Without positions only the smallest member of a key matters and is found by
-  aggregation; with positions a cell of the distance limit bounds the candidates.
+* A block of at most ``SETTLED`` such rows is decided in record order at once, without keys or pairs.
+* In larger blocks, for two patterns of filled attributes the comparison is an equality test on the
+  attributes filled in both, so candidates meet by key: one key per pattern pair, plus the map cell
+  when both have a position. Without positions only the smallest member of a key matters and is
+  found by aggregation; with positions a cell of the distance limit bounds the candidates.
+* Every round makes primaries of the rows that no open row comes before, and of those that the first
+  ``SETTLED`` open rows of a block decide on alone: what comes later cannot change them. A
+  chain of neighbours therefore takes a round per ``SETTLED`` rows, not one per row.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions import vocabulary as V
@@ -25,6 +29,8 @@ from tablelens.functions.values import field_key
 from tablelens.session import cut_lineage
 
 ABSENT = "\x00"
+#: Different rows of a block that are decided one after the other in one step.
+SETTLED = 1_000
 
 
 def _row_width(row: Column, height: float) -> Column:
@@ -72,6 +78,58 @@ def _candidates(home: DataFrame) -> DataFrame:
     return smallest.unionByName(placed)
 
 
+def _decided(sigs: DataFrame, block: list[str], attributes: list[str], metres: float) -> DataFrame:
+    """``(ord, primary)`` of blocks of few rows, each compared with the primaries before it."""
+    fields = ["ord", *attributes, "lat", "lon"]
+    rows = sigs.groupBy(*block).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+
+    def agree(p: Column, x: Column) -> Column:
+        same = [p[a].isNull() | x[a].isNull() | (p[a] == x[a]) for a in attributes]
+        near = p["lat"].isNull() | x["lat"].isNull() | (metres_apart(p["lat"], p["lon"], x["lat"], x["lon"]) <= metres)
+        return reduce(lambda a, b: a & b, same, F.lit(True)) & F.coalesce(near, F.lit(False))
+
+    def step(done: Column, x: Column) -> Column:
+        found = F.get(F.filter(done["primaries"], lambda p: agree(p, x)), F.lit(0))["ord"]
+        decide = lambda primary: F.struct(
+            F.when(primary.isNull(), F.concat(done["primaries"], F.array(x))).otherwise(done["primaries"]).alias("primaries"),
+            F.concat(done["fates"], F.array(F.struct(x["ord"].alias("ord"), F.coalesce(primary, x["ord"]).alias("primary")))).alias("fates"),
+        )
+        return F.get(F.transform(F.array(found), decide), F.lit(0))  # the search runs once per row
+
+    none = F.filter("rows", lambda x: F.lit(False))
+    start = F.struct(none.alias("primaries"), F.transform(none, lambda x: F.struct(x["ord"].alias("ord"), x["ord"].alias("primary"))).alias("fates"))
+    return rows.select(F.inline(F.aggregate("rows", start, step, lambda done: done["fates"])))
+
+
+def _by_rounds(sigs: DataFrame, patterns: list[str], block: list[str], attributes: list[str], metres: float, settled: int) -> DataFrame:
+    """``(ord, primary)`` of blocks of any size; what is decided leaves the keys after each round."""
+    home, probe = (cut_lineage(x) for x in _keys(sigs, patterns, block, attributes, metres))
+    close = (F.col("p_lat").isNull()) | (metres_apart(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")) <= metres)
+    before = Window.partitionBy(*block).orderBy("ord")
+    open_sigs, open_home, open_probe = sigs, home, probe
+    primaries: list[DataFrame] = []
+    while not open_sigs.isEmpty():
+        smallest = open_home.groupBy("key").agg(F.min("ord").alias("first"))
+        waiting = open_probe.join(smallest, "key").where("first < ord").select("ord").distinct()
+        leading = open_sigs.withColumn("place", F.row_number().over(before)).where(F.col("place") <= settled)
+        decided = _decided(leading, block, attributes, metres).where("primary = ord")
+        fresh = cut_lineage(open_sigs.select("ord").join(waiting, "ord", "left_anti").unionByName(decided.select("ord")).distinct())
+        primaries.append(fresh)
+        near = _candidates(open_home.join(fresh, "ord", "left_semi"))
+        hit = open_probe.join(near, "key").where((F.col("p_ord") < F.col("ord")) & close).select("ord")
+        done = cut_lineage(hit.unionByName(fresh).distinct())
+        open_sigs, open_home, open_probe = (cut_lineage(x.join(done, "ord", "left_anti")) for x in (open_sigs, open_home, open_probe))
+    chosen = reduce(DataFrame.unionByName, primaries)
+    assigned = (
+        probe.join(chosen, "ord", "left_anti")
+        .join(_candidates(home.join(chosen, "ord", "left_semi")), "key")
+        .where((F.col("p_ord") < F.col("ord")) & close)
+        .groupBy("ord")
+        .agg(F.min("p_ord").alias("primary"))
+    )
+    return sigs.select("ord").join(assigned, "ord", "left").select("ord", F.coalesce("primary", "ord").alias("primary"))
+
+
 def find_duplicates(
     records: DataFrame,
     index: str,
@@ -81,6 +139,7 @@ def find_duplicates(
     lat: str = "lat",
     lon: str = "lng",
     metres: float = V.DUPLICATE_METRES,
+    settled: int = SETTLED,
 ) -> DataFrame:
     """``(index, duplicate_of)`` for every record that repeats an earlier one.
 
@@ -101,40 +160,13 @@ def find_duplicates(
     sigs = members.groupBy(*same).agg(F.min("ord").alias("ord"))
     pattern = F.concat(*[F.when(F.col(n).isNotNull(), "1").otherwise("0") for n in [*names, "lat"]])
     sigs = cut_lineage(sigs.withColumn("pattern", pattern))
-    patterns = [r.pattern for r in sigs.select("pattern").distinct().collect()]  # at most 2 ** attributes
-    if not patterns:
-        return members.select(F.col("ord.i").alias(index), F.col("ord.i").alias("duplicate_of")).limit(0)
-    home, probe = (cut_lineage(x) for x in _keys(sigs, patterns, blocks, names, metres))
-
-    close = (F.col("p_lat").isNull()) | (metres_apart(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")) <= metres)
-    open_sigs = sigs.select("ord")
-    primaries: list[DataFrame] = []
-    while True:
-        first = home.join(open_sigs, "ord", "left_semi").groupBy("key").agg(F.min("ord").alias("first"))
-        waiting = (
-            probe.join(open_sigs, "ord", "left_semi")
-            .join(first, "key")
-            .groupBy("ord")
-            .agg(F.min("first").alias("first"))
-            .where("first < ord")
-        )
-        fresh = cut_lineage(open_sigs.join(waiting, "ord", "left_anti"))
-        if fresh.isEmpty():
-            break
-        primaries.append(fresh)
-        near = _candidates(home.join(fresh, "ord", "left_semi"))
-        left = open_sigs.join(fresh, "ord", "left_anti")
-        hit = probe.join(left, "ord", "left_semi").join(near, "key").where((F.col("p_ord") < F.col("ord")) & close).select("ord").distinct()
-        open_sigs = cut_lineage(left.join(hit, "ord", "left_anti"))
-    chosen = reduce(DataFrame.unionByName, primaries)
-    assigned = (
-        probe.join(chosen, "ord", "left_anti")
-        .join(_candidates(home.join(chosen, "ord", "left_semi")), "key")
-        .where((F.col("p_ord") < F.col("ord")) & close)
-        .groupBy("ord")
-        .agg(F.min("p_ord").alias("primary"))
-    )
-    fate = sigs.join(assigned, "ord", "left").select(*same, F.coalesce("primary", "ord").alias("primary"))
+    crowded = cut_lineage(sigs.groupBy(*blocks).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > settled).drop("n"))
+    fates = _decided(sigs.join(crowded, blocks, "left_anti"), blocks, names, metres)
+    large = sigs.join(crowded, blocks, "left_semi")
+    patterns = [r.pattern for r in large.select("pattern").distinct().collect()]  # at most 2 ** (attributes + 1)
+    if patterns:
+        fates = fates.unionByName(_by_rounds(cut_lineage(large), patterns, blocks, names, metres, settled))
+    fate = sigs.join(fates, "ord").select(*same, "primary")
     on = reduce(lambda x, y: x & y, [members[c].eqNullSafe(fate[c]) for c in same])
     return (
         members.join(fate, on)

@@ -116,10 +116,32 @@ def test_duplicates_match_sequential_greedy(spark):
     dup = D.find_duplicates(df, "idx", D.completeness(["prop", "day", "sex"]), ["type", "loc"], ["prop", "day", "sex"])
     got = {r.idx: r.duplicate_of for r in dup.collect()}
     assert got == want and len(primaries) > 10
+    by_rounds = D.find_duplicates(df, "idx", D.completeness(["prop", "day", "sex"]), ["type", "loc"], ["prop", "day", "sex"], settled=7)
+    assert {r.idx: r.duplicate_of for r in by_rounds.collect()} == want
     groups = D.duplicate_groups(dup, df, "idx", "type").collect()
     assert sum(g.copies - 1 for g in groups) == len(want) and not any(g.cross_folder for g in groups)
 
 
+def test_a_chain_of_neighbours_takes_few_rounds(spark, monkeypatch):
+    """Each record is near the one before it only; every second one is a duplicate of its predecessor."""
+    cols = "idx int, type string, day string, lat double, lng double"
+    chain = spark.createDataFrame([(i, "x", "2024-01-01", -4.0 + i * 0.00018, -40.0) for i in range(1_000)], cols)
+    rounds = []
+    keep = D._decided
+    monkeypatch.setattr(D, "_decided", lambda *a: rounds.append(1) or keep(*a))
+    want = {i: i - 1 for i in range(1, 1_000, 2)}
+    for settled, most in ((1_000, 1), (100, 12)):
+        rounds.clear()
+        got = D.find_duplicates(chain, "idx", F.lit(0), ["type"], ["day"], settled=settled)
+        assert {r.idx: r.duplicate_of for r in got.collect()} == want
+        assert len(rounds) <= most
+
+
+def test_duplicates_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "idx int, type string, day string, lat double, lng double")
+    assert D.find_duplicates(empty, "idx", F.lit(0), ["type"], ["day"]).count() == 0
+
+
 def test_every_close_pair_shares_a_segment_and_tokens_do_not_grow(spark):
     import random
 
