@@ -570,6 +570,12 @@ def _(spark, d):
     return P.page(P.sort_rows(rows, "o_totalprice", "o_orderkey", descending=True, kind="number"), 3, 25)
 
 
+@query("tbl_deep_page", "SRT-02", "select o_orderkey, o_totalprice from (select o_orderkey, case when o_orderkey % 3 = 0 then null else o_totalprice end as o_totalprice from orders) order by o_totalprice desc nulls last, o_orderkey limit 25 offset 8000")
+def _(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("o_totalprice"))
+    return P.sorted_page(rows, "o_totalprice", "o_orderkey", 321, 25, descending=True, kind="number", direct=1_000)
+
+
 @query("tbl_natural_sort", "SRT-01", "select p_partkey, p_brand from part order by cast(split_part(p_brand, '#', 2) as int), p_partkey limit 40 offset 40")
 def _(spark, d):
     rows = table(spark, d, "part").select("p_partkey", "p_brand")

@@ -305,9 +305,21 @@ def _(spark, d):
     )
 
 
-@query("snk_kpi_export", "SNK-04", RECORDS_SQL + "select 'posts' as indicator, cast(count(*) as varchar) as value, 'confirmado' as status, 'PITs' as unit from rec where type = 'pit'")
+@query(
+    "snk_kpi_export", "SNK-04",
+    RECORDS_SQL + """, k as (select count(distinct locality_key) as localities, count(*) filter (where type = 'visita') as visits,
+      count(*) filter (where search_result = 'com_captura') as with_capture, count(*) filter (where search_result = 'sem_captura') as without_capture,
+      count(*) filter (where type = 'captura' and exam_result = 'positivo') as positive, count(*) filter (where type = 'captura' and exam_result = 'negativo') as negative,
+      count(*) filter (where type = 'captura' and exam_result in ('pendente', 'nao_realizado')) as pending, count(*) filter (where type = 'captura' and exam_result = 'nao_informado') as not_informed,
+      count(*) filter (where type = 'pit') as posts, coalesce(sum(triatomine_count) filter (where type = 'captura'), 0)::bigint as specimens,
+      count(*) filter (where type = 'captura' and triatomine_count is null) as uncounted from rec)
+    select unnest(['localities','visits','with_capture','without_capture','positive','negative','pending','not_informed','posts','specimens']) as indicator,
+      unnest([localities, visits, with_capture, without_capture, positive, negative, pending, not_informed, posts, specimens])::varchar as value, 'confirmado' as status,
+      unnest(['localidades','visitas','registros','buscas','registros de captura','registros de captura','registros de captura','registros de captura','PITs','triatomíneos']) as unit,
+      unnest(['','','','','','','','','', case when uncounted > 0 then concat('uncounted:', uncounted) else '' end]) as note from k""",
+)
 def _(spark, d):
-    return K.kpi_export(C.kpis(survey_records(spark, d))).where("indicator = 'posts'").select("indicator", "value", "status", "unit")
+    return K.kpi_export(C.kpis(survey_records(spark, d)))
 
 
 @query(

@@ -15,6 +15,7 @@ from tablelens.functions import vocabulary as V
 from tablelens.functions.ranks import medians
 from tablelens.functions.values import fold, round_half_up
 from tablelens.operators.filters import fold_words
+from tablelens.operators.tables import page_of
 
 RECORD_SCHEMA = """
   rid string, origin string, type string, name string, locality_key string, locality_raw string, visit_date date, exam_date date,
@@ -486,12 +487,10 @@ SORTABLE = (
 def record_page(
     records: DataFrame, f: Filters = Filters(), page: int = 1, size: int = 25, sort: str = "visit_date", descending: bool = True
 ) -> DataFrame:
-    """One page of records, empty sort values last, equal ones by id."""
+    """One page of records, empty sort values last, equal ones by id; deep pages do not sort what comes before."""
     column = F.col(sort if sort in SORTABLE else "visit_date")
     rows = select_records(records, f if f.layers else replace(f, layers=("captura", "visita", "pit")))
-    ordered = rows.orderBy(column.desc_nulls_last() if descending else column.asc_nulls_last(), "rid")
-    skip = (max(page, 1) - 1) * size
-    return (ordered.offset(skip) if skip else ordered).limit(size)
+    return page_of(rows, column, F.col("rid"), page, size, descending)
 
 
 def record_total(records: DataFrame, f: Filters = Filters()) -> DataFrame:
