@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 
 from tablelens.llm.embeddings import close_vectors
-from tablelens.llm.toxicity import clean_documents, coordinates, score_toxicity
+from tablelens.llm.toxicity import Model, Rates, clean_documents, coordinates, learn, score_toxicity
 
 from . import brute
 
@@ -135,3 +136,38 @@ def test_recall_of_a_second_vector_length(spark):
     got = {r.vec_id: r.n_links for r in close_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     found = [got[400 + i] for i in range(300)]
     assert want.sum() > 500 and all(a <= b for a, b in zip(found, want)) and sum(found) >= 0.9 * want.sum()
+
+
+def test_learning_equals_plain_ftrl():
+    """Weights of the same rows from dictionaries and one coordinate at a time."""
+    pick = random.Random(21)
+    rows = [np.array(sorted(pick.sample(range(1, 200), pick.randint(0, 30))), np.int32) for _ in range(300)]
+    labels = np.array([float(pick.random() < 0.3 + 0.4 * (5 in r)) for r in rows])
+    rates, prior = Rates(), -0.7
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= rates.l1:
+            return 0.0
+        sign = 1.0 if z[i] > 0 else -1.0
+        return -(z[i] - sign * rates.l1) / ((rates.beta + math.sqrt(n[i])) / rates.alpha + rates.l2)
+
+    for _ in range(rates.passes):
+        for row, label in zip(rows, labels):
+            here = {i: weight(i) for i in [0, *row.tolist()]}
+            gradient = 1.0 / (1.0 + math.exp(-(prior + sum(here.values())))) - label
+            for i, w in here.items():
+                old = n.get(i, 0.0)
+                n[i] = old + gradient * gradient
+                z[i] = z.get(i, 0.0) + gradient - (math.sqrt(n[i]) - math.sqrt(old)) / rates.alpha * w
+    got, squares = learn(rows, labels, prior, rates, 8)
+    assert any(weight(i) for i in range(1, 200))
+    assert all(abs(got[i] - weight(i)) < 1e-9 and abs(squares[i] - n.get(i, 0.0)) < 1e-9 for i in range(200))
+    texts = ["", "a b c", "b c d e f"]
+    w = np.zeros(256)
+    w[np.arange(200)] = got[:200]
+    at = np.flatnonzero(w)
+    score = Model(prior, at, w[at], 8).scorer()
+    for text in texts:
+        total = prior + w[0] + sum(w[i] for i in coordinates(text, 8).tolist())
+        assert abs(score(text) - 1.0 / (1.0 + math.exp(-total))) < 1e-9
