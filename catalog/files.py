@@ -85,6 +85,23 @@ def _(spark, d):
     return G.read_geojson(spark, path, one_per_line=True).select("id", F.round(c[0], 6).alias("lon"), F.round(c[1], 6).alias("lat"))
 
 
+@query("src_geojson_collections", "SRC-05", """with sq as (select s_suppkey as id, s_nationkey as nation, (s_suppkey * 37 % 340) - 170.0 as x, (s_suppkey * 17 % 150) - 75.0 as y, 0.5 + s_nationkey as w from supplier)
+    select id, nation, row_number() over (partition by nation order by id) as position, 'a}"],{' || s_name as name, round(x + w / 2, 6) as lon, round(y + w / 2, 6) as lat from sq join supplier on s_suppkey = id""")
+def _(spark, d):
+    """One whole collection per nation, its features in the order of their suppliers, in a single line."""
+    from tablelens.functions.geometry import to_geojson
+
+    named = squares(spark, d).select("id", "geometry").join(table(spark, d, "supplier"), F.col("id") == F.col("s_suppkey"))
+    properties = F.to_json(F.struct("id", F.col("s_nationkey").alias("nation"), F.concat(F.lit('a}"],{'), "s_name").alias("name")))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), to_geojson("geometry"), F.lit("}"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", feature.alias("f")))), lambda x: x["f"])
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(ordered, ","), F.lit("]}"))
+    path = scratch_path(spark, "collections")
+    named.groupBy("s_nationkey").agg(text.alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    c = centroid("geometry")
+    return G.read_geojson(spark, f"{path}/*/*.txt").select(F.col("id").cast("bigint").alias("id"), F.col("nation").cast("bigint").alias("nation"), "position", "name", F.round(c[0], 6).alias("lon"), F.round(c[1], 6).alias("lat"))
+
+
 @query("snk_geojson_points", "SNK-05", "select count(*) as n from orders where o_orderkey % 100 <> 0 and abs((o_custkey * 7 % 3600) / 10.0 - 180.03) <= 180 and abs((o_orderkey * 13 % 1900) / 10.0 - 95.02) <= 90")
 def _(spark, d):
     from catalog.maps import positions

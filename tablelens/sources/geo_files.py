@@ -16,6 +16,7 @@ from tablelens.functions.geometry import (
     make_parts,
 )
 from tablelens.functions.values import field_key, let
+from tablelens.sources.geojson_parts import collection_parts
 
 WGS84 = "(?i)CRS84|4326"
 
@@ -30,28 +31,37 @@ def _json_type(variant_type: str) -> str:
     return re.sub(r"\b(VARIANT|VOID)\b", "STRING", t)
 
 
+def _collection_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, at, crs, feature, broken)``: the features of whole collections, or the text of a file that is none."""
+    frames, features = collection_parts(spark, path)
+    top = F.from_json("frame", "type string, crs struct<properties:struct<name:string>>")
+    files = frames.withColumns({"broken": F.try_parse_json("frame").isNull(), "top": top}).select(
+        "file", "frame", "broken", F.col("top.crs.properties.name").alias("crs"), (F.col("top.type") == "FeatureCollection").alias("collection")
+    )
+    alone = F.col("broken") | ~F.coalesce("collection", F.lit(False))
+    single = files.where(alone).select("file", F.lit(0).cast("bigint").alias("at"), "crs", F.col("frame").alias("feature"), "broken")
+    many = features.join(files.where(~alone).select("file", "crs"), "file")
+    return single.unionByName(many.select("file", (F.col("position") - 1).alias("at"), "crs", "feature", F.try_parse_json("feature").isNull().alias("broken")))
+
+
 def geojson_features(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """``(file, position, crs, properties, geometry_json, broken)`` as JSON text, one row per feature or broken text.
 
-    Collections, single features and bare geometries are accepted. ``one_per_line`` reads a
-    feature per line, which Spark can split; a whole collection is one unit of work per file.
+    Collections, single features and bare geometries are accepted, and a collection is read by many tasks (``geojson_parts``). A feature that is no
+    JSON is a broken row; a file that ends too early is one broken row. ``one_per_line`` reads a feature per line.
     """
-    docs = spark.read.text(path, wholetext=not one_per_line).select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value"
-    )
-    top = F.from_json("value", "type string, features array<string>, crs struct<properties:struct<name:string>>")
-    broken = F.try_parse_json("value").isNull()
-    features = F.when(~F.col("broken") & (F.col("top.type") == "FeatureCollection"), F.coalesce("top.features", empty_list("array<string>"))).otherwise(
-        F.array("value")
-    )
-    rows = docs.where("trim(value) <> ''").withColumns({"top": top, "broken": broken}).select(
-        "file", "line", "broken", F.col("top.crs.properties.name").alias("crs"), F.posexplode(features).alias("at", "feature")
-    )
+    if one_per_line:
+        docs = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+        docs = docs.where("trim(value) <> ''").withColumn("broken", F.try_parse_json("value").isNull())
+        crs = F.from_json("value", "crs struct<properties:struct<name:string>>")["crs"]["properties"]["name"]
+        rows = docs.select("file", "at", crs.alias("crs"), F.col("value").alias("feature"), "broken")
+    else:
+        rows = _collection_rows(spark, path)
     kind = F.get_json_object("feature", "$.type")
     bare = F.coalesce(kind != "Feature", F.lit(True)) & F.get_json_object("feature", "$.geometry").isNull()
     return rows.select(
         "file",
-        (F.col("line") + F.col("at") + 1 if one_per_line else F.col("at") + 1).cast("bigint").alias("position"),
+        (F.col("at") + 1).cast("bigint").alias("position"),
         "crs",
         F.when(~bare & ~F.col("broken"), F.get_json_object("feature", "$.properties")).alias("properties"),
         F.when(~F.col("broken"), F.when(bare, F.col("feature")).otherwise(F.get_json_object("feature", "$.geometry"))).alias("geometry_json"),

@@ -131,3 +131,53 @@ def test_files_with_different_headers_meet_by_name(spark, tmp_path):
     put(folder, "b.csv", "nome,id,extra\ny,2,z\n")
     rows = S.read_delimited(spark, str(folder)).select("id", "nome", "extra").collect()
     assert sorted(map(tuple, rows), key=repr) == [("1", "x", None), ("2", "y", "z")]
+
+
+def _odd_features():
+    """Strings with braces, brackets, quotes, backslashes and the name of the list itself; nested lists; empty parts."""
+    texts = ['}', '{', '"features":[', 'a\\', '\\"}', ']}', '}{', 'é}ü', '', '\\\\"features\\": [', 'x}","features":[{']
+    shape = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}
+    return [
+        {"type": "Feature", "properties": {"n": i, "t": t, "features": [{"x": [t]}], "o": {}}, "geometry": shape if i % 2 else {"type": "Point", "coordinates": [i, 1]}}
+        for i, t in enumerate(texts * 20)
+    ]
+
+
+def test_collections_are_read_by_many_tasks(spark, tmp_path):
+    features = _odd_features()
+    before = {"type": "FeatureCollection", "list": [{"features": [{"a": 1}]}, {}], "crs": {"type": "name", "properties": {"name": "EPSG:31984"}}}
+    whole = {
+        "compact": json.dumps({**before, "features": features}, separators=(",", ":"), ensure_ascii=False),
+        "wide": "﻿" + json.dumps({"features": features, **before, "bbox": [1, 2]}, indent=2) + "\n",
+    }
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for name, text in whole.items():
+            path = put(tmp_path, f"{name}.json", text)
+            assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 20
+            rows = {r.position: r for r in G.geojson_features(spark, path).collect()}
+            assert sorted(rows) == list(range(1, len(features) + 1))
+            for i, f in enumerate(features):
+                r = rows[i + 1]
+                assert not r.broken and r.crs == "EPSG:31984"
+                assert json.loads(r.properties) == f["properties"] and json.loads(r.geometry_json) == f["geometry"]
+            body = text.strip()
+            cut = G.geojson_features(spark, put(tmp_path, f"{name}-cut.json", body[:-1])).collect()
+            assert [r.broken for r in cut] == [True]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_odd_collections(spark, tmp_path):
+    read = lambda text: [(r.position, r.broken, r.geometry_json) for r in G.geojson_features(spark, put(tmp_path, "odd.json", text)).orderBy("position").collect()]
+    point = '{"type":"Point","coordinates":[1,2]}'
+    assert read('{"type":"FeatureCollection","features":[]}') == []
+    assert read('{"features" : [ ] , "type":"FeatureCollection"}\n') == []
+    assert read("") == [] and read(" \n") == []
+    assert read(point) == [(1, False, point)]
+    assert read('{"type":"Feature","properties":{},"geometry":' + point + "}") == [(1, False, point)]
+    good = '{"type":"Feature","properties":{},"geometry":' + point + "}"
+    assert read('{"type":"FeatureCollection","features":[' + good + ',{"a":},' + good + "]}") == [(1, False, point), (2, True, None), (3, False, point)]
+    assert [b for _, b, _ in read('{"type":"FeatureCollection","features":[' + good + ", nonsense]}")] == [False, True]
