@@ -16,6 +16,7 @@ from tablelens.functions.geometry import (
     make_parts,
 )
 from tablelens.functions.values import field_key, let
+from tablelens.session import cut_lineage
 from tablelens.sources.geojson_parts import collection_parts
 
 WGS84 = "(?i)CRS84|4326"
@@ -76,6 +77,7 @@ def read_geojson(spark: SparkSession, path: str, one_per_line: bool = False) ->
     that is no JSON, such as a file that ends too early; a declared system other than WGS84 is reported as ``crs``.
     """
     rows = geojson_features(spark, path, one_per_line)
+    rows = rows if one_per_line else cut_lineage(rows)  # both the columns and the rows come from it
     schema = rows.agg(F.schema_of_variant_agg(F.try_parse_json("properties")).alias("s")).first().s
     shape = from_geojson("geometry_json")
     foreign = F.col("crs").isNotNull() & ~F.col("crs").rlike(WGS84)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablelens.session import cut_lineage
+
 SPLIT = ["file", "start"]
 #: The key of the feature list and the bracket after it.
 LIST = r'(?<!\\)"features"\s*:\s*\['
@@ -61,15 +63,17 @@ def _placed(pieces: DataFrame) -> DataFrame:
     closed = lambda flip: F.when((F.col("odd") + flip + F.col("quotes")) % 2 == 0, 1).otherwise(0)
     for flip in (0, 1):
         run = run.withColumn(f"d{flip}", _net(F.col("value"), (F.col("odd") + flip) % 2 == 1) - closed(flip))
-    totals = run.groupBy(*SPLIT).agg(F.sum("quotes").alias("quotes"), F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
-    carry = _carried(totals, q="quotes").withColumn("flip", (F.col("q") % 2).cast("int"))
-    carry = _carried(carry, base=F.when(F.col("flip") == 0, F.col("d0")).otherwise(F.col("d1"))).select(*SPLIT, "flip", "base")
+    totals = run.groupBy(*SPLIT).agg(F.sum("quotes").alias("quotes"), F.sum("d0").alias("d0"), F.sum("d1").alias("d1"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    # the last piece of a file stands without a brace where pieces and braces are a byte longer than the file (two shorter, with a byte order mark)
+    every = Window.partitionBy("file")
+    carry = _carried(totals.withColumn("bytes", F.sum("bytes").over(every)), q="quotes").withColumn("flip", (F.col("q") % 2).cast("int"))
+    carry = _carried(carry, base=F.when(F.col("flip") == 0, F.col("d0")).otherwise(F.col("d1"))).select(*SPLIT, "flip", "base", "bytes")
     known = run.join(carry, SPLIT)
     step = F.when(F.col("flip") == 0, F.col("d0")).otherwise(F.col("d1"))
     known = known.withColumn("step", step).withColumn("depth", F.col("base") + F.coalesce(F.sum("step").over(before), F.lit(0)))
     inside = (F.col("odd") + F.col("flip")) % 2 == 1
     ends = (F.col("odd") + F.col("flip") + F.col("quotes")) % 2 == 0
-    return known.select(*SPLIT, "size", "at", "value", inside.alias("in_string"), "depth", ends.alias("ends"), (F.col("depth") + F.col("step")).alias("after"))
+    return known.select(*SPLIT, (F.col("bytes") - F.col("size")).alias("over"), "at", "value", inside.alias("in_string"), "depth", ends.alias("ends"), (F.col("depth") + F.col("step")).alias("after"))
 
 
 def collection_parts(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
@@ -78,19 +82,20 @@ def collection_parts(spark: SparkSession, path: str | list[str]) -> tuple[DataFr
     ``frame`` is the text of a file without the elements of its list of features; a file without one is all frame. It ends as the
     file does, so a file that ends too early has a frame that is no JSON. Elements of the list that are no objects stay as text in the feature after them,
     or are a feature of their own at the end of the list; nothing is left out. Text without anything has no row.
-    A feature and a frame are one value each; everything else is spread over splits.
+    A feature and a frame are one value each; everything else is spread over splits. The placed pieces are written once and used by all steps after.
     """
-    raw = _pieces(spark, path)
-    placed = _placed(raw)
+    placed = cut_lineage(_placed(_pieces(spark, path)))
     head, rest = F.regexp_extract("value", HEAD, 1), F.regexp_extract("value", REST, 1)
     opens = ~F.col("in_string") & (F.col("depth") <= 1) & F.col("value").rlike(LIST)
     opens = opens & (F.col("depth") + _net(head, F.col("in_string")) == 1)
     marked = placed.withColumns({"place": F.struct("start", "at"), "opens": opens})
     shown = F.when(F.col("opens"), rest).when((F.col("depth") == 2) & ~F.col("in_string"), F.col("value"))
     marked = marked.withColumn("closes", F.coalesce(shown.rlike(END), F.lit(False)))
-    first = marked.where("opens").groupBy("file").agg(F.min("place").alias("opened"))
-    last = marked.where("closes").join(first, "file").where("place >= opened").groupBy("file").agg(F.min("place").alias("closed"))
-    bounds = first.join(last, "file", "left")
+    # one closing place per list of objects at depth two, so a file has few
+    ends = marked.where("opens or closes").groupBy("file").agg(
+        F.min(F.when(F.col("opens"), F.col("place"))).alias("opened"), F.array_sort(F.collect_list(F.when(F.col("closes"), F.col("place")))).alias("closes")
+    )
+    bounds = ends.select("file", "opened", F.get(F.filter("closes", lambda c: c >= F.col("opened")), F.lit(0)).alias("closed"))
     both = marked.drop("opens", "closes").join(bounds, "file", "left")
     opening, closing = F.coalesce(F.col("place") == F.col("opened"), F.lit(False)), F.coalesce(F.col("place") == F.col("closed"), F.lit(False))
     listed = F.coalesce(F.col("place") >= F.col("opened"), F.lit(False)) & F.coalesce(F.col("place") <= F.col("closed"), F.lit(True))
@@ -109,12 +114,10 @@ def collection_parts(spark: SparkSession, path: str | list[str]) -> tuple[DataFr
     lead = F.when(F.col("opening"), F.substring(F.col("value"), F.lit(1), F.length("value") - F.length(rest))).otherwise(F.lit(""))
     tail = F.when(F.col("closing"), F.regexp_replace("text", END, "]")).otherwise(F.when(F.col("listed"), F.lit("")).otherwise(F.col("value")))
     brace = F.when(F.col("listed") & ~F.col("closing"), F.lit("")).otherwise(F.lit("}"))
-    outer = both.where("not listed or opening or closing").select("file", F.struct("place", F.concat(lead, tail, brace).alias("part")).alias("piece"))
-    frames = outer.groupBy("file").agg(joined.alias("frame"))
-    # the last piece of a file stands without a brace where pieces and braces are a byte longer than the file (two shorter, with a byte order mark)
-    sizes = raw.groupBy("file").agg((F.sum(F.octet_length("value") + 1) - F.max("size")).alias("over"))
+    outer = both.where("not listed or opening or closing").select("file", "over", F.struct("place", F.concat(lead, tail, brace).alias("part")).alias("piece"))
+    frames = outer.groupBy("file").agg(joined.alias("frame"), F.max("over").alias("over"))
     cut = F.regexp_replace("frame", r"\}$", "")
     ended = F.when(F.col("over").isin(1, -2), cut).when(F.col("over").isin(0, -3), F.col("frame"))
     packed = F.when(F.try_parse_json("frame").isNotNull(), F.col("frame")).otherwise(cut)  # compressed files do not tell
-    frames = frames.join(sizes, "file").select("file", F.coalesce(ended, packed).alias("frame"))
+    frames = frames.select("file", F.coalesce(ended, packed).alias("frame"))
     return frames.where(F.col("frame").rlike(r"\S")), features
