@@ -65,16 +65,17 @@ def _(spark, d):
     return back.select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
-@query("src_json_lists", "SRC-04", "select 'nation' as list, count(*) as n from nation union all select 'region', count(*) from region")
+@query("src_json_lists", "SRC-04", "select 'customers' as list, count(*) as n, sum(c_custkey)::bigint as keys from customer union all select 'orders', count(*), sum(o_orderkey)::bigint from orders")
 def _(spark, d):
-    """An object of lists, one table each; 25 and 5 rows whatever the scale."""
+    """An object of two lists per fifty customers, each object a file; the lists of all files are one table each."""
     path = scratch_path(spark, "lists")
-    pack = lambda t, *c: table(spark, d, t).agg(F.collect_list(F.struct(*c)).alias(t)).scalar()
-    one = spark.range(1).select(pack("nation", "n_nationkey", "n_name").alias("nation"), pack("region", "r_regionkey", "r_name").alias("region"))
-    one.coalesce(1).write.json(path)
+    group = lambda key: F.floor(F.col(key) / 50).alias("g")
+    customers = table(spark, d, "customer").groupBy(group("c_custkey")).agg(F.collect_list(F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))).alias("customers"))
+    orders = table(spark, d, "orders").groupBy(group("o_custkey")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))).alias("orders"))
+    customers.join(orders, "g", "full").repartition("g").write.partitionBy("g").json(path)
     found = S.read_json_tables(spark, path)
-    count = lambda n: found[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("list"), "n")
-    return count("nation").unionByName(count("region"))
+    count = lambda n: found[n].agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("key").cast("bigint")).alias("keys")).select(F.lit(n).alias("list"), "n", "keys")
+    return count("customers").unionByName(count("orders"))
 
 
 @query("src_roundtrip_geojson", "SRC-05 SNK-05 GEO-01", "with " + "sq as (select s_suppkey as id, (s_suppkey * 37 % 340) - 170.0 as x, (s_suppkey * 17 % 150) - 75.0 as y, 0.5 + s_nationkey as w from supplier) select id, round(x + w / 2, 6) as lon, round(y + w / 2, 6) as lat from sq")
@@ -138,19 +139,19 @@ def _written_marks(spark, d, **options):
     return marks.withColumn("folder_path", F.array(F.regexp_replace(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1), "%20", " ")))
 
 
-@query("src_kml_deep", "SRC-06", "select n_name as nome, concat_ws('/', 'p1', 'p2', 'p3', 'p4', 'p5', 'p6', 'p7', r_name) as pasta, 3 as pontos from nation join region on n_regionkey = r_regionkey")
+@query("src_kml_deep", "SRC-06", "select c_name as nome, concat_ws('/', 'p1', 'p2', 'p3', 'p4', 'p5', 'p6', 'p7', 'grupo ' || (c_custkey // 50)) as pasta, 3 as pontos from customer")
 def _(spark, d):
-    """Placemarks eight folders down with collections inside each other, one file per nation."""
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    """Placemarks eight folders down with collections inside each other, one file per fifty customers."""
     point = lambda k: f"<Point><coordinates>{k},{k}</coordinates></Point>"
     shape = "<MultiGeometry>" + point(1) + "<MultiGeometry>" + point(2) + "<MultiGeometry><MultiGeometry>" + point(3) + "</MultiGeometry></MultiGeometry></MultiGeometry></MultiGeometry>"
     opened = "".join(f"<Folder><name>p{i}</name>" for i in range(1, 8))
+    mark = F.concat(F.lit("<Placemark><name>"), "c_name", F.lit(f"</name>{shape}</Placemark>"))
+    groups = table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("g")).agg(F.array_join(F.collect_list(mark), "").alias("marks"))
     text = F.concat(
-        F.lit(f"<kml><Document>{opened}<Folder><name>"), "r_name", F.lit("</name><Placemark><name>"), "n_name",
-        F.lit(f"</name>{shape}</Placemark></Folder>" + "</Folder>" * 7 + "</Document></kml>"),
+        F.lit(f"<kml><Document>{opened}<Folder><name>grupo "), F.col("g").cast("string"), F.lit("</name>"), "marks", F.lit("</Folder>" + "</Folder>" * 7 + "</Document></kml>"),
     )
     path = scratch_path(spark, "deep")
-    n.select("n_nationkey", text.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    groups.select("g", text.alias("value")).repartition("g").write.partitionBy("g").text(path)
     marks = G.read_kml(spark, f"{path}/*/*.txt")
     return marks.select(F.col("name").alias("nome"), F.concat_ws("/", "folder_path").alias("pasta"), F.size("geometry.points").alias("pontos"))
 
@@ -227,18 +228,22 @@ def _(spark, d):
     return S.merge_sources({"nation.csv": {"x": t("nation")}, "nation.json": {"x": t("nation")}, "dados.xlsx": {"region": t("region"), "part": t("part")}})[1]
 
 
-@query("src_stacked", "SRC-11", "select count(*) as n, count(r_name) as r from (select n_name, null as r_name from nation union all select null, r_name from region)")
+@query("src_stacked", "SRC-11", "select count(*) as n, count(o_orderstatus) as o, count(c_name) as c from (select c_name, null as o_orderstatus from customer union all select null, o_orderstatus from orders)")
 def _(spark, d):
-    return S.stack_files([table(spark, d, "nation"), table(spark, d, "region")]).agg(F.count(F.lit(1)).alias("n"), F.count("r_name").alias("r"))
+    stacked = S.stack_files([table(spark, d, "customer"), table(spark, d, "orders")])
+    return stacked.agg(F.count(F.lit(1)).alias("n"), F.count("o_orderstatus").alias("o"), F.count("c_name").alias("c"))
 
 
-@query("src_file_facts", "SRC-12", "select n_nationkey, octet_length(encode(n_name || chr(10)))::bigint as bytes, sha256(n_name || chr(10)) as sha256 from nation")
+@query("src_file_facts", "SRC-12", """with t as (select c_custkey // 50 as g, string_agg(c_name, chr(10) order by c_custkey) || chr(10) as text from customer group by 1)
+    select g, octet_length(encode(text))::bigint as bytes, sha256(text) as sha256 from t""")
 def _(spark, d):
-    """One text file per nation, in a folder of its key."""
+    """One text file per fifty customers, in a folder of its number."""
     path = scratch_path(spark, "facts")
-    table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda c: c["c_name"])
+    texts = table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("g")).agg(F.array_join(lines, "\n").alias("value"))
+    texts.repartition("g").write.partitionBy("g").text(path)
     f = S.file_facts(spark, f"{path}/*/*.txt")
-    return f.select(F.regexp_extract("file", r"n_nationkey=(\d+)", 1).cast("long").alias("n_nationkey"), "bytes", "sha256")
+    return f.select(F.regexp_extract("file", r"/g=(\d+)/", 1).cast("long").alias("g"), "bytes", "sha256")
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tablelens.functions.values import date_of, fold, number_of, quoted, text_of
+from tablelens.session import cut_lineage
 
 _DIGIT_WIDTH = 20
 #: Rows that a page may skip by sorting; deeper pages first narrow the rows down.
@@ -37,6 +38,21 @@ def sort_rows(df: DataFrame, column: str, order_by: str, descending: bool = Fals
     return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), quoted(order_by))
 
 
+def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the place of a row in the given order, from 0 without gaps. Rows that tie in all of ``order`` get their places in any order.
+
+    The order is dealt to ranges, each sorted on its own; only the number of rows per range meets on the driver, one number per shuffle partition.
+    The ranges are written to the checkpoint folder, because bounds taken from another sample would number the rows anew.
+    """
+    ranges = df.repartitionByRange(*[quoted(c) for c in order]).sortWithinPartitions(*[quoted(c) for c in order])
+    ranges = cut_lineage(ranges.withColumns({"_range": F.spark_partition_id(), "_within": F.monotonically_increasing_id()}))
+    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.min("_within").alias("first")).orderBy("_range").collect()
+    before = accumulate((r.n for r in counts), initial=0)
+    shift = df.sparkSession.createDataFrame([(r["_range"], b - r["first"]) for r, b in zip(counts, before)], "_range int, _shift bigint")
+    # one row per range: bounded by the number of shuffle partitions
+    return ranges.join(F.broadcast(shift), "_range").withColumn(name, F.col("_within") + F.col("_shift")).drop("_range", "_within", "_shift")
+
+
 def page(sorted_rows: DataFrame, number: int, size: int) -> DataFrame:
     """One page of sorted rows, counted from 1."""
     skip = (max(1, number) - 1) * size

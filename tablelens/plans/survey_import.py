@@ -17,6 +17,7 @@ from tablelens.functions.values import field_key, leading_count, name_key
 from tablelens.operators.duplicates import completeness, duplicate_groups, find_duplicates
 from tablelens.operators.linkage import resolve_names, similar_names
 from tablelens.operators.spatial import first_polygon
+from tablelens.operators.tables import number_rows
 from tablelens.session import cut_lineage
 from tablelens.sources.geo_files import description_fields, merged_fields
 
@@ -55,11 +56,14 @@ def _issue(cond: Column, severity: str, code: str) -> Column:
 
 
 def numbered(marks: DataFrame) -> DataFrame:
-    """``index``: the place of a record in its file. A file is one unit of work, so is its order."""
-    files = marks.select("file").distinct().withColumn("_file_no", F.row_number().over(Window.orderBy("file")) - 1)
-    order = Window.partitionBy("file").orderBy("position")
-    at = F.row_number().over(order).cast("bigint") - 1
-    return marks.withColumn("_at", at).join(files, "file").withColumn("index", F.col("_file_no") * F.lit(1 << 32) + F.col("_at")).drop("_at", "_file_no")
+    """``index``: the number of the file, in the order of names, times 2 ** 32, plus the place of a record in its file.
+
+    Records are sorted in ranges of (file, position), so a large file is many tasks and no window holds a file.
+    """
+    placed = number_rows(marks, ["file", "position"], "_place")
+    files = number_rows(placed.groupBy("file").agg(F.min("_place").alias("_first_place")), ["file"], "_file_no")
+    index = F.col("_file_no") * F.lit(1 << 32) + F.col("_place") - F.col("_first_place")
+    return placed.join(files, "file").withColumn("index", index).drop("_place", "_first_place", "_file_no")
 
 
 def _folder_choice(mapping: Mapping) -> Column:
@@ -137,7 +141,7 @@ def normalise(marks: DataFrame, mapping: Mapping = Mapping()) -> Imported:
         {"_fields": S.canonical_fields(described, mapping.fields), "_first": kind, "_several": F.coalesce(parts, F.lit(0)) > 1, "_one": one}
     )
     # the files are read and their fields named once
-    rows = cut_lineage(numbered(read.drop("description", "fields", "geometry")))
+    rows = numbered(read.drop("description", "fields", "geometry"))
     rows = _mark_reference_points(classify(rows, mapping), mapping)
     value = lambda canon: S.canonical_value("_fields", canon)
     rows = rows.withColumns(

@@ -118,3 +118,18 @@ def test_versions_and_round_trip(spark, done, tmp_path):
     again = I.normalise(back).records
     want = C.by_locality(v.records()).select("key", "positivo", "negativo", "total").collect()
     assert sorted(map(tuple, C.by_locality(again.withColumn("origin", F.lit("arquivo"))).select("key", "positivo", "negativo", "total").collect())) == sorted(map(tuple, want))
+
+
+def test_records_are_numbered_over_ranges(spark):
+    """Equal to a plain count per file, in the order of names and positions, however the rows are dealt."""
+    places = [("b", [0, i]) for i in range(700)] + [("a", [1, 0, i]) for i in range(40)] + [("c d", [0, 0]), ("a", [0, 3])]
+    marks = spark.createDataFrame([(f, p, f"{f}{p}") for f, p in places], "file string, position array<int>, name string").repartition(5)
+    numbered = I.numbered(marks)
+    got = {r["name"]: r["index"] for r in numbered.collect()}
+    want = {}
+    for number, file in enumerate(sorted({f for f, _ in places})):
+        for at, place in enumerate(sorted(p for f, p in places if f == file)):
+            want[f"{file}{place}"] = (number << 32) + at
+    assert got == want and numbered.columns == ["file", "position", "name", "index"]
+    assert "Window" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert I.numbered(marks.limit(0)).count() == 0
