@@ -7,6 +7,8 @@ rounds below give the same answer as deciding one record after the other.
 * Records equal in every compared value share one fate and are folded into one row first, so a
   large group of copies costs one row.
 * A block of at most ``SETTLED`` such rows is decided in record order at once, without keys or pairs.
+* A larger block whose rows all have a position falls into areas: groups of map cells with empty cells
+  between them, which are decided apart. An area is then treated as a block.
 * In larger blocks, for two patterns of filled attributes the comparison is an equality test on the
   attributes filled in both, so candidates meet by key: one key per pattern pair, plus the map cell
   when both have a position. Without positions only the smallest member of a key matters and is
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from tablelens.functions import vocabulary as V
 from tablelens.functions.geometry import metres_apart
 from tablelens.functions.values import field_key
+from tablelens.operators.linkage import components
 from tablelens.session import cut_lineage
 
 ABSENT = "\x00"
@@ -39,6 +42,30 @@ def _row_width(row: Column, height: float) -> Column:
     return height / F.cos(F.radians(edge))
 
 
+def _cell(row: Column, place: Column) -> Column:
+    return F.concat_ws(":", row, place)
+
+
+def _cells_around(row: Column, height: float) -> Column:
+    """The cells that hold all positions within the distance limit."""
+    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    return F.transform(steps, lambda s: _cell(row + s["dr"], F.floor(F.col("lon") / _row_width(row + s["dr"], height)) + s["dx"]))
+
+
+def _with_areas(sigs: DataFrame, block: list[str], metres: float) -> DataFrame:
+    """Rows of blocks with ``placed`` (all rows have a position) as ``area``: rows of different areas are farther apart than the limit."""
+    height = metres / V.METRES_PER_DEGREE * 1.0001
+    row = F.floor(F.col("lat") / height)
+    home = _cell(row, F.floor(F.col("lon") / _row_width(row, height)))
+    rows = sigs.withColumns({"_column": F.concat_ws("\x01", *block), "_home": F.when(F.col("placed"), home)})
+    spots = rows.where("placed").select("_column", "_home", "lat", "lon").distinct()
+    near = spots.select("_column", "_home", F.explode(_cells_around(row, height)).alias("_near")).where("_home <> _near").distinct()
+    cells = spots.select("_column", F.col("_home").alias("_near")).distinct()
+    links = near.join(cells, ["_column", "_near"]).select(F.col("_column").alias("column"), F.col("_home").alias("a"), F.col("_near").alias("b"))
+    joined = components(links).select(F.col("column").alias("_column"), F.col("key").alias("_home"), "component")
+    return rows.join(joined, ["_column", "_home"], "left").withColumn("area", F.coalesce("component", "_home", F.lit(""))).drop("_column", "_home", "component", "placed")
+
+
 def _keys(sigs: DataFrame, patterns: list[str], block: list[str], attributes: list[str], metres: float) -> tuple[DataFrame, DataFrame]:
     """Home keys (one cell) and probe keys (the cells around) of every signature."""
     height = metres / V.METRES_PER_DEGREE * 1.0001
@@ -53,16 +80,9 @@ def _keys(sigs: DataFrame, patterns: list[str], block: list[str], attributes: li
     wide = sigs.withColumn("other", F.explode(F.array(*[F.lit(p) for p in patterns]))).withColumns({"values": values, "located": located})
     row = F.floor(F.col("lat") / height)
     base = ["ord", "lat", "lon", "located"]
-    cell = lambda r, x: F.concat_ws(":", r, x)
-    home_cell = F.when(located, cell(row, F.floor(F.col("lon") / _row_width(row, height)))).otherwise("")
+    home_cell = F.when(located, _cell(row, F.floor(F.col("lon") / _row_width(row, height)))).otherwise("")
     home = wide.select(*base, F.concat_ws("\x01", mine, other, "values", home_cell).alias("key"))
-    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    around = F.when(
-        located,
-        F.transform(
-            steps, lambda s: cell(row + s["dr"], F.floor(F.col("lon") / _row_width(row + s["dr"], height)) + s["dx"])
-        ),
-    ).otherwise(F.array(F.lit("")))
+    around = F.when(located, _cells_around(row, height)).otherwise(F.array(F.lit("")))
     probe = wide.select(*base, mine.alias("mine"), "other", "values", F.explode(around).alias("cell")).select(
         *base, F.concat_ws("\x01", "other", "mine", "values", "cell").alias("key")
     )
@@ -78,10 +98,15 @@ def _candidates(home: DataFrame) -> DataFrame:
     return smallest.unionByName(placed)
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _decided(sigs: DataFrame, block: list[str], attributes: list[str], metres: float) -> DataFrame:
     """``(ord, primary)`` of blocks of few rows, each compared with the primaries before it."""
     fields = ["ord", *attributes, "lat", "lon"]
-    rows = sigs.groupBy(*block).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+    # by number: few bytes are much work here, so tasks are not put together by size
+    rows = _spread(sigs, *block).groupBy(*block).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
 
     def agree(p: Column, x: Column) -> Column:
         same = [p[a].isNull() | x[a].isNull() | (p[a] == x[a]) for a in attributes]
@@ -160,12 +185,17 @@ def find_duplicates(
     sigs = members.groupBy(*same).agg(F.min("ord").alias("ord"))
     pattern = F.concat(*[F.when(F.col(n).isNotNull(), "1").otherwise("0") for n in [*names, "lat"]])
     sigs = cut_lineage(sigs.withColumn("pattern", pattern))
-    crowded = cut_lineage(sigs.groupBy(*blocks).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > settled).drop("n"))
-    fates = _decided(sigs.join(crowded, blocks, "left_anti"), blocks, names, metres)
-    large = sigs.join(crowded, blocks, "left_semi")
+    count = F.count(F.lit(1)).alias("n")
+    crowded = cut_lineage(sigs.groupBy(*blocks).agg(count, (F.count("lat") == F.count(F.lit(1))).alias("placed")).where(F.col("n") > settled).drop("n"))
+    groups = [*blocks, "area"]
+    parted = cut_lineage(_with_areas(_spread(sigs.join(crowded, blocks)), blocks, metres))
+    busy = cut_lineage(parted.groupBy(*groups).agg(count).where(F.col("n") > settled).drop("n"))
+    few = sigs.join(crowded, blocks, "left_anti").withColumn("area", F.lit("")).unionByName(parted.join(busy, groups, "left_anti"))
+    fates = _decided(few, groups, names, metres)
+    large = parted.join(busy, groups, "left_semi")
     patterns = [r.pattern for r in large.select("pattern").distinct().collect()]  # at most 2 ** (attributes + 1)
     if patterns:
-        fates = fates.unionByName(_by_rounds(cut_lineage(large), patterns, blocks, names, metres, settled))
+        fates = fates.unionByName(_by_rounds(cut_lineage(_spread(large)), patterns, groups, names, metres, settled))
     fate = sigs.join(fates, "ord").select(*same, "primary")
     on = reduce(lambda x, y: x & y, [members[c].eqNullSafe(fate[c]) for c in same])
     return (

@@ -165,3 +165,23 @@ def test_every_close_pair_shares_a_segment_and_tokens_do_not_grow(spark):
         assert rows.where(shared == 0).count() == 0
     sizes = [spark.range(1).select(F.size(L.probe_tokens(F.lit("abcdefghij" * k), 3)).alias("n")).first().n for k in (2, 4, 8)]
     assert max(sizes) <= 196
+
+
+def test_a_large_block_is_decided_by_areas(spark, monkeypatch):
+    """Groups of records far apart need neither keys nor rounds, however many share a block; ties between areas do not arise."""
+    cols = "idx int, type string, day string, lat double, lng double"
+    spread = spark.createDataFrame([(i, "x", f"2024-01-{1 + i % 3:02d}", -4.0 - (i % 60) * 0.01, -40.0) for i in range(1_200)], cols)
+    monkeypatch.setattr(D, "_by_rounds", lambda *a: 1 / 0)
+    spots = spread.withColumn("lng", F.col("lng") + F.col("idx") * 1e-9)  # no two records are equal
+    got = {r.idx: r.duplicate_of for r in D.find_duplicates(spots, "idx", F.lit(0), ["type"], ["day"], settled=50).collect()}
+    assert got == {i: i % 60 for i in range(60, 1_200)}
+
+
+def test_areas_join_over_cell_borders_and_not_across_blocks(spark):
+    import random
+
+    pick = random.Random(5)
+    rows = [(i, pick.choice("xy"), pick.choice(["a", "b", None]), -4.0 + pick.randrange(40) * 0.0002, -40.0 + pick.randrange(20) * 0.0002) for i in range(500)]
+    df = spark.createDataFrame(rows, "idx int, type string, day string, lat double, lng double")
+    found = [{r.idx: r.duplicate_of for r in D.find_duplicates(df, "idx", F.lit(0), ["type"], ["day"], settled=n).collect()} for n in (1_000, 20)]
+    assert found[0] == found[1] and len(found[0]) > 50
