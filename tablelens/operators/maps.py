@@ -33,9 +33,9 @@ def attach_geometry(df: DataFrame, geometry: str, row_id: str) -> DataFrame:
 
 def geometry_notes(attached: DataFrame) -> DataFrame:
     """``(code, n)``: rows per geometry problem and rows without geometry."""
-    problems = attached.select(F.explode("problems").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    none = attached.agg(F.count_if(F.col("geometry_type").isNull()).alias("n")).where("n > 0")
-    return problems.unionByName(none.select(F.lit("without_geometry").alias("code"), "n"))
+    none = F.when(F.col("geometry_type").isNull(), F.lit("without_geometry"))
+    codes = F.concat(F.coalesce("problems", F.array().cast("array<string>")), F.array_compact(F.array(none)))
+    return attached.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------------ quantile classes

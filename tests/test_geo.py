@@ -83,3 +83,13 @@ def test_survey_point_and_distance(spark):
     assert d.d == pytest.approx(111) and d.n == 0
     r = geo(spark, {"type": "Point", "coordinates": [1.123456789, -2.5]}).select(G.rounded("g", 2).alias("r")).first().r
     assert r.points == [[1.12, -2.5]]
+
+
+def test_notes_parse_every_row_once(spark):
+    from tablelens.operators import maps as M
+
+    texts = ['{"type":"Point","coordinates":[0,0]}', '{"type":"Curve"}', None, '{"type":"Point","coordinates":[5,5]}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", G.from_geojson("text").alias("g"))
+    notes = M.geometry_notes(M.attach_geometry(rows, "g", "id"))
+    assert {r.code: r.n for r in notes.collect()} == {"point_at_zero": 1, "without_geometry": 2}
+    assert "Union" not in notes._jdf.queryExecution().optimizedPlan().toString()
