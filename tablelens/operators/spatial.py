@@ -7,14 +7,20 @@ in an equi-join on (grid, cell, salt); the exact test follows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.geometry import bbox, edges_contain, polygon_edges
+from tablelens.operators.tables import number_rows
+from tablelens.session import cut_lineage
 
 
 #: Spots of one cell that a task takes, and how many busy cells there can be at most.
 SPOTS, BUSY = 100_000, 10_000
+#: Polygons that the first round of ``first_polygon`` tries, and how much further each round goes.
+FIRST_ROUND, ROUND_GROWTH = 256, 16
 
 
 def valid_position(lon: Column, lat: Column) -> Column:
@@ -127,8 +133,23 @@ def point_coverage(polygons: DataFrame, polygon_id: str, geometry: str, points:
 def first_polygon(
     polygons: DataFrame, polygon_id: str, geometry: str, order: str, points: DataFrame, point_id: str, lon: str = "lon", lat: str = "lat"
 ) -> DataFrame:
-    """``(point_id, polygon)``: the containing polygon that comes first along ``order``."""
-    ranked = polygons.select(F.struct(F.col(order).alias("o"), F.col(polygon_id).alias("id")).alias("_pid"), F.col(geometry).alias("_geom"))
-    slim = points.select(F.col(point_id).alias("_point"), F.col(lon).alias("lon"), F.col(lat).alias("lat"))
-    hits = points_in_polygons(ranked, "_pid", "_geom", slim)
-    return hits.groupBy("_point").agg(F.min("polygon").alias("p")).select(F.col("_point").alias(point_id), F.col("p.id").alias("polygon"))
+    """``(point_id, polygon)``: the containing polygon that comes first along ``order``.
+
+    Polygons are tried in rounds of growing size along the order, and a point that one round finds is not in the next: what comes later
+    cannot change it. So a point meets few polygons however many overlap there.
+    """
+    named = polygons.select(F.col(order).alias("_order"), F.col(polygon_id).alias("_pid"), F.col(geometry).alias("_geom"))
+    # few bytes are much work here, so polygons are dealt by number
+    dealt = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = cut_lineage(number_rows(named, ["_order", "_pid"], "_rank").repartition(dealt))
+    left = points.select(F.col(point_id).alias("_point"), F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    rounds, low, high, total = [], 0, FIRST_ROUND, ranked.count()
+    while not rounds or low < total:
+        hits = points_in_polygons(ranked.where((F.col("_rank") >= low) & (F.col("_rank") < high)), "_rank", "_geom", left)
+        rounds.append(cut_lineage(hits.groupBy("_point").agg(F.min("polygon").alias("_first"))))
+        low, high = high, high * ROUND_GROWTH
+        if low < total:
+            done = rounds[-1].select(F.col("_point").alias("_done"))
+            left = cut_lineage(left.join(done, F.col("_point").eqNullSafe(F.col("_done")), "left_anti"))
+    found = reduce(DataFrame.unionByName, rounds)
+    return found.join(ranked.select("_rank", "_pid"), F.col("_first") == F.col("_rank")).select(F.col("_point").alias(point_id), F.col("_pid").alias("polygon"))

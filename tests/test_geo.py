@@ -93,3 +93,19 @@ def test_notes_parse_every_row_once(spark):
     notes = M.geometry_notes(M.attach_geometry(rows, "g", "id"))
     assert {r.code: r.n for r in notes.collect()} == {"point_at_zero": 1, "without_geometry": 2}
     assert "Union" not in notes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_polygon_in_rounds(spark, monkeypatch):
+    """A point that one round finds is not tried again; points with equal or no id are one."""
+    ring = lambda a, w: '{"type":"Polygon","coordinates":[[[%s,0],[%s,0],[%s,4],[%s,4],[%s,0]]]}' % (a, a + w, a + w, a, a)
+    areas = spark.createDataFrame([("z", 1, ring(0, 9)), ("b", 2, ring(2, 3)), ("a", 2, ring(2, 3)), ("c", None, ring(7, 1)), ("e", 9, ring(0, 12))], "id string, o int, text string")
+    areas = areas.select("id", "o", G.from_geojson("text").alias("g"))
+    points = spark.createDataFrame([(1, 3.0, 1.0), (2, 7.5, 1.0), (3, 20.0, 1.0), (4, 8.5, 2.0), (5, 10.0, 1.0), (None, 10.0, 1.0), (None, 7.5, 1.0)], "k int, lon double, lat double")
+    sizes, keep = [], S.points_in_polygons
+    monkeypatch.setattr(S, "points_in_polygons", lambda p, i, g, left: sizes.append(left.count()) or keep(p, i, g, left))
+    for first, some in ((256, [7]), (1, [7, 4, 2])):
+        sizes.clear()
+        monkeypatch.setattr(S, "FIRST_ROUND", first)
+        monkeypatch.setattr(S, "ROUND_GROWTH", 2)
+        assert {r.k: r.polygon for r in S.first_polygon(areas, "id", "g", "o", points, "k").collect()} == {1: "z", 2: "c", 4: "z", 5: "e", None: "c"}
+        assert sizes[:2] == some[:2]
