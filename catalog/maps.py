@@ -13,7 +13,8 @@ SQUARE_SQL = """sq as (select s_suppkey as id, (s_suppkey * 37 % 340) - 170.0 as
 
 
 def squares(spark, d):
-    s = table(spark, d, "supplier").select(
+    # few bytes make many shapes to parse, so rows are dealt by number
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select(
         F.col("s_suppkey").alias("id"),
         ((F.col("s_suppkey") * 37) % 340 - 170.0).alias("x"),
         ((F.col("s_suppkey") * 17) % 150 - 75.0).alias("y"),

@@ -157,7 +157,9 @@ def resolve_names(
         .groupBy("ref_key")
         .agg(F.min("ref").alias("ref"))
     )
-    exact = wanted.join(known, wanted.key == known.ref_key, "left")
+    # what several steps below start from is made once
+    known = cut_lineage(known)
+    exact = cut_lineage(wanted.join(known, wanted.key == known.ref_key, "left"))
     found = exact.where("ref_key is not null").select(
         "name", F.col("ref_key").alias("key"), F.col("ref").alias("resolved"), F.when(F.col("aliased"), "alias").otherwise("exact").alias("how")
     )
@@ -175,7 +177,7 @@ def resolve_names(
     closest = scored.groupBy("key").agg(F.min_by(F.struct("ref_key", "d"), F.struct("d", "ref_key")).alias("m"), F.min("d").alias("d"))
     ties = scored.join(closest.select("key", F.col("d").alias("best")), "key").where("d = best").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     near = closest.join(ties.where("c = 1"), "key").select("key", F.col("m.ref_key").alias("near_key"))
-    after_near = open_names.join(near, "key", "left")
+    after_near = cut_lineage(open_names.join(near, "key", "left"))
     found_near = after_near.where("near_key is not null").join(known, F.col("near_key") == F.col("ref_key")).select(
         "name", F.col("ref_key").alias("key"), F.col("ref").alias("resolved"), F.lit("similar").alias("how")
     )

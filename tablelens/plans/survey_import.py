@@ -140,8 +140,8 @@ def normalise(marks: DataFrame, mapping: Mapping = Mapping()) -> Imported:
     read = marks.withColumns(
         {"_fields": S.canonical_fields(described, mapping.fields), "_first": kind, "_several": F.coalesce(parts, F.lit(0)) > 1, "_one": one}
     )
-    # the files are read and their fields named once
-    rows = cut_lineage(numbered(read.drop("description", "fields", "geometry")))
+    # the files are read and their fields named once, before ranges of them are sampled and sorted
+    rows = cut_lineage(numbered(cut_lineage(read.drop("description", "fields", "geometry"))))
     rows = _mark_reference_points(classify(rows, mapping), mapping)
     value = lambda canon: S.canonical_value("_fields", canon)
     rows = rows.withColumns(
@@ -261,7 +261,8 @@ def _with_places(records: DataFrame, mapping: Mapping) -> DataFrame:
     has_polygons = not polygons.limit(1).isEmpty()
     reference = (polygons if has_polygons else named.where("type = 'localidade'")).select(F.col("_place").alias("name"))
     resolved = resolve_names(named, "_place", _aliased(reference, mapping), aliases=mapping.locality_aliases)
-    resolved = resolved.select(F.col("name").alias("_place"), F.col("key").alias("locality_key"), F.col("resolved").alias("locality_raw"), "how")
+    # the names are resolved once: areas, points and records below all come from them
+    resolved = cut_lineage(resolved.select(F.col("name").alias("_place"), F.col("key").alias("locality_key"), F.col("resolved").alias("locality_raw"), "how"))
     out = records.join(resolved, "_place", "left").withColumn("locality_key", _blank(F.col("locality_key")))
     if has_polygons:
         known = out.where("type = 'localidade' and geometry_type = 'Polygon' and locality_key is not null").select(

@@ -69,3 +69,33 @@ def test_a_geometry_is_parsed_once(spark):
     points = spark.range(5).select(F.col("id").cast("double").alias("lon"), F.lit(0.0).alias("lat"))
     plan = S.points_in_polygons(areas.union(areas), "id", "geometry", points)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 100_000
+
+
+def test_no_round_without_points(spark, monkeypatch):
+    ring = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1],[0,0]]]}'
+    areas = spark.range(600).withColumn("geometry", G.from_geojson(F.lit(ring)))
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.25, 0.75)], "p long, lon double, lat double")
+    rounds, met = [], S.points_in_polygons
+    monkeypatch.setattr(S, "points_in_polygons", lambda *a, **k: rounds.append(1) or met(*a, **k))
+    assert {(r.p, r.id) for r in S.first_polygon(areas, "id", "geometry", "id", points, "p").withColumnRenamed("polygon", "id").collect()} == {(1, 0), (2, 0)}
+    assert len(rounds) == 1
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_cells_inside_a_polygon_count_as_a_whole(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "FEW", few)
+    pick = random.Random(8)
+    # a ring with a hole, a slanted triangle, two that overlap it, and places on edges and corners
+    hole = '{"type":"Polygon","coordinates":[[[0,0],[16,0],[16,16],[0,16],[0,0]],[[4,4],[12,4],[12,12],[4,12],[4,4]]]}'
+    shapes = [hole, '{"type":"Polygon","coordinates":[[[-20,-7],[21,3],[2,19],[-20,-7]]]}', '{"type":"Polygon","coordinates":[[[1,1],[2,1],[2,2],[1,2],[1,1]]]}']
+    areas = spark.createDataFrame(list(enumerate(shapes)), "id long, json string").withColumn("geometry", G.from_geojson("json"))
+    places = [(pick.uniform(-25, 25), pick.uniform(-25, 25)) for _ in range(3_000)] + [(float(x), float(y)) for x in range(-2, 18) for y in range(-2, 18)]
+    points = spark.createDataFrame(places + places[:500], "lon double, lat double")
+    pairs = S.points_in_polygons(areas, "id", "geometry", points)
+    want = {r.polygon: r.n for r in pairs.groupBy("polygon").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tested, test = [], S._matches
+    monkeypatch.setattr(S, "_matches", lambda cells, *a: tested.append(test(cells, *a)) or tested[-1])
+    assert {r.id: r.points for r in S.count_points(areas, "id", "geometry", points).collect()} == want
+    assert (tested[0].count() < len(set(places)) / 4) == (few == 2)
+    inside = pairs.select("lon", "lat").distinct().join(points, ["lon", "lat"]).count()
+    assert S.point_coverage(areas, "id", "geometry", points).first()[:] == (inside, len(places) + 500 - inside, 0)
