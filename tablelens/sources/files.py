@@ -187,6 +187,16 @@ def flatten_cells(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def _whole_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON files as one record each. Types come from all whole texts, which are dealt out by their number, as Spark's own scan for
+    types packs any number of small files into one task. Texts that are no JSON as UTF-8 are left to that scan."""
+    texts = spark.read.text(path, wholetext=True).select("value")
+    schema = spark.read.json(texts.rdd.map(lambda r: r.value)).schema
+    if not schema.names or "_corrupt_record" in schema.names:
+        return spark.read.json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
 def read_json_tables(spark: SparkSession, path: str, name: str = "data", lines: bool = False) -> dict[str, DataFrame]:
     """Tables of a JSON file: a list of records, an object of lists, or one object.
 
@@ -199,7 +209,7 @@ def read_json_tables(spark: SparkSession, path: str, name: str = "data", lines:
     if start.startswith("[") and not start[1:].lstrip()[:1] in ("", "{", "]"):
         values = F.explode(F.from_json("value", "array<string>")).alias("valor")
         return {name: clean_cells(spark.read.text(path, wholetext=True).select(values))}
-    df = spark.read.json(path, multiLine=True)
+    df = _whole_json(spark, path)
     is_list = lambda f: isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)
     lists = [f.name for f in df.schema.fields if is_list(f)]
     if start.startswith("[") or not lists:

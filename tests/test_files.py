@@ -181,3 +181,22 @@ def test_odd_collections(spark, tmp_path):
     good = '{"type":"Feature","properties":{},"geometry":' + point + "}"
     assert read('{"type":"FeatureCollection","features":[' + good + ',{"a":},' + good + "]}") == [(1, False, point), (2, True, None), (3, False, point)]
     assert [b for _, b, _ in read('{"type":"FeatureCollection","features":[' + good + ", nonsense]}")] == [False, True]
+
+
+def test_types_of_many_json_files_come_from_many_tasks(spark, tmp_path):
+    for i in range(20):
+        (tmp_path / f"{i}.json").write_text('{"x": [{"a": %d}],\n "y": [{"b": %s}]}' % (i, "1.5" if i == 17 else "2"))
+    context = spark.sparkContext
+    context.setJobGroup("json-types", "types")
+    found = S.read_json_tables(spark, str(tmp_path))
+    context.setJobGroup("json-rows", "rows")
+    track = context.statusTracker()
+    stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("json-types") for s in track.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) > 1
+    assert {n: d.count() for n, d in found.items()} == {"x": 20, "y": 20}
+    assert found["y"].schema["b"].dataType.simpleString() == "double" and found["x"].schema["a"].dataType.simpleString() == "bigint"
+
+
+def test_json_that_is_not_utf8_is_still_read(spark, tmp_path):
+    (tmp_path / "u.json").write_text('{"x": [{"a": "é"}]}', encoding="utf-16-be")
+    assert [r.a for r in S.read_json_tables(spark, str(tmp_path))["x"].collect()] == ["é"]
