@@ -152,7 +152,8 @@ def read_cells(spark: SparkSession, path: str | list[str], separator: str | None
     facts = text_facts(spark, path).select(F.col("file").alias("_ffile"), "separator", "encoding")
     facts = facts.withColumns({k: F.lit(v) for k, v in {"separator": separator, "encoding": encoding}.items() if v is not None})
     splits = splits.join(facts, F.col("_file") == F.col("_ffile")).drop("_ffile")
-    numbered = lines.join(splits, (F.col("file") == F.col("_file")) & (F.col("start") == F.col("_start")))
+    # one row per split; a join by split would bring all its lines into one task
+    numbered = lines.join(F.broadcast(splits), (F.col("file") == F.col("_file")) & (F.col("start") == F.col("_start")))
     row = (F.col("at") + F.col("offset")).cast("int")
     text = F.when(F.col("encoding") == "UTF-8", F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "windows-1252"))
     text = F.when(row == 0, F.regexp_replace(text, "^\ufeff", "")).otherwise(text)

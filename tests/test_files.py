@@ -200,3 +200,14 @@ def test_types_of_many_json_files_come_from_many_tasks(spark, tmp_path):
 def test_json_that_is_not_utf8_is_still_read(spark, tmp_path):
     (tmp_path / "u.json").write_text('{"x": [{"a": "é"}]}', encoding="utf-16-be")
     assert [r.a for r in S.read_json_tables(spark, str(tmp_path))["x"].collect()] == ["é"]
+
+
+def test_lines_meet_their_split_where_they_are(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a;b\n1;2\n3;4\n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = S.read_cells(spark, str(tmp_path))
+        assert "BroadcastHashJoin" in cells._jdf.queryExecution().executedPlan().toString()
+        assert cells.count() == 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
