@@ -107,7 +107,8 @@ def running_total_desc(df: DataFrame, value: str, tie: str, out: str) -> DataFra
     """
     cut = df.withColumns({"_bin": order_bin(F.col(value)), "_h": F.xxhash64(tie)}).withColumn("_slice", F.shiftright("_h", 54))
     ends = cut.groupBy("_bin").agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    cut = cut.join(ends, "_bin").withColumn("_step", step_of(F.col(value), F.col("_low"), F.col("_high"), STEPS)).drop("_low", "_high")
+    # nearly all rows may have one bin, so none is shuffled by it: the bins, a few hundred an octave, go to every task
+    cut = cut.join(F.broadcast(ends), "_bin").withColumn("_step", step_of(F.col(value), F.col("_low"), F.col("_high"), STEPS)).drop("_low", "_high")
     levels = ["_bin", "_step", value, "_slice"]
     sums = cut.groupBy(*levels).agg(F.sum(value).alias("_sum"))
     # from the finest level up: each is summed within the one above, which is summed in turn
@@ -119,7 +120,7 @@ def running_total_desc(df: DataFrame, value: str, tie: str, out: str) -> DataFra
         order = [F.col(c).asc() if c == "_slice" else F.col(c).desc() for c in finest]
         place = (Window.partitionBy(*outer) if outer else Window).orderBy(*order)  # the bins are one row each
         part = table.withColumn("_part", F.sum("_all").over(place) - F.col("_all")).drop("_all")
-        shift = shift.join(part, above).withColumn("_shift", F.col("_shift") + F.col("_part")).drop("_part")
+        shift = shift.join(F.broadcast(part) if above == ["_bin"] else part, above).withColumn("_shift", F.col("_shift") + F.col("_part")).drop("_part")
         above = outer
     inside = Window.partitionBy(*levels).orderBy("_h", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (

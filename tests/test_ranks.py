@@ -1,8 +1,10 @@
 """Order statistics and running totals where all values share one bin."""
 
 import random
+import re
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablelens.functions import ranks as R
@@ -42,3 +44,17 @@ def test_running_total_of_close_and_equal_values(spark):
     for r in out:
         got.setdefault(r.v, []).append(r.total)
     assert all(abs(a - b) <= 1e-3 for v in seen for a, b in zip(sorted(got[v]), sorted(seen[v])))
+
+
+def test_rows_of_one_bin_are_not_shuffled_by_it(spark):
+    """Times of one month have one bin: a join by it alone would put all of them into one task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1, 5_001).select("id", (F.lit(1.7e9) + F.col("id")).alias("v"))
+        out = R.running_total_desc(rows, "v", "id", "s")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: r.s for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" in plan and not re.search(r"Join \[_bin#\d+\], \[_bin#\d+\], (?!Inner, Build)", plan)
+    assert all(got[i] == pytest.approx(sum(1.7e9 + k for k in range(i, 5_001))) for i in (1, 2_500, 5_000))
