@@ -1,4 +1,4 @@
-"""Near-duplicates by shingle similarity: long SimHash fingerprints meet on equal blocks, and shingles decide."""
+"""Near-duplicates by shingle similarity: long SimHash fingerprints connect most, prefixes of ordered shingles find the rest, and shingles decide."""
 
 from __future__ import annotations
 
@@ -32,6 +32,20 @@ LEVELS = 4
 ROUNDS = 1
 #: A block with more texts is dealt to pairs of cells of about this size.
 CELL = 8_192
+#: Bits of a parity map; two maps differ in no more places than their sets have elements that the other lacks.
+PARITY = 1_024
+#: Frequent shingles are counted in chunks of about this many.
+CHUNK = 2_000_000
+#: A shingle that a chunk has so often is counted, and one counted so often in all comes late in the order; the order holds without.
+OFTEN = 8, 64
+#: At most so many shingles, the most frequent ones, are placed by their count; all others are placed by their hash.
+RANKED = 131_072
+#: Groups up to this size are compared together, larger ones text by text.
+SMALL = 64
+#: Words of a map of marks with 64 bits each, which tells before a shuffle most texts that no pair names.
+WORDS = 262_144
+#: Slack for sums of doubles; a bound is never too strict.
+EPS = 1e-6
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -177,6 +191,140 @@ def candidate_links(prints: DataFrame, similarity: float = SIMILARITY, cell: int
     return found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
+def frequent(hashes: list[np.ndarray]) -> bytes:
+    """Hashes that these texts have often, and how often, as two rows of 64-bit numbers."""
+    keys, counts = np.unique(np.concatenate(hashes), return_counts=True)
+    often = counts >= OFTEN[0]
+    return np.stack((keys[often].view(np.int64), counts[often])).tobytes()
+
+
+def ranked(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent shingles and the place of each in the order, by count."""
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for pack in part["often"]:
+                keys, counts = np.frombuffer(pack, np.int64).reshape(2, -1)
+                yield pd.DataFrame({"key": keys, "n": counts})
+
+    total = counted.mapInPandas(unpack, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN[1])
+    top = np.array(total.orderBy(F.desc("n"), "key").limit(RANKED).collect(), np.int64).reshape(-1, 2)
+    keys = top[::-1, 0].copy().view(np.uint64)  # the least frequent first
+    by_key = np.argsort(keys)
+    return keys[by_key], (by_key + 1).astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, similarity: float, late: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of the hashes in an order all texts share; of two sets that are similar enough, these share one.
+
+    An overlap of a share ``similarity`` of a set leaves out fewer elements than its prefix has. Frequent shingles come last, so few texts meet on them.
+    """
+    keys, places = late
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        hashes = hashes[np.argsort(np.where(keys[at] == hashes, places[at], 0), kind="stable")]
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - EPS) + 1]
+
+
+def parity(hashes: np.ndarray, bits: int = PARITY) -> bytes:
+    """For each of ``bits`` places whether an odd number of the hashes falls there."""
+    odd = np.bincount((_mixed(hashes, 9) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _possible(rows: dict[str, np.ndarray], i: np.ndarray | int, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows can be similar enough and are not connected yet; no similar pair fails at the first shingle that both prefixes have."""
+    n, at, mine, cross = rows["n"], rows["at"], rows["mine"], rows["cross"]
+    both = n[i] + n[j]
+    ok = (rows["label"][i] != rows["label"][j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - EPS)
+    ok &= np.minimum(n[i] - at[i], n[j] - at[j]) >= similarity / (1 + similarity) * both - EPS
+    ok &= ~cross[i] | (mine[i] != mine[j])
+    left = np.flatnonzero(ok)
+    one = i if np.ndim(i) == 0 else i[left]
+    differ = np.bitwise_count(rows["bits"][one] ^ rows["bits"][j[left]]).sum(axis=1, dtype=np.int64)
+    ok[left] = differ <= (1 - similarity) / (1 + similarity) * both[left] + EPS
+    return ok
+
+
+def possible_pairs(sketches: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """``a, b, la, lb``: every pair of texts of different ``label`` that may be similar enough.
+
+    ``sketches``: ``node, label, n, bits, keys``. Texts meet on each shingle of their prefixes, so no pair at ``similarity`` or more
+    between two labels is missing. Groups of one label are dropped before anything is compared; a group with more than ``cell`` texts is dealt to pairs of cells.
+    """
+    spark = sketches.sparkSession
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            keys = [np.frombuffer(k, np.int64) for k in part["keys"]]
+            if not keys:
+                continue
+            sizes = np.array([len(k) for k in keys])
+            at = np.concatenate([np.arange(size) for size in sizes])
+            # the place and the size in one number: shorter rows
+            yield pd.DataFrame({"key": np.concatenate(keys), "node": np.repeat(part["node"].to_numpy(), sizes), "label": np.repeat(part["label"].to_numpy(), sizes), "sized": np.repeat(part["n"].to_numpy(np.int64), sizes) << 32 | at})
+
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, begins in _groups(batches, ["key"]):
+            sizes, label = np.diff(begins), rows["label"].to_numpy()
+            mixed = np.minimum.reduceat(label, begins[:-1]) != np.maximum.reduceat(label, begins[:-1])
+            if mixed.any():
+                yield rows.assign(m=np.repeat(sizes, sizes).astype(np.int32))[np.repeat(mixed, sizes)]
+
+    met = sketches.select("node", "label", "n", "keys").mapInPandas(keyed, "key long, node long, label long, sized long")
+    met = met.repartition(parts(spark), "key").sortWithinPartitions("key").mapInPandas(shared, "key long, node long, label long, sized long, m int")
+    cells = F.ceil(F.col("m") / cell).cast("int")
+    dealt = met.withColumn("mine", F.pmod(F.xxhash64("node"), cells).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
+    dealt = dealt.select(F.col("node").alias("_node"), "label", "sized", "mine", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    dealt = dealt.join(sketches.select("node", "bits"), F.col("_node") == F.col("node")).drop("_node")
+    order = ["key", "x", "y"]
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, begins in _groups(batches, order):
+            rows = {c: part[c].to_numpy() for c in ("node", "label", "mine")}
+            sized = part["sized"].to_numpy()
+            rows |= {"n": sized >> 32, "at": sized & 0xFFFFFFFF, "cross": (part["x"] != part["y"]).to_numpy()}
+            rows["bits"] = np.frombuffer(b"".join(part["bits"]), np.uint64).reshape(len(part), -1)
+
+            def made(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+                swap = rows["node"][i] > rows["node"][j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                return pd.DataFrame({"a": rows["node"][i], "b": rows["node"][j], "la": rows["label"][i], "lb": rows["label"][j]})
+
+            sizes = np.diff(begins)
+            small = sizes <= SMALL
+            ends = np.repeat(np.where(small, begins[1:], begins[:-1]), sizes)  # a large group has no pairs here
+            for step in range(1, int(sizes[small].max(initial=0))):
+                i = np.flatnonzero(np.arange(len(part)) + step < ends)
+                i = i[_possible(rows, i, i + step, similarity)]
+                if len(i):
+                    yield made(i, i + step)
+            for start, end in zip(begins[:-1][~small].tolist(), begins[1:][~small].tolist()):
+                found, many = [], 0
+                for i in range(start, end - 1):
+                    j = np.arange(i + 1, end)
+                    j = j[_possible(rows, i, j, similarity)]
+                    if len(j):
+                        found.append(np.stack((np.full(len(j), i), j)))
+                        many += len(j)
+                    if many > 100_000 or (many and i == end - 2):
+                        yield made(*np.concatenate(found, axis=1))
+                        found, many = [], 0
+
+    found = dealt.repartition(parts(spark), *order).sortWithinPartitions(*order).mapInPandas(pairs, "a long, b long, la long, lb long")
+    return found.distinct()
+
+
+def marked_by(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows whose ``_mark`` may be a ``node`` of ``wanted``, none of these missing: a map of bounded size goes to all tasks, so other texts are not shuffled."""
+    def place(mark: str) -> tuple[Column, Column]:
+        return F.expr(f"{mark} & {WORDS - 1}"), F.expr(f"shiftleft(1L, cast(shiftright({mark}, 32) & 63 as int))")
+
+    word, bit = place("node")
+    known = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    word, bit = place("_mark")
+    return rows.join(F.broadcast(known), word == F.col("_word")).filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs ``a, b`` those whose shingles (``sets``: ``node, hashes``) have at least that Jaccard similarity."""
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,8 +371,9 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """The documents with the smallest id of their group, with all their columns.
 
     Groups are connected by pairs whose distinct shingles of ``shingle`` words (A-Z lower-cased) have a Jaccard similarity of ``similarity`` or more.
-    Pairs are found by equal blocks of long fingerprints: of those at just that similarity about ``CAUGHT`` meet, the width and number of
-    blocks follow from the number of texts. Shingles decide about each link, so no fingerprint makes documents alike.
+    Equal blocks of long fingerprints connect most of them: of the pairs at just that similarity about ``CAUGHT`` meet, the width and number of
+    blocks follow from the number of texts. Then every pair between the groups found meets on prefixes of ordered shingles, which miss none.
+    Shingles decide about each link, so no fingerprint makes documents alike, and none keeps them apart.
 
     Texts without words, null ones too, are like no other and all stay. Rows of equal id and text stay or go together; ids are compared with nulls
     last. Repeated texts under other ids are near-duplicates. Extra columns pass through; an empty table gives an empty result.
@@ -233,12 +382,19 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, many = [], 0
         for rows in batches:
-            fps = []
-            for text in rows["_text"]:
+            fps, often = [], [None] * len(rows)
+            for row, text in enumerate(rows["_text"]):
                 hashes = shingle_hashes(text, shingle)
                 fps.append(np.packbits(long_fingerprint(hashes), bitorder="little").tobytes() if len(hashes) else None)
-            yield pd.DataFrame({"_id": rows["_id"], "_mark": rows["_mark"], "fp": pd.Series(fps, dtype=object)})
+                seen.append(hashes)
+                many += len(hashes)
+                if many >= CHUNK:
+                    often[row], seen, many = frequent(seen), [], 0
+            yield pd.DataFrame({"_id": rows["_id"], "_mark": rows["_mark"], "fp": pd.Series(fps, dtype=object), "often": pd.Series(often, dtype=object)})
+        if many:
+            yield pd.DataFrame({"_id": [None], "_mark": [None], "fp": [None], "often": [frequent(seen)]}, dtype=object)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -247,14 +403,37 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: s
     def texts(own: Column) -> DataFrame:
         return docs.select(F.col(id_col).alias("_id"), own.alias("_text"), text_mark(own).alias("_mark"))
 
-    marked = texts(F.col(text_col).cast("string")).mapInPandas(describe, f"_id {kind}, _mark long, fp binary").filter("fp is not null")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        linked = marked_by(wanted, texts(F.col(text_col).cast("string"))).join(wanted, F.col("_mark") == F.col("node")).dropDuplicates(["node"]).select("node", "_text")
+        return cut_lineage(linked.mapInPandas(hashed, "node long, hashes binary"))
+
+    described = cut_lineage(texts(F.col(text_col).cast("string")).mapInPandas(describe, f"_id {kind}, _mark long, fp binary, often binary").filter("fp is not null or often is not null"))
+    late = ranked(described.select("often").filter("often is not null"))
     # texts of one mark are equal: a node
-    prints = cut_lineage(marked.groupBy(F.col("_mark").alias("node")).agg(F.min("_id").alias("_least"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("_n")))
+    marked = described.filter("fp is not null").groupBy(F.col("_mark").alias("node"))
+    prints = cut_lineage(marked.agg(F.min("_id").alias("_least"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("_n")))
     links = cut_lineage(candidate_links(prints.select("node", "fp"), similarity, cell))
-    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    linked = texts(F.col(text_col).cast("string")).join(wanted, F.col("_mark") == F.col("node")).dropDuplicates(["node"]).select("node", "_text")
-    sets = cut_lineage(linked.mapInPandas(hashed, "node long, hashes binary"))
-    joined = connected(links, sets, similarity)
+    joined = connected(links, sets_of(links), similarity)
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for mark, text in zip(rows["_mark"], rows["_text"], strict=True):
+                hashes = shingle_hashes(text, shingle)
+                if len(hashes):
+                    out.append((mark, len(hashes), parity(hashes), prefix(hashes, similarity, late).tobytes()))
+            yield pd.DataFrame(out, columns=["node", "n", "bits", "keys"])
+
+    # what the fingerprints did not connect meets on prefixes of ordered shingles
+    sketches = texts(F.col(text_col).cast("string")).select("_mark", "_text").mapInPandas(sketch, "node long, n int, bits binary, keys binary")
+    sketches = sketches.groupBy("node").agg(F.first(F.struct("n", "bits", "keys")).alias("s")).select("node", "s.*")
+    sketches = sketches.join(joined.withColumnRenamed("node", "_joined"), F.col("node") == F.col("_joined"), "left").drop("_joined")
+    sketches = cut_lineage(sketches.withColumn("label", F.coalesce("component", "node")).drop("component"))
+    possible = cut_lineage(possible_pairs(sketches, similarity, cell))
+    true = similar(possible.select("a", "b"), sets_of(possible), similarity).join(possible, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    merged = components(cut_lineage(true)).select(F.col("node").alias("_label"), F.col("component").alias("_merged"))
+    joined = sketches.select("node", "label").join(merged, F.col("label") == F.col("_label"), "left").select("node", F.coalesce("_merged", "label").alias("component"))
     placed = prints.select("node", "_least", "_n").join(joined.withColumnRenamed("node", "_joined"), F.col("node") == F.col("_joined"), "left").withColumn("_root", F.coalesce("component", "node"))
     # the first of a group is one document: the smallest id, and among rows of that id the smallest mark
     first = placed.groupBy("_root").agg(F.min(F.struct(F.col("_least").isNull().alias("none"), F.col("_least").alias("id"), F.col("node").alias("mark"))).alias("first"), F.count(F.lit(1)).alias("_many"), F.sum("_n").alias("_rows"))

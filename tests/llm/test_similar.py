@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tablelens.llm.similar_texts import LEVELS, levelled_links, long_fingerprint, plan_blocks, shingle_hashes, similar_representatives
+from tablelens.llm.similar_texts import LEVELS, levelled_links, long_fingerprint, parity, plan_blocks, prefix, shingle_hashes, similar_representatives
 
 from . import brute
 
@@ -91,3 +91,37 @@ def test_blocks_and_levels():
         within = 100 * level // LEVELS
         near = {(i, j) for i, j, d in links if d <= within} | {(j, i) for i, j, d in links if d <= within}
         assert brute.reach(40, lambda i, j: (i, j) in near) == brute.reach(40, lambda i, j: away(i, j) <= within)
+
+
+@pytest.mark.parametrize("cell", [8_192, 5])
+def test_no_pair_at_the_threshold_is_left_out(spark, monkeypatch, cell):
+    """Just at the least similarity every pair is found, with a passage that most texts have, in groups of any size, and by chains."""
+    monkeypatch.setattr("tablelens.llm.similar_texts.CHUNK", 5_000)
+    monkeypatch.setattr("tablelens.llm.similar_texts.SMALL", 6)
+    pick = random.Random(6)
+    words = lambda n: [f"w{pick.randrange(50_000)}" for _ in range(n)]
+    line, texts = words(40), ["one", "ONE", "a b c d e f", "a b c d e g"]
+    for k in range(150):
+        base = words(pick.choice([20, 60, 150, 400])) + (line if k % 3 else [])
+        texts.append(" ".join(base))
+        texts += [" ".join(changed(pick, base, pick.choice([0.018, 0.021, 0.024]))) for _ in range(2)]
+        texts.append(" ".join(base + words(round(len(base) * pick.choice([0.22, 0.24, 0.26])))))
+    sets = [set(shingle_hashes(t).tolist()) for t in texts]
+    groups = brute.reach(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in similar_representatives(frame, cell=cell).collect()) == sorted({min(g) for g in groups})
+
+
+def test_similar_sets_share_an_element_of_their_prefixes():
+    pick = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(pick.integers(1, 200))
+        base = pick.integers(0, 2**63, 2 * n).astype(np.uint64)
+        a, b = np.unique(base[:n]), np.unique(base[pick.integers(0, n // 8 + 1) : n + pick.integers(0, n // 8 + 1)])
+        late = np.unique(pick.choice(base, n // 2))
+        both, differ = len(np.intersect1d(a, b)), len(np.setxor1d(a, b))
+        maps = [np.frombuffer(parity(x), np.uint64) for x in (a, b)]
+        assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= differ
+        if both >= 0.8 * (both + differ):
+            places = pick.permutation(len(late)) + 1
+            assert len(np.intersect1d(prefix(a, 0.8, (late, places)), prefix(b, 0.8, (late, places))))
