@@ -314,6 +314,33 @@ def possible_pairs(sketches: DataFrame, similarity: float = SIMILARITY, cell: in
     return found.distinct()
 
 
+def wide_parity(hashes: np.ndarray) -> bytes:
+    """A parity map with a place or more for each hash, for sets too large for ``PARITY`` places; none for others."""
+    return parity(hashes, 1 << (len(hashes) - 1).bit_length()) if len(hashes) > PARITY else b""
+
+
+def wide_apart(one: bytes, two: bytes) -> int:
+    """The places in which two wide maps differ, the larger one folded to the places of the smaller; 0 where one is missing."""
+    if not one or not two:
+        return 0
+    x, y = sorted((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def closer(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Of the ``pairs`` those whose wide maps allow the similarity; all that are similar enough are among them."""
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            apart = np.fromiter(map(wide_apart, part["wa"], part["wb"]), np.int64, len(part))
+            yield part.loc[apart <= (1 - similarity) / (1 + similarity) * part["n"].to_numpy() + EPS, ["a", "b", "la", "lb"]]
+
+    of_a, of_b = (sketches.select(F.col("node").alias(f"n{x}"), F.col("n").alias(f"s{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
+    joined = pairs.join(of_a, F.col("a") == F.col("na")).join(of_b, F.col("b") == F.col("nb"))
+    return joined.select("a", "b", "la", "lb", "wa", "wb", (F.col("sa") + F.col("sb")).cast("long").alias("n")).mapInPandas(judge, "a long, b long, la long, lb long")
+
+
 def marked_by(wanted: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows whose ``_mark`` may be a ``node`` of ``wanted``, none of these missing: a map of bounded size goes to all tasks, so other texts are not shuffled."""
     def place(mark: str) -> tuple[Column, Column]:
@@ -422,15 +449,15 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: s
             for mark, text in zip(rows["_mark"], rows["_text"], strict=True):
                 hashes = shingle_hashes(text, shingle)
                 if len(hashes):
-                    out.append((mark, len(hashes), parity(hashes), prefix(hashes, similarity, late).tobytes()))
-            yield pd.DataFrame(out, columns=["node", "n", "bits", "keys"])
+                    out.append((mark, len(hashes), parity(hashes), wide_parity(hashes), prefix(hashes, similarity, late).tobytes()))
+            yield pd.DataFrame(out, columns=["node", "n", "bits", "wide", "keys"])
 
     # what the fingerprints did not connect meets on prefixes of ordered shingles
-    sketches = texts(F.col(text_col).cast("string")).select("_mark", "_text").mapInPandas(sketch, "node long, n int, bits binary, keys binary")
-    sketches = sketches.groupBy("node").agg(F.first(F.struct("n", "bits", "keys")).alias("s")).select("node", "s.*")
+    sketches = texts(F.col(text_col).cast("string")).select("_mark", "_text").mapInPandas(sketch, "node long, n int, bits binary, wide binary, keys binary")
+    sketches = sketches.groupBy("node").agg(F.first(F.struct("n", "bits", "wide", "keys")).alias("s")).select("node", "s.*")
     sketches = sketches.join(joined.withColumnRenamed("node", "_joined"), F.col("node") == F.col("_joined"), "left").drop("_joined")
     sketches = cut_lineage(sketches.withColumn("label", F.coalesce("component", "node")).drop("component"))
-    possible = cut_lineage(possible_pairs(sketches, similarity, cell))
+    possible = cut_lineage(closer(possible_pairs(sketches, similarity, cell), sketches, similarity))
     true = similar(possible.select("a", "b"), sets_of(possible), similarity).join(possible, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
     merged = components(cut_lineage(true)).select(F.col("node").alias("_label"), F.col("component").alias("_merged"))
     joined = sketches.select("node", "label").join(merged, F.col("label") == F.col("_label"), "left").select("node", F.coalesce("_merged", "label").alias("component"))

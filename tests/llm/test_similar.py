@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tablelens.llm.similar_texts import LEVELS, levelled_links, long_fingerprint, parity, plan_blocks, prefix, shingle_hashes, similar_representatives
+from tablelens.llm.similar_texts import LEVELS, levelled_links, long_fingerprint, parity, plan_blocks, prefix, shingle_hashes, similar_representatives, wide_apart, wide_parity
 
 from . import brute
 
@@ -125,3 +125,13 @@ def test_similar_sets_share_an_element_of_their_prefixes():
         if both >= 0.8 * (both + differ):
             places = pick.permutation(len(late)) + 1
             assert len(np.intersect1d(prefix(a, 0.8, (late, places)), prefix(b, 0.8, (late, places))))
+
+
+def test_wide_maps_never_differ_more_than_the_sets():
+    pick = np.random.default_rng(8)
+    for n, m in ((1_025, 1_300), (2_000, 2_100), (5_000, 4_000), (9_000, 1_100), (900, 1_100)):
+        base = pick.integers(0, 2**63, n + m).astype(np.uint64)
+        for a, b in ((np.unique(base[:n]), np.unique(base[n:])), (np.unique(base[:n]), np.unique(base[n // 10 : n // 10 + m]))):
+            apart, limit = wide_apart(wide_parity(a), wide_parity(b)), (len(a) + len(b)) / 9
+            assert apart <= len(np.setxor1d(a, b))
+            assert apart > limit or min(n, m) <= max(1_024, 0.8 * max(n, m)) or len(np.setxor1d(a, b)) <= 1.5 * limit
