@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablelens.llm.components import components
+from tablelens.llm.components import LINKS, components
 from tablelens.llm.exact_dedup import deduplicated, exact_dedup
 from tablelens.llm.simhash import close_links, fingerprint, near_duplicates, representatives
 from tablelens.llm.substring_dedup import substring_dedup
@@ -108,3 +108,20 @@ def test_components_of_chains_stars_and_odd_links(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{k: 7 for k in [7, *range(1000, 1100)]}, 9: 2, 2: 2}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_of_components_have_tasks_by_links(spark):
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(1000, 1300)] + [(k, 500) for k in range(600, 620)]
+    want = {**{i: 100 for i in range(100, 161)}, **{k: 7 for k in [7, *range(1000, 1300)]}, **{k: 500 for k in [500, *range(600, 620)]}}
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
+    try:
+        for per_task, most in ((LINKS, 2), (100, 8)):
+            found = components(spark.createDataFrame(links, "a long, b long"), per_task=per_task)
+            assert {r.node: r.component for r in found.collect()} == want
+            assert found.rdd.getNumPartitions() <= most
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
