@@ -60,6 +60,11 @@ def _on_grid(places: DataFrame, levels: list[int]) -> DataFrame:
     return places.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumns({"cx": cell("lon"), "cy": cell("lat")})
 
 
+def _unsent(df: DataFrame) -> DataFrame:
+    """For joins of cells: Spark guesses their size by the polygons' files and would send any number of them through the driver."""
+    return df.hint("merge")
+
+
 def _levels(cells: DataFrame) -> list[int]:
     return sorted(r.level for r in cells.select("level").distinct().collect())  # at most some 30 sizes
 
@@ -74,7 +79,7 @@ def _matches(cells: DataFrame, places: DataFrame, spots_per_task: int = SPOTS) -
     count = F.count(F.lit(1))
     crowds = spots.groupBy("level", "cx", "cy").agg(count.alias("spots"))
     areas = cells.groupBy("level", "cx", "cy").agg(count.alias("areas"))
-    crowds = cut_lineage(crowds.join(areas, ["level", "cx", "cy"], "left").withColumn("pairs", F.col("spots") * F.coalesce("areas", F.lit(0))))
+    crowds = cut_lineage(crowds.join(_unsent(areas), ["level", "cx", "cy"], "left").withColumn("pairs", F.col("spots") * F.coalesce("areas", F.lit(0))))
     sums = crowds.agg(F.coalesce(F.sum("spots"), F.lit(0)).alias("spots"), F.coalesce(F.sum(F.col("pairs").cast("double")), F.lit(0.0)).alias("pairs")).first()
     share, work = max(spots_per_task, sums.spots // BUSY), max(PAIRS, sums.pairs / BUSY)
     busy = crowds.where((F.col("spots") > share) | (F.col("pairs") > work)).select(
@@ -100,7 +105,7 @@ def _matches(cells: DataFrame, places: DataFrame, spots_per_task: int = SPOTS) -
     )
     on = ["level", "cx", "cy", "salt"]
     return (
-        _dealt(spots, *on).join(_dealt(salted, *on), on)
+        _dealt(spots, *on).join(_unsent(_dealt(salted, *on)), on)
         .where(near & edges_contain("edges", F.col("lon"), F.col("lat")))
         .drop(*on, "edges", "box")
     )
@@ -180,11 +185,11 @@ def count_points(
     places = cut_lineage(_places(points, lon, lat).where(valid_position(F.col("lon"), F.col("lat"))))
     whole, met, crowds = _laid(polygons, polygon_id, geometry, places)
     tested = _matches(met, places).select("polygon", "n")
-    held = whole.join(crowds, ["level", "cx", "cy"]).select("polygon", "n")
+    held = whole.join(_unsent(crowds), ["level", "cx", "cy"]).select("polygon", "n")
     hits = held.unionByName(tested).groupBy("polygon").agg(F.sum("n").alias("_hits"))
     has_polygon = F.coalesce(F.size(F.col(geometry)["polys"]) > 0, F.lit(False))
     return (
-        polygons.join(hits, F.col(polygon_id) == F.col("polygon"), "left")
+        polygons.join(_unsent(hits), F.col(polygon_id) == F.col("polygon"), "left")
         .withColumn(out, F.when(has_polygon, F.coalesce("_hits", F.lit(0))).cast("bigint"))
         .drop("polygon", "_hits")
     )

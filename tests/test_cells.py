@@ -81,6 +81,23 @@ def test_no_round_without_points(spark, monkeypatch):
     assert len(rounds) == 1
 
 
+def test_cells_are_not_sent_through_the_driver(spark, monkeypatch):
+    # few bytes of polygons make any number of cells, which Spark takes for few as well
+    x, y = (F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")
+    corner = lambda a, b: F.array(x + 9.5 * a, y + 9.5 * b)
+    ring = F.to_json(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))
+    areas = spark.range(35).withColumn("geometry", G.from_geojson(F.concat(F.lit('{"type":"Polygon","coordinates":['), ring, F.lit("]}"))))
+    points = spark.range(4_000).select((F.col("id") % 80 / 5 + 0.1).alias("lon"), (F.col("id") % 50 / 4 + 0.1).alias("lat"))
+    plans, cut = [], S.cut_lineage
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(S, "cut_lineage", lambda df: plans.append(plan(df)) or cut(df))
+    out = S.count_points(areas, "id", "geometry", points)
+    assert not [p for p in [*plans, plan(out)] if "Broadcast" in p]
+    at = [(n % 80 / 5 + 0.1, n % 50 / 4 + 0.1) for n in range(4_000)]
+    want = {i: sum(i % 7 < a < i % 7 + 9.5 and i % 5 < b < i % 5 + 9.5 for a, b in at) for i in range(35)}
+    assert {r.id: r.points for r in out.collect()} == want
+
+
 @pytest.mark.parametrize("few", [64, 2])
 def test_cells_inside_a_polygon_count_as_a_whole(spark, monkeypatch, few):
     monkeypatch.setattr(S, "FEW", few)
